@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .toxicity import op1_toxicity
+from .url_filters import op2_url_filters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_url_filters": op2_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {}
