@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .quality_rules import op8_quality_rules
 from .toxicity import op1_toxicity
 from .url_filters import op2_url_filters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
