@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .quality_rules import op8_quality_rules
+from .token_files import op7_token_files
 from .toxicity import op1_toxicity
 from .url_filters import op2_url_filters
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
+    "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
 }
 
