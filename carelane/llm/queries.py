@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import op8_quality_rules
+from .token_counts import op3_token_counts
 from .token_files import op7_token_files
 from .toxicity import op1_toxicity
 from .url_filters import op2_url_filters
@@ -10,6 +11,7 @@ from .url_filters import op2_url_filters
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
+    "op3_token_counts": op3_token_counts,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
 }
