@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir, shuffle_partitions, table
 from .files import Ranges, Replaced
-from .pretokens import ByteLevelEncoder
+from .pretokens import byte_level_encoder
 
 END_ID = 2
 #: Keys of one index bucket, and keys per displacement group.
@@ -153,7 +153,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """Write the shards; returns (and materialises) the catalog doc_id, occurrence, shard, first, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ByteLevelEncoder(tokenizer_path)
+        encode = byte_level_encoder(tokenizer_path)
         end = np.array([end_id], "<u2").tobytes()
         shard = TaskContext.get().partitionId()
         out, last, seen, first = None, None, -1, 0
