@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import op8_quality_rules
+from .substring_dedup import op9_substring_dedup
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
 from .toxicity import op1_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
