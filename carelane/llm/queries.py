@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .media_columns import op5_media_columns
 from .quality_rules import op8_quality_rules
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op3_token_counts
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_token_counts": op3_token_counts,
+    "op5_media_columns": op5_media_columns,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
