@@ -20,6 +20,8 @@ WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The byte-level pattern for texts of printable ASCII and Latin letters, where the classes of the
 #: standard library's faster engine mean the same.
 _BYTE_LEVEL_LATIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_WORD_END_LATIN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+_NOT_LATIN_1 = "[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 _NOT_LATIN = "[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
 _cached: dict[object, object] = {}
@@ -43,6 +45,31 @@ def special_strings(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
+class WordEndPreTokens:
+    """Pre-tokens of a whole text under a word-end tokenizer file, special strings as themselves.
+
+    Texts of printable ASCII and Latin-1 letters are lower-cased here (no normal form changes them); any
+    other text goes through the library's own normalizer.
+    """
+
+    def __init__(self, path: str):
+        self.find_any, self.find_latin = regex.compile(WORD_END).findall, re.compile(_WORD_END_LATIN).findall
+        self.odd = re.compile(_NOT_LATIN_1).search
+        self.normalize = tokenizer(path).normalizer.normalize_str
+        self.special = special_strings(path)
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+
+    def plain(self, text: str) -> list[str]:
+        return self.find_any(self.normalize(text)) if self.odd(text) else self.find_latin(text.lower())
+
+    def __call__(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.special and any(s in text for s in self.special):
+            return [p for k, part in enumerate(self.split(text)) for p in ([part] if k % 2 else self.plain(part))]
+        return self.plain(text)
+
+
 class ByteLevelEncoder(dict):
     """Ids of whole texts as little-endian uint16; as a dict it maps a pre-token to its ids' bytes.
 

@@ -5,7 +5,7 @@ document's frequencies as small integers into that list, so what is shuffled are
 not tokens. The distinct pre-tokens of the whole corpus are counted by the tokenizer once each, joined
 back to the blocks, and summed by frequency. No text's ids are ever made.
 
-A frequent pre-token has one row a block in the join, and the adaptive join splits it where it is large.
+A frequent pre-token has one row a block, however many documents hold it.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their counts;
 an empty table gives no rows; other columns are not read; lone surrogates cannot occur in Spark strings.
@@ -13,49 +13,24 @@ an empty table gives no rows; other columns are not read; lone surrogates cannot
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import encode, materialise, table
-from .pretokens import WORD_END, special_strings, tokenizer
+from .pretokens import WordEndPreTokens, tokenizer
 
 #: Bounds of a block: bytes of text and documents.
-BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 8_192
+BLOCK_BYTES, BLOCK_DOCS = 24_000_000, 16_384
 LIMIT = 2048
 
 
-class PreTokens:
-    """Pre-tokens of a whole text under a word-end tokenizer file, special strings as themselves.
-
-    ASCII texts are lower-cased here; any other text goes through the library's own normalizer.
-    """
-
-    def __init__(self, path: str):
-        self.find = regex.compile(WORD_END).findall
-        self.normalize = tokenizer(path).normalizer.normalize_str
-        self.special = special_strings(path)
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-
-    def plain(self, text: str) -> list[str]:
-        return self.find(text.lower() if text.isascii() else self.normalize(text))
-
-    def __call__(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.special and any(s in text for s in self.special):
-            return [p for k, part in enumerate(self.split(text)) for p in ([part] if k % 2 else self.plain(part))]
-        return self.plain(text)
-
-
 def piece_count(path: str):
     """Function from a list of pre-tokens to their numbers of pieces."""
     encode_all = tokenizer(path).encode_batch_fast
@@ -63,31 +38,51 @@ def piece_count(path: str):
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Unsigned 32-bit numbers, a plane of bytes after the other, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def _gaps(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sorted numbers of consecutive groups as differences, each group's first one as it is."""
+    out = np.diff(values, prepend=0)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]
+    out[first] = values[first]
+    return out
+
+
+def _values(sizes: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """The inverse of ``_gaps``."""
+    total = np.cumsum(gaps)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    before = np.where(first > 0, total[np.maximum(first - 1, 0)], 0) if len(total) else first
+    return total - np.repeat(before, sizes)
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
     """Rows block, ids, n_bytes, sizes (distinct pre-tokens by document), at and times (packed), pre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre_tokens, task, made = PreTokens(path), TaskContext.get().partitionId(), 0
+        pre_tokens, task, made = WordEndPreTokens(path), TaskContext.get().partitionId(), 0
         known: dict[str, int] = {}
         ids, sizes, at, times, lengths, held = [], [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            order = np.argsort(np.array(list(known), dtype=object), kind="stable") if known else np.zeros(0, int)
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            names = list(known)
-            where = np.concatenate(at) if at else np.zeros(0, np.int32)
+            names = sorted(known)
+            rank = np.empty(len(names), np.int64)
+            rank[[known[p] for p in names]] = np.arange(len(names))
+            size = np.array(sizes, np.int64)
+            where = rank[np.concatenate(at)] if at else np.zeros(0, np.int64)
+            order = np.lexsort((where, np.repeat(np.arange(len(size)), size)))
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([(task << 32) + made]), "ids": pa.array([ids], pa.list_(pa.int64())), "n_bytes": pa.array([lengths], pa.list_(pa.int64())),
-                "sizes": pa.array([sizes], pa.list_(pa.int32())), "at": pa.array([_pack(rank[where])], pa.binary()),
-                "times": pa.array([_pack(np.array(times, "<u4"))], pa.binary()), "pre": pa.array([[names[k] for k in order]], pa.list_(pa.string())),
+                "sizes": pa.array([sizes], pa.list_(pa.int32())), "at": pa.array([_pack(_gaps(size, where[order]))], pa.binary()),
+                "times": pa.array([_pack(np.array(times, np.int64)[order])], pa.binary()), "pre": pa.array([names], pa.list_(pa.string())),
             })
 
         for batch in batches:
@@ -112,38 +107,71 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, ids array<long>, n_bytes array<long>, sizes array<int>, at binary, times binary, pre array<string>")
 
 
-def piece_table(pre: DataFrame, path: str) -> DataFrame:
-    """pre, pieces of each row of a table of distinct pre-tokens."""
+def piece_replies(listed: DataFrame, path: str, hold: int = 1_000_000) -> DataFrame:
+    """From rows (owner, k, pre): pieces by owner, packed, each distinct pre-token counted once.
+
+    Equal pre-tokens lie together after one shuffle; a block has each at most once, so no pre-token has
+    more rows than there are blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_count(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(0).to_pylist()), pa.int32())], names=["pre", "pieces"])
+        last, last_pieces = None, 0
+        held, rows = [], 0
 
-    return pre.mapInArrow(run, "pre string, pieces int")
+        def flush() -> pa.RecordBatch:
+            owner, k, pieces = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((k, owner))
+            owner, k, pieces = owner[order], k[order], pieces[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+            return pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]]), "k": pa.array([_pack(np.diff(k[a:b], prepend=0)) for a, b in parts], pa.binary()), "pieces": pa.array([_pack(pieces[a:b]) for a, b in parts], pa.binary())})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(2).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            fresh = names[1:] if names[0] == last else names
+            counts = ([last_pieces] if names[0] == last else []) + count(fresh)
+            last, last_pieces = names[-1], counts[-1]
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), np.array(counts, np.int64)[coded.indices.to_numpy()]))
+            rows += batch.num_rows
+            if rows >= hold:
+                yield flush()
+                held, rows = [], 0
+        if held:
+            yield flush()
+
+    together = listed.select("owner", "k", "pre").repartition("pre").sortWithinPartitions("pre")
+    return together.mapInArrow(run, "owner long, k binary, pieces binary")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     held = materialise(blocks(docs, path))
     listed = held.select(F.col("block").alias("owner"), F.posexplode("pre").alias("k", "pre"))
-    pieces = piece_table(listed.select("pre").distinct(), path)
-    joined = listed.join(pieces, "pre").select("owner", "k", "pieces")
+    replies = piece_replies(listed, path)
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        by_block = np.zeros(len(right), np.int64)
-        if len(right):
-            by_block[right["k"].to_numpy()] = right["pieces"].to_numpy()
-        for row in left.select(["ids", "n_bytes", "sizes", "at", "times"]).to_pylist():
-            share = by_block[_unpack(row["at"], "<i4")] * _unpack(row["times"], "<u4").astype(np.int64)
-            ends = np.cumsum(row["sizes"])
-            sums = np.diff(np.concatenate([[0], np.cumsum(share)])[np.concatenate([[0], ends])])
+        k = [_unpack(x).cumsum() for x in right["k"].to_pylist()]
+        pieces = [_unpack(x) for x in right["pieces"].to_pylist()]
+        by_block = np.zeros(1 + max((int(x[-1]) for x in k), default=0), np.int64)
+        for at, n in zip(k, pieces, strict=True):
+            by_block[at] = n
+        for row in left.to_pylist():
+            sizes = np.array(row["sizes"], np.int64)
+            share = by_block[_values(sizes, _unpack(row["at"]))] * _unpack(row["times"])
+            sums = np.diff(np.concatenate([[0], np.cumsum(share)])[np.concatenate([[0], np.cumsum(sizes)])])
             out.append(pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": pa.array(sums.astype(np.int64)), "over_limit": pa.array(sums > limit)}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "over_limit": pa.array([], pa.bool_())})
+        return pa.concat_tables(out) if out else _EMPTY
 
     packed = held.drop("pre")
-    return packed.groupBy("block").cogroup(joined.groupBy("owner")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return packed.groupBy("block").cogroup(replies.groupBy("owner")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+
+_EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "over_limit": pa.array([], pa.bool_())})
 
 
 def op3_token_counts(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
