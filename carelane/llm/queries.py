@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op6_ngram_jaccard_join
 from .media_columns import op5_media_columns
 from .quality_rules import op8_quality_rules
 from .substring_dedup import op9_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_token_counts": op3_token_counts,
     "op5_media_columns": op5_media_columns,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
