@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .jaccard_join import op6_ngram_jaccard_join
 from .media_columns import op5_media_columns
+from .packing import op4_best_fit_packing
 from .quality_rules import op8_quality_rules
+from .source_mixing import op10_source_mixing
 from .substring_dedup import op9_substring_dedup
 from .token_counts import op3_token_counts
 from .token_files import op7_token_files
@@ -15,11 +17,13 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filters": op2_url_filters,
     "op3_token_counts": op3_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_media_columns": op5_media_columns,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
