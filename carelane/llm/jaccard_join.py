@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -44,8 +45,8 @@ def prefix_size(n, percent: int):
 
 
 def classes_of(percent: int) -> dict[str, list[int]]:
-    """The hash classes that each order puts first: at least twice as many shingles as prefixes take."""
-    size = max(2, -(-2 * CLASSES * (100 - percent) // 100))
+    """The hash classes that each order puts first: at least half more shingles than prefixes take."""
+    size = max(2, -(-3 * CLASSES * (100 - percent) // 200))
     rest = [k for k in range(size, CLASSES)]
     half = max(size, len(rest) // 2)
     b = [rest[i % len(rest)] for i in range(half)] if rest else list(range(CLASSES))
@@ -287,6 +288,34 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "node", F.col("n").alias("n_shingles"), F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(own, 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) of which the first of each class stays: smallest doc_id, then text hash.
+
+    Of rows equal in doc_id and text one stays (with equal doc_ids but other texts, one for each text of the
+    kept set). Rows without doc_id have no class and all stay.
+    """
+    names = docs.columns
+    labels = join(docs, width, percent)
+    # Classes of empty texts are their own rows.
+    first = labels.where("doc_id is not null").groupBy("component_id", F.col("n_shingles") == 0).agg(F.min(F.struct("doc_id", "node")).alias("x"))
+    keep = materialise(first.select(F.col("x.doc_id").alias("__id"), F.col("x.node").alias("__node")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.xxhash64("text").alias("__h"))
+    joined = rows.join(keep.hint("shuffle_hash"), "__id").withColumn("__place", F.row_number().over(W.partitionBy("__id", "__node", "__h").orderBy("__h"))).select("__row", "__node", "__place")
+    index = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(0).field(index)
+            node = batch.column(1).to_numpy(zero_copy_only=False)
+            same = np.array([digest_of(s) for _, s in sets_of(text, width)], np.int64) == node
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), batch.column(2)], names=["__row", "same", "place"])
+
+    kind = rows.schema["__row"].dataType.simpleString()
+    checked = joined.mapInArrow(run, f"__row {kind}, same boolean, place int").where("same and place = 1")
+    stay = checked.select(*[F.col("__row")[c].alias(c) for c in names])
+    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_shingles, component_id, n_links, at 3-word shingles and 90 hundredths."""
     return join(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")

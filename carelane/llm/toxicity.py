@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     """``keep`` columns (default doc_id) plus ``score`` (0 to 1) and ``predicted`` (score >= 0.5) of every whole text."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
-    wanted = docs.select(*keep, F.col("text").alias("__text") if "text" in keep else F.col("text"))
+    wanted = docs.select(*keep, F.col("text").alias("__text"))
     last = wanted.columns[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +186,20 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     return wanted.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that the model does not predict to be toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias, width = shared.value
+        own, make = Model(weights, bias, width), Featuriser(width)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(make(t.as_py())) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents")

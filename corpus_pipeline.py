@@ -1,9 +1,70 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents: stages that each work on all that the one before kept.
 
-STAGES = []
+toxicity drops what the classifier rejects; near-duplicates keep one document of each class (5-word
+shingles, similarity 0.8 or more); substring dedup cuts passages that an earlier document has and drops
+documents of which nothing is left; mixing repeats the documents of small sources to their weights;
+packing deals the words of every document into sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. ``run`` writes each result to the shared folder and reads it again for the next stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carelane.llm.common import materialise, table
+from carelane.llm.jaccard_join import one_of_each_group
+from carelane.llm.packing import pack_documents
+from carelane.llm.source_mixing import mix
+from carelane.llm.substring_dedup import dedup
+from carelane.llm.toxicity import train, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, does not reject."""
+    return without_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return one_of_each_group(docs, width=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that earlier documents have; n_chars counts what is left."""
+    out = dedup(docs)
+    kept = out.where("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words")
+    length = F.when(F.col("dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", length).select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks for."""
+    return mix(docs).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: SQL cannot state a trained classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
