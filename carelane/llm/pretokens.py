@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
-import numpy as np
 import regex
 
 #: Pre-token patterns of byte-level and of word-end tokenizers.
@@ -24,6 +24,16 @@ _WORD_END_LATIN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 _NOT_LATIN_1 = "[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 _NOT_LATIN = "[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
+
+
+def _shown() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_SHOWN = _shown()
 _cached: dict[object, object] = {}
 
 
@@ -76,34 +86,57 @@ class ByteLevelEncoder(dict):
     Vocabularies of up to 65,536 ids fit. The memory of pre-tokens is bounded by ``keep``.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         super().__init__()
-        self.encode_one, self.keep = tokenizer(path), keep
-        if self.encode_one.get_vocab_size() > 1 << 16:
+        self.library, self.keep = tokenizer(path), keep
+        if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.find_any, self.find_latin = regex.compile(BYTE_LEVEL).findall, re.compile(_BYTE_LEVEL_LATIN).findall
         self.odd = re.compile(_NOT_LATIN).search
         special = special_strings(path)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self.special = special
+        self._forget()
 
     def find(self, text: str) -> list[str]:
         return self.find_any(text) if self.odd(text) else self.find_latin(text)
 
-    def __missing__(self, pre: str) -> bytes:
-        ids = self.encode_one.encode(pre, add_special_tokens=False).ids
-        out = self[pre] = np.asarray(ids, "<u2").tobytes()
-        return out
+    def _forget(self) -> None:
+        self.clear()
+        for s in self.special:
+            self[s] = array("H", [self.library.token_to_id(s)]).tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if len(self) > self.keep:
-            self.clear()
+    def pre_tokens(self, text: str | None) -> list[str]:
         if not text:
-            return b""
-        pre = self.find(text)
+            return []
         if self.special and any(s in text for s in self.special):
-            pre = [p for k, part in enumerate(self.split(text)) for p in ([part] if k % 2 else self.find(part))]
-        return b"".join(map(self.__getitem__, pre))
+            return [p for k, part in enumerate(self.split(text)) for p in ([part] if k % 2 else self.find(part))]
+        return self.find(text)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of some texts; pre-tokens not known yet are encoded together."""
+        if len(self) > self.keep:
+            self._forget()
+        split = [self.pre_tokens(t) for t in texts]
+        flat = [p for x in split for p in x]
+        ids = list(map(self.get, flat))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if holes:
+            new = list({flat[i] for i in holes})
+            tokenize = self.library.model.tokenize
+            for p in new:
+                shown = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+                self[p] = array("H", [t.id for t in tokenize(shown)]).tobytes()
+            for i in holes:
+                ids[i] = self[flat[i]]
+        out, at = [], 0
+        for x in split:
+            out.append(b"".join(ids[at : at + len(x)]))
+            at += len(x)
+        return out
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def byte_level_encoder(path: str) -> ByteLevelEncoder:

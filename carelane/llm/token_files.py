@@ -23,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, shuffle_partitions, table
+from .common import chunks, materialise, shared_dir, shuffle_partitions, table
 from .files import Ranges, Replaced
 from .pretokens import byte_level_encoder
 
 END_ID = 2
 #: Keys of one index bucket, and keys per displacement group.
 BUCKET_KEYS, GROUP_KEYS = 20_000, 4
+#: Texts that are encoded together.
+GROUP_TEXTS = 256
 _NULL_KEY = np.int64(-(2**63))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -153,21 +155,22 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     """Write the shards; returns (and materialises) the catalog doc_id, occurrence, shard, first, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_level_encoder(tokenizer_path)
+        encoder = byte_level_encoder(tokenizer_path)
         end = np.array([end_id], "<u2").tobytes()
         shard = TaskContext.get().partitionId()
         out, last, seen, first = None, None, -1, 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part in chunks(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), GROUP_TEXTS):
                 if out is None:
                     out = Replaced(folder, shard_name(shard), TaskContext.get().taskAttemptId())
-                data = encode(text.as_py()) + end
-                out.write(data)
-                seen = seen + 1 if seen >= 0 and doc_id == last else 0
-                last = doc_id
-                rows.append((doc_id, seen, shard, first, len(data) // 2))
-                first += len(data) // 2
+                for (doc_id, _), ids in zip(part, encoder.encode_all([t.as_py() for _, t in part]), strict=True):
+                    data = ids + end
+                    out.write(data)
+                    seen = seen + 1 if seen >= 0 and doc_id == last else 0
+                    last = doc_id
+                    rows.append((doc_id, seen, shard, first, len(data) // 2))
+                    first += len(data) // 2
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "occurrence", "shard", "first", "n"])
