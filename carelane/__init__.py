@@ -1,0 +1 @@
+"""PySpark-native analytics over people, provider details, appointments and messages."""

@@ -1,6 +1,384 @@
-"""Queries over the analog tables by name, and their SQL."""
+"""Queries over the stand-in tables by name, each with DuckDB SQL that states its result."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carelane.functions import text as X
+from carelane.functions import times as T
+from carelane.functions import values as V
+from carelane.operators import predicates as P
+from carelane.operators import relations as R
+from carelane.operators import writes
+from carelane.operators.cardinality import head, top
+from carelane.plans import views
+from carelane.sources import literals, tables
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_APPT = """appt as (select l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_custkey user_id, l.l_suppkey doctor_id, o.o_orderstatus status,
+ o.o_orderdate created_at, l.l_shipdate appointment_date from lineitem l join orders o on l.l_orderkey = o.o_orderkey)"""
+_MSG = "msg as (select event_id id, user_id sender_id, event_id % 150 receiver_id, event_type message, ts from events)"
+_LAST = """lm as (select least(sender_id, receiver_id) a, greatest(sender_id, receiver_id) b, id, message, ts, row_number() over (
+ partition by least(sender_id, receiver_id), greatest(sender_id, receiver_id) order by ts desc, id desc) rn from msg)"""
+
+
+def _now():
+    return F.expr("timestamp_ntz'1998-06-01 00:00:00'")
+
+
+def query(sql: str):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _line_order(*columns: str) -> list[str]:
+    return ["l_orderkey", "l_linenumber", "l_partkey", *columns]
+
+
+# Scans, filters and projections
+
+
+@query("select c_custkey as id, c_name as name from customer where c_mktsegment = 'BUILDING'")
+def eq_filter(spark, d):
+    return tables.patients(spark, d).where(F.col("segment") == "BUILDING").select("id", "name")
+
+
+@query("select c_custkey as id, c_name as name, c_mktsegment as segment, c_acctbal as balance from customer where c_custkey = 42")
+def point_lookup(spark, d):
+    return tables.patients(spark, d).where(F.col("id") == 42)
+
+
+@query("select s_suppkey as id, s_name as name from supplier where contains(lower(s_name), lower('R#00000001')) or contains(lower(coalesce(null, '')), lower('R#00000001'))")
+def text_search(spark, d):
+    rows = tables.doctors(spark, d)
+    return rows.where(P.search("R#00000001", F.col("name"), F.lit(None).cast("string"))).select("id", "name")
+
+
+@query("select c_custkey as id from customer where c_acctbal >= try_cast('4.5' as double)")
+def min_rating(spark, d):
+    return tables.patients(spark, d).where(F.col("balance") >= V.parse_number(F.lit("4.5"))).select("id")
+
+
+@query("select p_partkey as id, p_size from part where p_size >= 1 and contains(lower(p_type), 'promo') and coalesce(nullif(p_size / 10.0, 0.0), 4.5) >= 4.0 and p_partkey % 10 >= 3")
+def optional_filters(spark, d):
+    part = tables.star(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_type")
+    keep = P.all_of(P.optional_contains(F.col("p_type"), "Promo"), P.optional_contains(F.col("p_type"), ""), P.least_rating(F.col("p_size") / F.lit(10.0), "4.0"), P.available(F.col("id"), "today"))
+    return part.where(keep).select("id", "p_size")
+
+
+@query(f"with {_MSG} select id, sender_id, receiver_id from msg where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17)")
+def pair_filter(spark, d):
+    return tables.messages(spark, d).where(P.between_two(F.col("sender_id"), F.col("receiver_id"), 17, 139)).select("id", "sender_id", "receiver_id")
+
+
+@query("select conv_id, turn, role from conversations where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0")
+def not_blank(spark, d):
+    return tables.star(spark, d, "conversations").where(P.not_blank(F.col("text"))).select("conv_id", "turn", "role")
+
+
+@query("select c_custkey as id from customer where c_name is not null and c_name <> '' and c_mktsegment is not null and c_mktsegment <> ''")
+def required_fields(spark, d):
+    return tables.patients(spark, d).where(P.all_given(F.col("name"), F.col("segment"))).select("id")
+
+
+# Joins
+
+
+@query("select n_nationkey as detail_id, count(s_suppkey) as n, min(s_suppkey) as first_id from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey")
+def embed_many(spark, d):
+    rows = R.embed_many(tables.details(spark, d), tables.doctors(spark, d).withColumnRenamed("detail_id", "owner"), "detail_id", "owner", "doctors", ["id"])
+    return rows.select("detail_id", F.size("doctors").cast("long").alias("n"), V.element(F.col("doctors"), 0)["id"].alias("first_id"))
+
+
+@query(f"with {_APPT} select a.l_orderkey, a.l_linenumber, a.l_partkey, c.c_name as patient_name from appt a left join customer c on a.user_id = c.c_custkey where a.doctor_id = 7")
+def embed_one(spark, d):
+    mine = tables.appointments(spark, d).where(F.col("doctor_id") == 7)
+    rows = R.embed_one(mine, tables.patients(spark, d), "user_id", "id", "patient", ["id", "name"])
+    return rows.select(*_line_order(), F.col("patient.name").alias("patient_name"))
+
+
+@query(f"with {_MSG} select m.id, s.c_name as sender_name, r.c_name as receiver_name from msg m left join customer s on m.sender_id = s.c_custkey left join customer r on m.receiver_id = r.c_custkey")
+def embed_two(spark, d):
+    people = tables.patients(spark, d)
+    rows = R.embed_one(tables.messages(spark, d), people, "sender_id", "id", "sender", ["name"])
+    rows = R.embed_one(rows, people, "receiver_id", "id", "receiver", ["name"])
+    return rows.select("id", F.col("sender.name").alias("sender_name"), F.col("receiver.name").alias("receiver_name"))
+
+
+@query(f"""with {_APPT} select a.l_orderkey, a.l_linenumber, a.l_partkey, s.s_name as doctor_name, n.n_name as specialization
+ from appt a left join supplier s on a.doctor_id = s.s_suppkey left join nation n on s.s_nationkey = n.n_nationkey where a.user_id = 10""")
+def embed_nested(spark, d):
+    doctors = R.embed_many(tables.doctors(spark, d), tables.details(spark, d).withColumnRenamed("detail_id", "owner"), "detail_id", "owner", "doctor_details", ["specialization"])
+    mine = tables.appointments(spark, d).where(F.col("user_id") == 10)
+    rows = R.embed_one(mine, doctors, "doctor_id", "id", "doctor", ["name", "doctor_details"])
+    return rows.select(*_line_order(), F.col("doctor.name").alias("doctor_name"), V.element(F.col("doctor.doctor_details"), 0)["specialization"].alias("specialization"))
+
+
+@query("""with u as (select s_suppkey id, s_name as name from supplier union all select c_custkey, c_name from customer)
+ select u.id, u.name, case when d.did is not null then 'Doctor' else 'Patient' end as role from u left join (select distinct s_suppkey did from supplier) d on u.id = d.did""")
+def role_flag(spark, d):
+    doctors = tables.doctors(spark, d).select("id", "name")
+    rows = R.is_member(R.concatenated(doctors, tables.patients(spark, d).select("id", "name")), "id", doctors, "id", "is_doctor")
+    return rows.select("id", "name", F.when(F.col("is_doctor"), "Doctor").otherwise("Patient").alias("role"))
+
+
+@query("select c_custkey as id from customer c where not exists (select 1 from supplier s where s.s_suppkey = c.c_custkey)")
+def anti_insert(spark, d):
+    return writes.insert_absent(tables.doctors(spark, d).select("id"), tables.patients(spark, d).select("id"), "id")
+
+
+# Groups and windows
+
+
+@query(f"with {_APPT} select distinct c.c_custkey as id, c.c_name as name from appt a join customer c on a.user_id = c.c_custkey where a.doctor_id = 7")
+def distinct_patients(spark, d):
+    ids = tables.appointments(spark, d).where(F.col("doctor_id") == 7).select("user_id").distinct()
+    return tables.patients(spark, d).join(ids, F.col("id") == F.col("user_id"), "left_semi").select("id", "name")
+
+
+@query(f"with {_MSG} select least(sender_id, receiver_id) as a, greatest(sender_id, receiver_id) as b, count(*) as n from msg group by 1, 2")
+def pair_counts(spark, d):
+    return tables.messages(spark, d).select(*R.pair_key(F.col("sender_id"), F.col("receiver_id"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_MSG}, {_LAST} select a, b, id, message from lm where rn = 1")
+def last_message(spark, d):
+    return R.last_messages(tables.messages(spark, d)).select("a", "b", "id", "message")
+
+
+@query(f"""with {_APPT} select user_id as id, any_value(c_name) as name, count(*) as visits, max(appointment_date) as last_visit
+ from appt join customer on user_id = c_custkey where doctor_id = 7 group by user_id""")
+def patient_directory(spark, d):
+    people = tables.patients(spark, d).select("id", "name")
+    return views.patient_directory(tables.appointments(spark, d), people, 7, _line_order())
+
+
+@query(f"""with {_APPT}, r as (select user_id, appointment_date, l_orderkey, l_linenumber, row_number() over (partition by user_id order by appointment_date desc,
+ l_orderkey desc, l_linenumber desc, l_partkey desc) rn from appt where doctor_id = 7) select user_id, cast(appointment_date as date) as day, l_orderkey from r where rn = 1""")
+def last_visit(spark, d):
+    mine = tables.appointments(spark, d).where(F.col("doctor_id") == 7)
+    rows = R.first_by(mine, ["user_id"], [F.desc(c) for c in ("appointment_date", *_line_order())])
+    return rows.select("user_id", F.col("appointment_date").cast("date").alias("day"), "l_orderkey")
+
+
+@query(f"""with {_APPT}, r as (select doctor_id, l_orderkey, row_number() over (partition by doctor_id order by l_orderkey, l_linenumber, l_partkey) rn
+ from appt where user_id = 10) select doctor_id, l_orderkey from r where rn = 1""")
+def first_contact(spark, d):
+    mine = tables.appointments(spark, d).where(F.col("user_id") == 10)
+    return R.first_by(mine, ["doctor_id"], [F.asc(c) for c in _line_order()]).select("doctor_id", "l_orderkey")
+
+
+@query(f"with {_APPT} select count(*) as n from appt where doctor_id = 7 and cast(appointment_date as date) = date '1996-10-13'")
+def today_count(spark, d):
+    mine = tables.appointments(spark, d).where((F.col("doctor_id") == 7) & P.on_day(F.col("appointment_date"), "1996-10-13"))
+    return mine.agg(F.count("*").alias("n"))
+
+
+@query(f"with {_APPT} select count(*) as n from appt where doctor_id = 7 and year(created_at) = 1998 and month(created_at) = 3")
+def month_count(spark, d):
+    mine = tables.appointments(spark, d).where((F.col("doctor_id") == 7) & T.same_month(F.col("created_at"), F.lit("1998-03-15").cast("date")))
+    return mine.agg(F.count("*").alias("n"))
+
+
+@query(f"with {_APPT} select count(*) as n from appt where doctor_id = 7 and status = 'F' and appointment_date < timestamp '1998-06-01 00:00:00'")
+def pending_reviews(spark, d):
+    mine = tables.appointments(spark, d).where((F.col("doctor_id") == 7) & P.overdue(F.col("status"), F.col("appointment_date"), _now(), "F"))
+    return mine.agg(F.count("*").alias("n"))
+
+
+@query(f"with {_APPT} select user_id, count(*) as n, count(*) filter (where status = 'P') as pending from appt group by user_id")
+def cond_counts(spark, d):
+    return tables.appointments(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "P").alias("pending"))
+
+
+@query("select cast(floor(count(*) * 7 / 10) as bigint) as n from customer")
+def floor_metric(spark, d):
+    return tables.patients(spark, d).agg(F.count("*").alias("k")).select(V.share_floor(F.col("k"), 70).alias("n"))
+
+
+@query(f"""with {_APPT}, k as (select count(distinct user_id) patients, count(*) filter (where cast(appointment_date as date) = date '1996-10-13') today,
+ count(*) filter (where status = 'F') confirmed, count(*) filter (where status = 'F' and appointment_date < timestamp '1998-06-01 00:00:00') pending from appt where doctor_id = 7)
+ select 'patients' as label, patients as value from k union all select 'today', today from k union all select 'confirmed', confirmed from k union all select 'pending', pending from k""")
+def kpi_row(spark, d):
+    counts = views.doctor_counts(tables.appointments(spark, d), 7, "1996-10-13", _now(), "F")
+    return R.labelled_counts(counts, {c: c for c in ("patients", "today", "confirmed", "pending")})
+
+
+@query(f"with {_MSG} select count(*) as unread from msg where receiver_id = 7 and id % 3 = 0")
+def unread_count(spark, d):
+    rows = tables.messages(spark, d).withColumn("is_read", F.col("id") % 3 != 0)
+    return rows.where((F.col("receiver_id") == 7) & P.unread(F.col("is_read"))).agg(F.count("*").alias("unread"))
+
+
+# Order, limits and sets
+
+
+@query("select c_custkey as id, c_acctbal as balance from customer order by c_acctbal desc, c_custkey limit 4")
+def topk(spark, d):
+    return top(tables.patients(spark, d).select("id", "balance"), 4, "balance", "id")
+
+
+@query("select s_suppkey as id, s_name as name from supplier order by s_suppkey limit 3")
+def head_k(spark, d):
+    return head(tables.doctors(spark, d).select("id", "name"), 3, F.asc_nulls_last("id"))
+
+
+@query("select id, name, src from (select s_suppkey id, s_name as name, 0 src from supplier union all select c_custkey, c_name, 1 from customer) order by src, id limit 4")
+def union_head(spark, d):
+    both = R.concatenated(tables.doctors(spark, d).select("id", "name"), tables.patients(spark, d).select("id", "name"))
+    return head(both, 4, F.col("src"), F.col("id"))
+
+
+@query(f"with {_MSG} select id, sender_id = 17 as is_own, message, ts from msg where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17) order by ts, id")
+def history_sorted(spark, d):
+    return views.history(tables.messages(spark, d), 17, 139)
+
+
+# Scalar functions
+
+
+@query("select c_custkey as id, concat(upper(substring(lower(c_mktsegment), 1, 1)), substring(lower(c_mktsegment), 2)) as label from customer")
+def capitalise(spark, d):
+    return tables.patients(spark, d).select("id", X.capitalised(F.lower("segment")).alias("label"))
+
+
+@query("select s_suppkey as id, array_to_string(list_transform(string_split(s_name, '#'), lambda x: x[1:1]), '') as initials from supplier")
+def initials(spark, d):
+    return tables.doctors(spark, d).select("id", X.initials(F.col("name"), "#").alias("initials"))
+
+
+@query("select c_custkey as id, coalesce(nullif(c_mktsegment, 'BUILDING'), 'Specialist') as specialty from customer")
+def default_chain(spark, d):
+    return tables.patients(spark, d).select("id", V.or_default(F.col("segment"), "Specialist", "BUILDING").alias("specialty"))
+
+
+@query("select event_id as id, strftime(ts, '%I:%M %p') as clock, strftime(ts, '%Y-%m-%d') as day from events")
+def time_label(spark, d):
+    return tables.messages(spark, d).select("id", T.clock(F.col("ts")).alias("clock"), T.date_part(F.col("ts")).alias("day"))
+
+
+@query("""select o_orderkey as id, strftime(o_orderdate, '%B ') || day(o_orderdate) || case when day(o_orderdate) in (1, 21, 31) then 'st' when day(o_orderdate) in (2, 22) then 'nd'
+ when day(o_orderdate) in (3, 23) then 'rd' else 'th' end || strftime(o_orderdate, ', %Y') as label,
+ strftime(o_orderdate, '%-m/%-d/%Y, %-I:%M:%S %p') as stamp from orders""")
+def date_labels(spark, d):
+    orders = tables.star(spark, d, "orders")
+    return orders.select(F.col("o_orderkey").alias("id"), T.long_date(F.col("o_orderdate")).alias("label"), T.date_time(F.col("o_orderdate")).alias("stamp"))
+
+
+@query("select p_partkey as id, array_to_string(list_transform(range(0, 5), lambda i: case when i < floor(p_size / 10.0) then '*' else '-' end), '') as stars from part")
+def star_array(spark, d):
+    filled = V.stars(F.col("p_size") / 10.0)
+    return tables.star(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(filled, lambda x: F.when(x, "*").otherwise("-")), "").alias("stars"))
+
+
+@query("""select c_custkey as id, case when c_custkey % 2 = 0 then 'even' else 'odd' end as parity, cast(c_custkey as varchar) as shown,
+ case c_mktsegment when 'BUILDING' then '/dashboard' when 'MACHINERY' then '/doctor-dashboard' end as landing,
+ case when c_custkey % 3 <> 1 then 's' else '' end as plural from customer""")
+def small_functions(spark, d):
+    landing = {"BUILDING": literals.LANDING["user"], "MACHINERY": literals.LANDING["doctor"]}
+    return tables.patients(spark, d).select("id", F.when(V.is_even(F.col("id")), "even").otherwise("odd").alias("parity"), F.col("id").cast("string").alias("shown"), V.lookup(F.col("segment"), landing).alias("landing"), X.plural(F.col("id") % 3).alias("plural"))
+
+
+@query("select event_id as id, try_cast(regexp_extract(substring(props, 1, 200), '[0-9]+') as bigint) as number from events")
+def parsed_number(spark, d):
+    digits = F.regexp_replace(F.substring("props", 1, 200), "^[^0-9]*", "")
+    return tables.star(spark, d, "events").select(F.col("event_id").alias("id"), V.parse_int(digits).alias("number"))
+
+
+# Literal sources
+
+
+@query("select * from (values (" + "), (".join(f"{k}, '{s}'" for k, s in enumerate(literals.TIME_SLOTS)) + ")) t(position, slot)")
+def time_slots(spark, d):
+    return literals.literal(spark, "time_slots")
+
+
+# Screens
+
+
+@query("""select s_suppkey as id, 'Dr. ' || s_name as title, n_name as specialty, s_nationkey || ' years' as experience, '4.5' as rating, 'No reviews yet' as reviews,
+ 'Remote Available' as location, 'Available today' as availability, s_suppkey % 2 = 0 as even from supplier join nation on n_nationkey = s_nationkey
+ where contains(lower(s_name), 'supp') or contains(lower(n_name), 'supp')""")
+def doctor_directory(spark, d):
+    doctors = tables.doctors(spark, d)
+    rows = doctors.join(tables.details(spark, d), "detail_id")
+    empty = {"availability": "string", "rating": "double", "reviews": "string", "location": "string"}
+    details = rows.select("id", F.col("id").alias("user_id"), "specialization", F.col("detail_id").cast("int").alias("experience"), *[F.lit(None).cast(k).alias(c) for c, k in empty.items()])
+    return views.doctor_search(doctors.select("id", "name"), details, "supp", rating="4.5", availability="month")
+
+
+@query(f"""with {_APPT}, {_MSG} select 'Total Patients' as label, count(distinct user_id) as value from appt where doctor_id = 7
+ union all select 'Today''s Appointments', count(*) from appt where doctor_id = 7 and cast(appointment_date as date) = date '1996-10-13'
+ union all select 'Pending Reviews', count(*) from appt where doctor_id = 7 and status = 'F' and appointment_date < timestamp '1998-06-01'
+ union all select 'New Messages', count(*) from msg where receiver_id = 7 and id % 3 = 0""")
+def doctor_dashboard(spark, d):
+    mail = tables.messages(spark, d).withColumn("is_read", F.col("id") % 3 != 0)
+    return views.doctor_dashboard(tables.appointments(spark, d), mail, 7, "1996-10-13", _now(), "F")
+
+
+@query(f"""with {_APPT}, {_MSG}, {_LAST}, ids as (select distinct doctor_id from appt where user_id = 10)
+ select i.doctor_id, s.s_name as name, coalesce(n.n_name, 'General Medicine') as specialty, coalesce(p.message, 'No messages yet') as last_message,
+ coalesce(strftime(p.ts, '%I:%M %p'), 'Start chat') as time from ids i join supplier s on s.s_suppkey = i.doctor_id left join nation n on n.n_nationkey = s.s_nationkey
+ left join lm p on p.rn = 1 and p.a = least(10, i.doctor_id) and p.b = greatest(10, i.doctor_id)""")
+def contact_list(spark, d):
+    doctors = tables.doctors(spark, d).join(tables.details(spark, d), "detail_id", "left").select("id", "name", "specialization")
+    return views.contact_list(tables.appointments(spark, d), doctors, tables.messages(spark, d), 10)
+
+
+@query(f"""with {_APPT} select l_orderkey * 100 + l_linenumber as id, coalesce('Dr. ' || s_name, 'Unknown Doctor') as doctor, coalesce(n_name, 'Specialist') as specialty,
+ strftime(created_at, '%-m/%-d/%Y, %-I:%M:%S %p') as date, '12:00 PM' as time, coalesce(nullif(status, ''), 'pending') as type
+ from appt left join supplier on s_suppkey = doctor_id and s_suppkey % 5 <> 0 left join nation on n_nationkey = s_nationkey where user_id = 10""")
+def formatted_appointments(spark, d):
+    known = tables.doctors(spark, d).where("id % 5 <> 0").join(tables.details(spark, d), "detail_id", "left").select("id", "name", F.col("specialization").alias("specialty"))
+    mine = tables.appointments(spark, d).where(F.col("user_id") == 10).withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    return views.formatted_appointments(mine, known)
+
+
+@query("""with u as (select s_suppkey id, s_name as name, 0 src, null as flag from supplier union all select c_custkey, c_name, 1, c_custkey % 2 = 0 from customer)
+ select u.id, u.name, case when u.id in (select s_suppkey from supplier) then 'Doctor' else 'Patient' end as role,
+ case when flag is distinct from false then 'Active' else 'Pending' end as status, 'N/A' as join_date from u order by src, u.id limit 104""")
+def admin_users(spark, d):
+    none = F.lit(None).cast("timestamp").alias("created_at")
+    doctors = tables.doctors(spark, d).select("id", "name", none)
+    patients = tables.patients(spark, d).select("id", "name", (F.col("id") % 2 == 0).alias("is_active"), none)
+    return views.admin_users(doctors, patients, 104)
+
+
+@query("""select 'Total Users' as label, cast(count(*) as varchar) as value from customer union all select 'Active Sessions', cast(cast(floor(count(*) * 7 / 10) as bigint) as varchar) from customer
+ union all select 'Security Score', '98%' union all select 'Doctors', cast(count(*) as varchar) from supplier""")
+def admin_counts(spark, d):
+    return views.admin_counts(tables.patients(spark, d), tables.doctors(spark, d))
+
+
+@query(f"""with {_APPT}, {_MSG} select 'Appointments' as label, count(*) as value from appt where user_id = 10 union all
+ select 'Pending', count(*) from appt where user_id = 10 and status = 'P' union all select 'Messages', count(*) from msg where sender_id = 10""")
+def patient_dashboard(spark, d):
+    return views.patient_counts(tables.appointments(spark, d), tables.messages(spark, d), 10, "P")
+
+
+# Streams
+
+
+@query(f"with {_MSG} select id, sender_id, receiver_id, message from msg where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17)")
+def stream_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The pair's messages through the stream: events as message files in two drops, one message repeated."""
+    from carelane.streaming import messages as S
+    from carelane.streaming.folders import work_folder
+
+    base = work_folder(spark)
+    shape = "id long, sender_id long, receiver_id long, message string, timestamp timestamp"
+    rows = tables.messages(spark, d).select("id", "sender_id", "receiver_id", "message", F.col("ts").cast("timestamp").alias("timestamp"))
+    for half in (0, 1):
+        rows.where((F.col("id") % 2 == half) | ((F.col("sender_id") == 17) & (F.col("receiver_id") == 139))).write.mode("append").parquet(f"{base}/in")
+        q = S.follow(S.live_messages(spark, f"{base}/in", 17, 139, "4000 days", shape), f"{base}/out", f"{base}/state")
+        q.awaitTermination()
+    return spark.read.schema(shape).parquet(f"{base}/out").select("id", "sender_id", "receiver_id", "message")

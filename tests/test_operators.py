@@ -1,0 +1,134 @@
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from carelane.operators import cardinality as C
+from carelane.operators import predicates as P
+from carelane.operators import relations as R
+from carelane.operators import writes
+from carelane.sources.literals import SPECIALTY_FILTERS, literal
+from carelane.sources.person import Person, session_values, signed_in
+from carelane.sources.schema import DDL, schema_of
+
+
+def ids(rows):
+    return sorted(r["id"] for r in rows.collect())
+
+
+def test_pair_is_symmetric(spark):
+    rows = spark.createDataFrame([(1, 1, 2), (2, 2, 1), (3, 1, 3), (4, None, 2)], "id long, sender_id long, receiver_id long")
+    assert ids(rows.where(P.between_two(F.col("sender_id"), F.col("receiver_id"), 1, 2))) == [1, 2]
+
+
+def test_nulls_in_predicates(spark):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, f boolean")
+    assert ids(rows.where(P.active(F.col("f")))) == [1, 3]
+    assert ids(rows.where(P.unread(F.col("f")))) == [2]
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, " \t"), (4, "")], "id long, x string")
+    assert ids(rows.where(P.not_blank(F.col("x")))) == [1]
+    assert ids(rows.where(P.search("", F.col("x")))) == [1, 2, 3, 4]
+    assert ids(rows.where(P.all_given(F.col("x")))) == [1, 3]
+
+
+def test_day_and_overdue(spark):
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 2), "confirmed"), (2, datetime(2024, 1, 2, 23, 59), "pending"), (3, datetime(2024, 1, 3), "confirmed"), (4, None, "confirmed")], "id long, t timestamp_ntz, s string")
+    assert ids(rows.where(P.on_day(F.col("t"), "2024-01-02"))) == [1, 2]
+    now = F.expr("timestamp_ntz'2024-01-03 00:00:00'")
+    assert ids(rows.where(P.overdue(F.col("s"), F.col("t"), now))) == [1]
+    assert ids(rows.where(P.bookable(F.col("t"), now))) == [3]
+
+
+def test_day_filter_is_pushed_down(spark, tmp_path):
+    spark.createDataFrame([(1, datetime(2024, 1, 2))], "id long, t timestamp_ntz").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t").where(P.on_day(F.col("t"), "2024-01-02"))
+    assert "GreaterThanOrEqual(t" in rows._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("term", SPECIALTY_FILTERS)
+def test_specialty_values_match_no_fixture(spark, term):
+    assert literal(spark, "doctors").where(P.optional_contains(F.col("specialization"), term)).isEmpty()
+
+
+def test_availability(spark):
+    rows = spark.range(1000)
+    count = lambda when, seed=None: rows.where(P.available(F.col("id"), when, seed)).count()
+    assert (count("today"), count("week"), count("month"), count("never")) == (700, 900, 1000, 0)
+    assert 600 < count("today", 1) < 800
+    assert P.available(F.col("id"), None) is None
+
+
+def test_embeds(spark):
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    details = spark.createDataFrame([(10, 1, "x"), (11, 1, "y")], "did long, user_id long, spec string")
+    many = {r["id"]: [d["spec"] for d in r["d"]] for r in R.embed_many(users, details, "id", "user_id", "d", ["did", "spec"]).collect()}
+    assert many == {1: ["x", "y"], 2: []}
+    visits = spark.createDataFrame([(5, 1), (6, 9), (7, None)], "vid long, user_id long")
+    one = {r["vid"]: r["patient"] and r["patient"]["name"] for r in R.embed_one(visits, users, "user_id", "id", "patient", ["id", "name"]).collect()}
+    assert one == {5: "a", 6: None, 7: None}
+    dup = users.unionByName(users)
+    assert R.first_match(visits, dup, "user_id", "id", [F.col("name")], ["name"]).count() == 3
+
+
+def test_first_by_skips_null_keys_and_ties(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, None, "c")], "id long, k long, x string")
+    assert ids(R.first_by(rows, ["k"], [F.col("id")])) == [1]
+
+
+def test_last_message_and_membership(spark):
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = spark.createDataFrame([(1, 1, 2, "x", t(1)), (2, 2, 1, "y", t(2)), (3, 1, 2, "z", t(2)), (4, 3, 1, "w", t(0))], "id long, sender_id long, receiver_id long, message string, ts timestamp")
+    assert ids(R.last_messages(rows)) == [3, 4]
+    a = spark.createDataFrame([(1,), (2,)], "id long")
+    both = R.is_member(R.concatenated(a, spark.createDataFrame([(2,), (3,)], "id long")), "id", a, "id", "m")
+    assert sorted((r["id"], r["src"], r["m"]) for r in both.collect()) == [(1, 0, True), (2, 0, True), (2, 1, True), (3, 1, False)]
+
+
+def test_single(spark):
+    rows = spark.range(2)
+    with pytest.raises(C.CardinalityError):
+        C.single(rows.where("id > 5"))
+    with pytest.raises(C.CardinalityError):
+        C.single(rows)
+    with pytest.raises(C.CardinalityError):
+        C.maybe_single(rows)
+    assert C.single(rows.where("id = 1"))["id"] == 1
+    assert C.maybe_single(rows.where("id > 5")) is None
+    assert C.is_empty(rows.where("id > 5"))
+
+
+def test_top_and_head(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 5)], "id long, v long")
+    assert [r["id"] for r in C.top(rows, 2, "v", "id").collect()] == [2, 1]
+    assert [r["id"] for r in C.head(rows, 2, F.col("id")).collect()] == [1, 2]
+
+
+def test_append_message(spark, tmp_path):
+    path = f"{tmp_path}/messages"
+    now = datetime(2024, 1, 23, 10, 30)
+    assert writes.append_message(spark, path, 1, 1, 2, "hello", now)["message"] == "hello"
+    assert writes.append_message(spark, path, 2, 2, 1, " \n", now) is None
+    writes.append_message(spark, path, 3, 2, 1, "again", now)
+    assert ids(spark.read.schema(schema_of("messages")).parquet(path)) == [1, 3]
+
+
+def test_insert_if_absent(spark, tmp_path):
+    path = f"{tmp_path}/users"
+    spark.createDataFrame([(1, "A", "john.smith@gmail.com", None, "user", None, None)], schema_of("users")).write.parquet(path)
+    assert writes.insert_people(spark, path, literal(spark, "seed_users")) == 3
+    assert writes.insert_people(spark, path, literal(spark, "seed_users")) == 0
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_literals_and_schemas(spark):
+    sizes = {"doctors": 6, "patients": 4, "users": 4, "appointments": 3, "messages": 5, "seed_users": 4, "time_slots": 14, "appointment_types": 5}
+    assert {k: literal(spark, k).count() for k in sizes} == sizes
+    assert all(len(schema_of(k)) >= 3 for k in DDL)
+
+
+def test_session_person():
+    one = Person(7, "Ann", "ann@example.com", "doctor")
+    assert signed_in(session_values(one)) == one
+    assert signed_in(session_values(None)) is None
+    assert signed_in({**session_values(one), "userName": ""}) is None
+    assert signed_in({**session_values(one), "userId": "7x"}).id == 7
