@@ -199,10 +199,10 @@ def order_edges(sets: DataFrame, orders: dict[str, list[int]], percent: int) ->
     return prefix.join(least, ["tag", "token"]).select("tag", F.col("node").alias("a"), "b").distinct()
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def verify(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Roots (smallest linked id) and link counts of the sets of one task.
 
-    With two blocks only pairs across them are compared: the pairs inside have tasks of their own.
+    In a task of two blocks only pairs ``across`` them are compared: the pairs inside have their own tasks.
     """
     g = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -214,7 +214,6 @@ def verify(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], block: n
     posting, ptr = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(df)))])
     at = np.searchsorted(owner, np.arange(g + 1))
     label, links = np.arange(g), np.zeros(g, np.int64)
-    across = len(np.unique(block)) > 1
     for i in range(g):
         t = token[at[i] : at[i + 1]]
         if not len(t):
@@ -257,7 +256,7 @@ def verified_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFram
         lists = part["shingles"].combine_chunks() if isinstance(part["shingles"], pa.ChunkedArray) else part["shingles"]
         values = [x.values.to_numpy(zero_copy_only=False) for x in lists]
         ids = part["node"].to_numpy()
-        roots, links = verify(ids, part["copies"].to_numpy(), values, part["block"].to_numpy(), percent)
+        roots, links = verify(ids, part["copies"].to_numpy(), values, part["block"].to_numpy(), percent, part["lo"][0].as_py() != part["hi"][0].as_py())
         keep = (links > 0) | (roots != ids)
         return pa.table({"node": pa.array(ids[keep]), "root": pa.array(roots[keep]), "links": pa.array(links[keep])})
 

@@ -1,0 +1,86 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from carelane.llm import substring_dedup as S
+
+
+def grams(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def corpus(seed=2):
+    rng = random.Random(seed)
+    fresh = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(n) for n in (51, 60, 90, 200)]
+    rows = []
+    for i in range(60):
+        w = fresh(rng.randint(10, 150))
+        for p in passages:
+            if rng.random() < 0.3:
+                at = rng.randrange(len(w))
+                w[at:at] = [x.upper() for x in p] if rng.random() < 0.3 else p
+        sep = rng.choice([" ", "  ", "\n"])
+        rows.append((i, sep.join(w)))
+    return rows
+
+
+def test_long_repeats_go_and_the_first_stays(docs_of):
+    rows = corpus()
+    texts = dict(rows)
+    got = S.dedup(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    seen = {}
+    for r in sorted(got, key=lambda r: r["doc_id"]):
+        for g in grams(r["text"], 50):
+            assert g not in seen, (r["doc_id"], seen.get(g))
+            seen[g] = r["doc_id"]
+        # Offsets point into the original text; the rest is what is left.
+        left, at = "", 0
+        for s in r["dedup"]["spans"]:
+            left += texts[r["doc_id"]][at : s["start"]]
+            at = s["end"]
+            again = grams(texts[r["doc_id"]][s["start"] : s["end"]], 40)
+            assert again
+            assert all(any(g in grams(t, 40) for i, t in rows if i < r["doc_id"]) for g in list(again)[:3])
+        assert left + texts[r["doc_id"]][at:] == r["text"]
+    everything = set().union(*(grams(t, 1) for t in texts.values()))
+    assert set().union(*(grams(r["text"], 1) for r in got)) == everything
+
+
+def test_texts_without_repeats_are_untouched(docs_of):
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(200)) + "\nshared footer line of a few words") for i in range(5)]
+    assert {r["doc_id"]: r["text"] for r in S.dedup(docs_of(rows)).collect()} == dict(rows)
+
+
+def test_lines_and_paragraphs(docs_of):
+    rows = [(1, "a b c\nd e f\n\ng h i"), (2, "x y z\nD  E f\n\ng h i")]
+    got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of(rows), kinds=("line",), line_words=3).collect()}
+    assert got == {1: rows[0][1], 2: "x y z\n"}
+    got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of(rows), kinds=("paragraph",), line_words=3).collect()}
+    assert got == {1: rows[0][1], 2: "x y z\nD  E f\n\n"}
+
+
+def test_repeats_inside_one_text(docs_of):
+    p = " ".join(f"w{k}" for k in range(60))
+    r = S.dedup(docs_of([(1, f"{p} middle {p} end")])).first()
+    assert r["text"].startswith(p + " middle")
+    assert 40 <= r["dedup"]["n_removed"] <= 60
+
+
+def test_odd_rows(odd, none):
+    clash = odd.withColumn("digests", F.lit(1)).withColumn("rank", F.lit(2))
+    got = S.dedup(clash).drop("dedup")
+    assert got.columns == clash.columns
+    changed = {(r["doc_id"], r["text"]) for r in clash.collect()} ^ {(r["doc_id"], r["text"]) for r in got.collect()}
+    assert {i for i, _ in changed} == {10}
+    assert got.count() == odd.count()
+    assert S.dedup(none).count() == 0
+
+
+def test_exact_copies_lose_all(docs_of):
+    p = " ".join(f"w{k}" for k in range(80))
+    got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of([(5, p), (3, p), (None, p)])).collect()}
+    assert got == {3: p, 5: "", None: ""}
