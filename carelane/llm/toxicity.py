@@ -138,7 +138,23 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
                 b -= rate * mb / (np.sqrt(vb) + 1e-6)
         total += w
         bias_total += b
-    return Model((total / len(seeds)).astype(np.float32), bias_total / len(seeds), bits)
+    weights, bias = (total / len(seeds)).astype(np.float32), bias_total / len(seeds)
+    return Model(weights, bias - prior_cut(np.array([bias + weights[f].sum(dtype=np.float64) for f in unl]), prior), bits)
+
+
+def prior_cut(margins: np.ndarray, prior: float) -> float:
+    """The margin that parts the prior's share of the unlabelled texts from the rest.
+
+    It lies in the widest gap among the ranks from 0.9 to 0.97 times that share; with no gap there it is 0.
+    """
+    ordered = -np.sort(-margins)
+    lo, hi = int(0.9 * prior * len(ordered)), int(0.97 * prior * len(ordered)) + 1
+    lo, hi = max(lo, 1), min(hi, len(ordered) - 1)
+    if lo > hi:
+        return 0.0
+    gaps = ordered[lo - 1 : hi] - ordered[lo : hi + 1]
+    at = int(np.argmax(gaps))
+    return float(ordered[lo - 1 + at] + ordered[lo + at]) / 2 if gaps[at] > 1e-6 else 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> Model:
