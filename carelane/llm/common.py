@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Upper bound on the partitions that one operator asks for; far above what a 100 TB run needs.
-MAX_PARTITIONS = 100_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, read by Spark (any store Spark can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of this process, by application; only where no shared folder is named.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, as a URI.
 
@@ -31,20 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="carelane-")
-        spark.conf.set("spark.checkpoint.dir", base) if _settable(spark) else None
+        app = spark.sparkContext.applicationId
+        base = _own_dirs.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="carelane-")
+        _own_dirs[app] = base
     path = f"{base.rstrip('/')}/carelane-{os.getpid()}/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:  # noqa: BLE001 - only a capability probe
-        return False
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     """Delete a work folder at exit; by then the session may be gone, which is no error."""
     try:
@@ -55,13 +50,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
     path = shared_dir(df.sparkSession)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,12 +61,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a whole text; null has none."""
-    # bytes.split() splits at exactly the six ASCII separators, str.split() at many more.
-    return [w.decode("utf-8", "surrogatepass") for w in encode(text).split()]
-
-
 def encode(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
