@@ -26,4 +26,16 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words, shingle sets, all pairs that share a shingle, their links, and the reachable documents of each.
+_JACCARD = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end sh from w),
+x as (select doc_id, len(sh) n, unnest(sh) g from s),
+p as (select a.doc_id a, b.doc_id b from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r(doc_id, root) as (select doc_id, doc_id from s union select e.b, r.root from r join e on r.doc_id = e.a)
+select s.doc_id, len(sh) as n_shingles, (select min(root) from r where r.doc_id = s.doc_id) as component_id, (select count(*) from e where e.a = s.doc_id) as n_links from s
+"""
+
+#: The other operators train classifiers, tokenize, hash or pack; SQL cannot state those results.
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD}
