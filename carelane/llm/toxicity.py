@@ -29,8 +29,9 @@ from .common import held_out, table
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 BITS = 18
 EPOCHS, BATCH, RATE, DECAY, SEEDS = 40, 512, 0.02, 5e-4, (1, 2, 3, 4, 5)
-#: A feature enters when this many positive texts have it and its share in P exceeds that in U by this many deviations.
-LEAST_TEXTS, LEAST_Z = 3, 8.0
+#: A feature enters when this many positive texts have it, its share in P exceeds that in U by this many
+#: deviations, and this part of its share in U is what the prior lets positive texts have there.
+LEAST_TEXTS, LEAST_Z, LEAST_SHARE = 6, 6.0, 0.6
 #: Shares of the prior below and above which an estimate is not taken.
 PRIOR_RANGE = (0.001, 0.9)
 
@@ -93,12 +94,15 @@ def nnpu_risk(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, np
     return positive + negative, g_pos, sig(unl) / n_u
 
 
-def enriched(pos: list[np.ndarray], unl: list[np.ndarray], dim: int) -> np.ndarray:
-    """Which features confirmed toxic texts have far more often than unlabelled ones."""
+def enriched(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, dim: int) -> np.ndarray:
+    """Which features confirmed toxic texts have far more often than unlabelled ones.
+
+    A feature of toxic texts alone is in U as often as in P times the prior; most of that is asked for.
+    """
     in_p = np.bincount(np.concatenate(pos), minlength=dim)
     share = (np.bincount(np.concatenate(unl), minlength=dim) + 1) / (len(unl) + 2)
     z = (in_p - len(pos) * share) / np.sqrt(len(pos) * share * (1 - share) + 1e-12)
-    return (in_p >= LEAST_TEXTS) & (z >= LEAST_Z)
+    return (in_p >= LEAST_TEXTS) & (z >= LEAST_Z) & (prior * in_p >= LEAST_SHARE * share * len(pos))
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, seeds=SEEDS) -> Model:
@@ -108,7 +112,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
     if not pos or not unl:
         bias = -40.0 if prior == 0 else float(np.log(prior / (1 - prior)))
         return Model(np.zeros(dim, dtype=np.float32), bias, bits)
-    kept = enriched(pos, unl, dim)
+    kept = enriched(pos, unl, prior, dim)
     # Only the features that enter are numbered, so that a step's work follows their count.
     number, width = np.cumsum(kept) - 1, max(1, int(kept.sum()))
     pos, unl = [number[f[kept[f]]] for f in pos], [number[f[kept[f]]] for f in unl]
