@@ -19,18 +19,22 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One star step on edges (tag, a, b) with a > b."""
+    """One star step on edges (tag, a, b) with a > b, written to the shared folder.
+
+    The minima are a table of their own, so that the join's two sides are plain shuffles by node and the
+    adaptive join can split the edges of a hub.
+    """
     if small:
         near = edges  # each node with its smaller neighbours
     else:
         near = edges.unionByName(edges.select("tag", F.col("b").alias("a"), F.col("a").alias("b")))
-    least = near.groupBy("tag", "a").agg(F.min("b").alias("m")).select("tag", "a", F.least("a", "m").alias("m"))
+    least = materialise(near.groupBy("tag", "a").agg(F.min("b").alias("m")).select("tag", "a", F.least("a", "m").alias("m")))
     joined = near.join(least, ["tag", "a"])
     if small:
         made = joined.select("tag", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("tag", "a", F.col("m").alias("b")))
     else:
         made = joined.where("b > a").select("tag", F.col("b").alias("a"), F.col("m").alias("b"))
-    return made.where("a > b").distinct()
+    return materialise(made.where("a > b").distinct())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -42,7 +46,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialise(directed)
     before = _state(now)
     for _ in range(most_rounds):
-        now = materialise(_star(_star(now, small=False), small=True))
+        now = _star(_star(now, small=False), small=True)
         after = _state(now)
         if after == before:
             return now.select("tag", F.col("a").alias("node"), F.col("b").alias("root"))
