@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 from .textbatch import Words, mix, slices
 
 #: Words in a passage window, windows of which one is selected, least words of a line or paragraph unit.
@@ -108,7 +108,8 @@ def unit_table(docs: DataFrame, **how) -> DataFrame:
 def later_units(docs: DataFrame, **how) -> DataFrame:
     """rank, digests (array): the units of each document that an earlier document has."""
     found = unit_table(docs, **how)
-    firsts = found.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first")
+    # A table of its own: a join of two plain shuffles can split the documents of a frequent digest.
+    firsts = materialise(found.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first"))
     return found.join(firsts, "digest").where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_set("digest").alias("digests"))
 
 
