@@ -34,7 +34,7 @@ from .components import components
 from .textbatch import Words, mix, slices
 
 #: Hash classes of shingles, and bounds of one verification task: sets and shingles.
-CLASSES, TASK_SETS, TASK_SHINGLES = 10, 4096, 20_000_000
+CLASSES, TASK_SETS, TASK_SHINGLES = 10, 1024, 5_000_000
 #: Shingle hashes are compared in batches of this many postings.
 _POSTINGS = 4_000_000
 
@@ -128,7 +128,7 @@ def survivors(docs: DataFrame, nodes: DataFrame, width: int, percent: int, class
     when u - s >= p.
     """
     tokens = class_tokens(docs, width, classes)
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    shared = materialise(tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token"))
     have = tokens.join(shared, "token").distinct().groupBy("node").agg(F.count("*").alias("s"))
     return nodes.join(have, "node", "left").where(F.col("u") - F.coalesce("s", F.lit(0)) < prefix_size_column("n", percent)).select("node", "n", "doc_id", "copies")
 
@@ -185,7 +185,8 @@ def order_edges(sets: DataFrame, orders: dict[str, list[int]], percent: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tags)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(ranks))], names=["tag", "token", "node", "later"])
 
     listed = materialise(sets.select("node", "shingles").mapInArrow(explode, "tag int, token long, node long, later int"))
-    counts = listed.groupBy("tag", "token").agg(F.count("*").alias("df")).where("df > 1")
+    # Aggregates by token are tables of their own: a join of two plain shuffles can split a frequent token.
+    counts = materialise(listed.groupBy("tag", "token").agg(F.count("*").alias("df")).where("df > 1"))
     common = listed.join(counts, ["tag", "token"])
     # A set's common shingles are at most its own size: a bounded group.
     picked = common.groupBy("tag", "node").agg(F.count_if(F.col("later") == 0).alias("c0"), F.sort_array(F.collect_list(F.struct("later", "df", "token"))).alias("t"))
@@ -195,7 +196,7 @@ def order_edges(sets: DataFrame, orders: dict[str, list[int]], percent: int) ->
     free = (prefix_size_column("n", percent) - (F.col("u0") - F.col("c0"))).cast("int")
     prefix = picked.join(shape, ["tag", "node"]).withColumn("free", free).where("free > 0").select("tag", "node", F.explode(F.slice("t", F.lit(1), F.col("free"))).alias("x")).select("tag", "node", F.col("x.token").alias("token"))
     prefix = materialise(prefix)
-    least = prefix.groupBy("tag", "token").agg(F.min("node").alias("b"))
+    least = materialise(prefix.groupBy("tag", "token").agg(F.min("node").alias("b")))
     return prefix.join(least, ["tag", "token"]).select("tag", F.col("node").alias("a"), "b").distinct()
 
 
@@ -245,7 +246,8 @@ def verified_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFram
     keyed = sets.join(groups, "node").withColumn("n", F.size("shingles").cast("long"))
     shape = keyed.groupBy("B", "C").agg(F.count("*").alias("g"), F.sum("n").alias("total")).where("g > 1")
     parts = F.greatest(F.ceil(F.col("g") / TASK_SETS), F.ceil(F.col("total") / TASK_SHINGLES)).cast("int")
-    shape = shape.select("B", "C", F.when(parts > 1, 2 * parts).otherwise(1).alias("parts"))
+    # A table of its own, so that the join sees two plain shuffles and can split a large group.
+    shape = materialise(shape.select("B", "C", F.when(parts > 1, 2 * parts).otherwise(1).alias("parts")))
     placed = keyed.join(shape, ["B", "C"]).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     # Each block meets every other in one task, and itself in its own.
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
