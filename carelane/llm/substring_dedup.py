@@ -2,18 +2,22 @@
 
 Units are normalised (words, A-Z folded, any white space between), their digests grouped globally, and
 the occurrence in the document that ranks first (smallest doc_id) is kept; all later ones are cut out of
-their texts, with the offsets in the original text retained. Lines and paragraphs alone miss passages
-that stand in the middle of a line, so a third kind of unit covers them: windows of ``PASSAGE_WORDS``
-words, of which each run of ``STRIDE`` windows selects the one with the smallest digest. Equal passages
-select equal windows wherever they stand; one of ``PASSAGE_WORDS + STRIDE - 1`` words or more always
-shares a selected window.
+their texts, with the offsets in the original text retained. The registered query and the pipeline's stage
+(``WHOLE``) hash every line and paragraph of ``SHORT_WORDS`` words or more and every text as a whole, so that
+copies of texts shorter than that go, too. Lines and paragraphs alone miss passages that stand in the middle
+of a line, so another kind of unit covers them: windows of ``PASSAGE_WORDS`` words, of which each run of
+``STRIDE`` windows selects the one with the smallest digest. Equal passages select equal windows wherever
+they stand; one of ``PASSAGE_WORDS + STRIDE - 1`` words or more always shares a selected window. A line, a
+paragraph and a text of the same words are the same unit. ``dedup`` without arguments takes long lines and
+passages only.
 
 Only (digest, document) pairs are shuffled; a digest's documents are never gathered: its first document
 is a partial aggregate, joined back on the digest.
 
 Defined results: null and empty texts have no units and come back as they are; rows without doc_id rank
 after all others, by the hash of their text; rows that share a doc_id count as one document; within a
-document the first occurrence is kept; exact copies lose their whole text; empty tables give no rows;
+document the first occurrence is kept; exact copies lose their whole text (without arguments: those of
+40 words or more); empty tables give no rows;
 other columns pass through ``dedup`` untouched, also ones with this operator's output names.
 """
 
@@ -32,8 +36,13 @@ from .textbatch import Words, mix, slices
 #: Words in a passage window, windows of which one is selected, least words of a line or paragraph unit.
 PASSAGE_WORDS, STRIDE, LINE_WORDS = 40, 11, 40
 KINDS = ("line", "passage")
+#: Least words of a line or paragraph in the registered query and the pipeline, and all that they hash.
+SHORT_WORDS = 5
+WHOLE = {"kinds": ("line", "paragraph", "text", "passage"), "line_words": SHORT_WORDS}
+#: Line feeds in a row that part units of a kind; None: a text is one unit.
+_GAP = {"line": 1, "paragraph": 2, "text": None}
 _NONE = np.uint64(2**64 - 1)
-_SEED = {"line": np.uint64(0xA24BAED4963EE407), "paragraph": np.uint64(0x9FB21C651E98DF25), "passage": np.uint64(0)}
+_SEED = np.uint64(0xA24BAED4963EE407)
 
 
 def passage_units(words: Words, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,31 +60,36 @@ def passage_units(words: Words, size: int, stride: int) -> tuple[np.ndarray, np.
     return padded[pick], pick - (stride - 1), pick - (stride - 1) + size
 
 
-def line_units(words: Words, least: int, gap: int, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units between ``gap`` or more line feeds in a row (1: lines, 2: paragraphs), of ``least`` words or more."""
+def line_units(words: Words, least: int, gap: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units between ``gap`` or more line feeds in a row (1: lines, 2: paragraphs, None: texts), of ``least`` words or more."""
     n = len(words.hashes)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    feeds = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
-    between = feeds[words.starts[1:]] - feeds[words.ends[:-1]]
-    first = np.unique(np.concatenate([[0], np.flatnonzero(between >= gap) + 1, words.at[:-1][words.at[:-1] < n]]))
+    first = words.at[:-1][words.at[:-1] < n]
+    if gap is not None:
+        feeds = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
+        between = feeds[words.starts[1:]] - feeds[words.ends[:-1]]
+        first = np.concatenate([np.flatnonzero(between >= gap) + 1, first])
+    first = np.unique(first)
     last = np.append(first[1:], n)
     # A hash that depends on the order of the unit's words: each weighted by its place in the unit.
     place = np.arange(n) - np.repeat(first, last - first)
     weighted = mix(words.hashes + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     total = np.add.reduceat(weighted, first)
     long = last - first >= least
-    return mix(total ^ seed)[long], first[long], last[long]
+    return mix(total ^ _SEED)[long], first[long], last[long]
 
 
 def units(words: Words, kinds=KINDS, passage_words=PASSAGE_WORDS, stride=STRIDE, line_words=LINE_WORDS):
     """All units of a slice: digests (signed), first words, last words + 1."""
-    made = []
-    for kind in kinds:
-        if kind == "passage":
-            made.append(passage_units(words, passage_words, stride))
-        else:
-            made.append(line_units(words, line_words, 1 if kind == "line" else 2, _SEED[kind]))
+    made = [line_units(words, 1 if kind == "text" else line_words, _GAP[kind]) for kind in kinds if kind != "passage"]
+    if len(made) > 1:
+        digest, first, last = (np.concatenate(x) for x in zip(*made, strict=True))
+        # A paragraph of one line, or a text of one paragraph, is one unit.
+        once = np.unique(first * (len(words.hashes) + 1) + last, return_index=True)[1]
+        made = [(digest[once], first[once], last[once])]
+    if "passage" in kinds:
+        made.append(passage_units(words, passage_words, stride))
     return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
 
@@ -186,5 +200,5 @@ _REPORT_SQL = "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:b
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_words, n_removed, spans, and the text that is left."""
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), **WHOLE)
     return out.select("doc_id", F.col("dedup.n_words").alias("n_words"), F.col("dedup.n_removed").alias("n_removed"), F.col("dedup.spans").alias("spans"), "text")

@@ -84,3 +84,51 @@ def test_exact_copies_lose_all(docs_of):
     p = " ".join(f"w{k}" for k in range(80))
     got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of([(5, p), (3, p), (None, p)])).collect()}
     assert got == {3: p, 5: "", None: ""}
+
+
+def brute_lines(rows, least):
+    """Texts by doc_id after every later line or text is cut, by plain lookups (paragraphs here are lines)."""
+    seen, out = {}, {}
+    for i, text in sorted(rows):
+        kept, whole = [], " ".join(text.lower().split())
+        known = whole in seen
+        for line in text.split("\n"):
+            unit = " ".join(line.lower().split())
+            n = len(unit.split())
+            if n >= least and unit in seen:
+                continue
+            kept += unit.split()
+            if n >= least:
+                seen[unit] = i
+        out[i] = [] if known else kept
+        seen[whole] = i
+    return out
+
+
+def test_registered_query_cuts_short_lines_and_short_texts(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    footers = [" ".join(f"f{n}x{k}" for k in range(n)) for n in (3, 4, 5, 7, 12, 25, 39)]
+    rows = []
+    for i in range(60):
+        own = []
+        # Fresh lines between, so that no window of 40 words repeats.
+        for j, f in enumerate(rng.sample(footers, 4)):
+            own += [" ".join(f"d{i}x{j}x{k}" for k in range(rng.randint(1, 20))), f.upper() if rng.random() < 0.3 else f]
+        rows.append((i, "\n".join(own)))
+    rows += [(100, "thank you"), (101, "Thank  you"), (102, "a\nb"), (103, "a\nb"), (104, "same text here for two"), (105, "x one y\nsame text here for two")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in S.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    want = brute_lines(rows, 5)
+    assert {i: r["text"].lower().split() for i, r in got.items()} == want
+    assert all(r["n_words"] - r["n_removed"] == len(want[i]) for i, r in got.items())
+    staged = corpus_pipeline.substring_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"].lower().split() for r in staged} == {i: w for i, w in want.items() if w}
+
+
+def test_registered_query_cuts_paragraphs_of_short_lines(spark, docs_of, tmp_path):
+    rows = [(1, "p q r\n\na b\nc d\ne f"), (2, "x y z\n\nA B C\nd e f\n\nlast"), (3, "a b c d e f\nmore")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in S.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: rows[0][1], 2: "x y z\n\nlast", 3: "more"}
