@@ -4,12 +4,13 @@ Documents are dealt at random to shards of bounded size; a shard packs its own,
 are ordered by what is left in them and carry bitmaps of the sources and duplicate clusters inside. A piece
 goes to the tightest bin that it fits and that has neither its source nor its cluster: the search starts at
 the least sufficient residual and goes on to its successors until a compatible bin is found; else a new bin
-opens. Longer documents are split into full sequences and a rest, so that nothing is cut off.
+opens. Longer documents are split into full sequences and a rest, so that nothing is cut off. Clusters of
+documents are the classes of the near-duplicate join (5-word shingles, similarity 0.8 or more).
 
 Hot sources and large groups of copies spread over all shards; conflicts only ever hold inside a bin.
 
 Defined results: lengths of null texts are 0 and such documents still get a place; a null source or
-cluster conflicts with nothing; repeated rows are packed each; an empty table gives no rows; equal lengths
+cluster conflicts with nothing; texts without words are clusters of byte-equal texts; repeated rows are packed each; an empty table gives no rows; equal lengths
 go in the order of (row key, source, cluster); columns of other names are not read.
 """
 
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
+from .jaccard_join import join
 from .source_mixing import word_count
 
 #: Tokens (words) of a sequence, and documents of a shard.
 CAPACITY, SHARD_DOCS = 1024, 4096
+#: Words of a shingle and hundredths of similarity that make documents one duplicate cluster.
+WIDTH, PERCENT = 5, 80
 
 
 class BestFit:
@@ -106,8 +110,14 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, keep:
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
-    """Documents (doc_id, source, text) by their words; copies of a text form a duplicate cluster."""
-    return pack(docs, word_count(F.col("text")), F.col("source"), F.xxhash64("text"), ["doc_id"], **how)
+    """Documents (doc_id, source, text) by their words; near-duplicate texts form a cluster, named by the least hash of a text in it."""
+    # Texts are named by their hash: doc_id can be missing, or stand on several rows.
+    classes = join(docs.select(F.xxhash64("text").alias("doc_id"), "text"), WIDTH, PERCENT)
+    # Tables of their own: a frequent text can be split in the join, and the rows' places stay as they are.
+    named = materialise(classes.groupBy(F.col("doc_id").alias("__text")).agg(F.min("component_id").alias("cluster")))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("length"), F.xxhash64("text").alias("__text"))
+    light = materialise(rows.join(named, "__text", "left").select("doc_id", "source", "length", "cluster"))
+    return pack(light, F.col("length"), F.col("source"), F.col("cluster"), ["doc_id"], **how)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -116,3 +116,17 @@ def test_odd_rows(odd, none):
     assert mixed.drop("mix").columns == clash.columns
     assert mixed.count() == odd.count()
     assert M.mix(none).count() == 0
+
+
+def test_near_copies_are_one_cluster_and_share_no_sequence(spark, docs_of, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words), " ".join([*words[:59], "other"]), " ".join(words).upper(), "  ".join(words)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate(near)] + [(None, near[0], "s8"), (9, " ".join(f"x{k}" for k in range(60)), "s9"), (9, near[1], "s10")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = P.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    assert sorted(r["source"] for r in got) == sorted(s for _, _, s in rows)
+    check(got, P.CAPACITY)
+    cluster = {r["source"]: r["cluster"] for r in got}
+    alike = {"s0", "s1", "s2", "s3", "s8", "s10"}
+    assert len({cluster[s] for s in alike}) == 1 and cluster["s9"] != cluster["s0"]
+    assert len({r["bin"] for r in got if r["source"] in alike}) == len(alike)
