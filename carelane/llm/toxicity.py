@@ -3,8 +3,9 @@
 Confirmed toxic examples (P) and unlabelled text (U) train linear numpy classifiers on hashed word
 features under the non-negative risk estimator ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``
 (logistic loss). Labels of the negative class are never used; the class prior corrects the decision.
-Fitting happens on the driver over a sample whose size is a parameter; scoring is one pass over all
-whole texts on the executors with weights of a fixed size.
+Fitting happens on the driver over a sample whose size is a parameter. One pass over all whole texts
+counts their margins in bins, and the decision lies where the share above is the class prior; scoring is
+another pass on the executors with weights of a fixed size.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; repeated
 rows get equal scores; an empty table gives no rows; without any positive example every score is
@@ -32,6 +33,8 @@ EPOCHS, BATCH, RATE, DECAY, SEEDS = 40, 512, 0.02, 5e-4, (1, 2, 3, 4, 5)
 #: A feature enters when this many positive texts have it, its share in P exceeds that in U by this many
 #: deviations, and this part of its share in U is what the prior lets positive texts have there.
 LEAST_TEXTS, LEAST_Z, LEAST_SHARE = 6, 6.0, 0.6
+#: Margin bins that place the decision: their greatest margin either way, and bins of one unit.
+BIN_RANGE, BINS_A_UNIT = 40, 512
 #: Shares of the prior below and above which an estimate is not taken.
 PRIOR_RANGE = (0.001, 0.9)
 
@@ -72,9 +75,11 @@ class Model:
     bias: float
     bits: int
 
+    def margin(self, features: np.ndarray) -> float:
+        return self.bias + float(self.weights[features].sum(dtype=np.float64))
+
     def score(self, features: np.ndarray) -> float:
-        z = self.bias + float(self.weights[features].sum(dtype=np.float64))
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(features), -40, 40))))
 
 
 def nnpu_risk(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -106,7 +111,7 @@ def enriched(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, dim: in
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, seeds=SEEDS) -> Model:
-    """Train one classifier per seed with Adam on nnPU batches and average them."""
+    """Train one classifier per seed with Adam on nnPU batches and average them; the decision is the risk's own."""
     dim = 1 << bits
     prior = float(np.clip(prior, *PRIOR_RANGE)) if pos else 0.0
     if not pos or not unl:
@@ -145,31 +150,47 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
         total += w
         bias_total += b
     own, bias = (total / len(seeds)).astype(np.float32), bias_total / len(seeds)
-    bias -= prior_cut(np.array([bias + own[f].sum(dtype=np.float64) for f in unl]), prior)
     weights = np.zeros(dim, dtype=np.float32)
     weights[kept] = own[: int(kept.sum())]
     return Model(weights, bias, bits)
 
 
-def prior_cut(margins: np.ndarray, prior: float) -> float:
-    """The margin that parts the prior's share of the unlabelled texts from the rest.
+def margin_bins(docs: DataFrame, model: Model) -> list[tuple[int, float, float]]:
+    """(texts, least margin, greatest margin) of every margin bin that has texts, of all of ``docs``, highest first."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
 
-    It lies in the widest gap among the ranks from 0.95 to 0.98 times that share; with no gap there it is 0.
-    """
-    ordered = -np.sort(-margins)
-    lo, hi = int(0.95 * prior * len(ordered)), int(0.98 * prior * len(ordered)) + 1
-    lo, hi = max(lo, 1), min(hi, len(ordered) - 1)
-    if lo > hi:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias, width = shared.value
+        own, make = Model(weights, bias, width), Featuriser(width)
+        for batch in batches:
+            z = np.array([own.margin(make(t.as_py())) for t in batch.column(0)], np.float64)
+            bins = np.floor(np.clip(z, -BIN_RANGE, BIN_RANGE) * BINS_A_UNIT).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(z)], names=["bin", "z"])
+
+    # At most 2 * BIN_RANGE * BINS_A_UNIT + 1 rows, whatever the input.
+    found = docs.select("text").mapInArrow(run, "bin int, z double").groupBy("bin").agg(F.count("*").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi")).collect()
+    return [(r["n"], r["lo"], r["hi"]) for r in sorted(found, key=lambda r: -r["bin"])]
+
+
+def prior_cut(bins: list[tuple[int, float, float]], prior: float) -> float:
+    """The margin that parts the prior's share of all texts from the rest: between the two bins where the count above is nearest to it."""
+    if not bins:
         return 0.0
-    gaps = ordered[lo - 1 : hi] - ordered[lo : hi + 1]
-    at = int(np.argmax(gaps))
-    return float(ordered[lo - 1 + at] + ordered[lo + at]) / 2 if gaps[at] > 1e-6 else 0.0
+    counts = np.array([n for n, _, _ in bins])
+    above = np.concatenate([[0], np.cumsum(counts)])
+    at = int(np.argmin(np.abs(above - prior * above[-1])))
+    if at == 0:
+        return bins[0][2] + 1.0
+    if at == len(bins):
+        return bins[-1][1] - 1.0
+    return (bins[at - 1][1] + bins[at][2]) / 2
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> Model:
     """Fit on bounded samples: toxic-labelled rows outside the held-out fold, and any other text outside it.
 
-    The samples are the rows of smallest hash of doc_id; texts become feature lists on the executors.
+    The samples are the rows of smallest hash of doc_id; texts become feature lists on the executors. The
+    decision is then placed by the margins of all of ``docs`` (held-out texts too, never their labels).
     """
     train_labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     share = train_labels.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"] or 0.0
@@ -189,7 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     got = sample.mapInArrow(features, "kind int, h long, f array<int>").toArrow().sort_by([("h", "ascending")])
     kinds, feats = got["kind"].to_pylist(), got["f"]
     lists = [np.asarray(x.values, dtype=np.int32) for x in feats]
-    return fit([f for f, k in zip(lists, kinds, strict=True) if k == 1], [f for f, k in zip(lists, kinds, strict=True) if k == 0], share, bits)
+    pos, unl = ([f for f, k in zip(lists, kinds, strict=True) if k == kind] for kind in (1, 0))
+    model = fit(pos, unl, share, bits)
+    if pos and unl:
+        model.bias -= prior_cut(margin_bins(docs, model), float(np.clip(share, *PRIOR_RANGE)))
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,3 +69,26 @@ def test_odd_rows(spark, odd, none):
     assert T.train(odd, labels.limit(0)).bias == -40.0
     clash = odd.withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y"))
     assert T.without_toxic(clash, T.train(odd, labels.limit(0))).collect() == clash.collect()
+
+
+def test_decision_follows_all_texts_not_the_sample(spark, docs_of):
+    rows, labels = corpus()
+    # Of the toxic texts one in three has weak words only, so that margins differ.
+    rows = [(i, t.replace("zorg", "mild") if i % 24 == 0 else t) for i, t in rows]
+    docs = docs_of(rows)
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_unlabelled=150)
+    got = T.score(docs, model).collect()
+    train = [t for i, _, t in labels if zlib.crc32(str(i).encode()) % 5]
+    want = sum(train) / len(train) * len(rows)
+    steps = Counter(round(r["score"], 6) for r in got)
+    above = [sum(n for s, n in steps.items() if s >= least) for least in steps]
+    assert abs(sum(r["predicted"] for r in got) - want) <= min(abs(n - want) for n in above) + 2
+
+
+def test_cut_parts_the_share_and_splits_no_bin():
+    bins = [(3, 5.0, 5.1), (2, 4.0, 4.1), (90, -2.0, -2.0), (5, -3.0, -2.9)]
+    assert T.prior_cut(bins, 0.05) == (4.0 - 2.0) / 2
+    assert T.prior_cut(bins, 0.3) == (4.0 - 2.0) / 2
+    assert T.prior_cut(bins, 0.03) == (5.0 + 4.1) / 2
+    assert T.prior_cut([(10, 1.0, 1.0)], 0.2) > 1.0
+    assert T.prior_cut([], 0.2) == 0.0
