@@ -6,7 +6,7 @@ examples' similarity matrix inside one expression, and only ``2 ** BITS`` weight
 a projection without any shuffle.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule, and is
-judged by the bias alone; empty tables give no rows; repeated rows get equal verdicts; other columns
+judged by the bias alone; without labelled urls those that fit no rule are allowed; empty tables give no rows; repeated rows get equal verdicts; other columns
 are not read. Among rules that fit, the longest (host and path characters together) wins; of equally
 long ones the one that sorts first.
 """
@@ -55,6 +55,8 @@ LABELLED = [(u, 1) for u in (
 )]
 #: The most labelled examples one fit takes: its similarity matrix has this many cells squared.
 MAX_LABELLED = 500
+#: Bias without any labelled example: a score of practically 0.
+NO_LABELS_BIAS = -40.0
 #: Most rules of one list: they travel inside the expression.
 MAX_RULES = 10_000
 BITS, SIZES, ROUNDS, RATE, DECAY = 12, (3, 4), 300, 0.5, 0.002
@@ -86,10 +88,15 @@ def ngrams(host: Column, path: Column, bits: int = BITS) -> Column:
 
 
 def train(labelled: DataFrame, bits: int = BITS) -> tuple[list[float], float]:
-    """Weights and bias from a table (url, label 0/1; null labels are skipped) of at most ``MAX_LABELLED`` rows."""
+    """Weights and bias from a table (url, label 0/1; null labels are skipped) of at most ``MAX_LABELLED`` rows; more are an error."""
     host, path = split_url(F.col("url"))
     rows = labelled.where(F.col("label").isNotNull()).select("url", F.col("label").cast("double").alias("y")).withColumn("x", ngrams(host, path, bits))
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("url", "y", "x"))).alias("e")).where(F.size("e").between(1, MAX_LABELLED))
+    size = rows.limit(MAX_LABELLED + 1).count()
+    if size > MAX_LABELLED:
+        raise ValueError(f"at most {MAX_LABELLED} labelled urls")
+    if not size:
+        return [0.0] * (1 << bits), NO_LABELS_BIAS
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("url", "y", "x"))).alias("e"))
     n = F.size("e")
     norm = lambda x: F.sqrt(F.greatest(F.size(x), F.lit(1)).cast("double"))
     similar = F.transform("e", lambda a: F.transform("e", lambda b: F.size(F.array_intersect(a["x"], b["x"])) / (norm(a["x"]) * norm(b["x"]))))
@@ -111,7 +118,7 @@ def train(labelled: DataFrame, bits: int = BITS) -> tuple[list[float], float]:
     for r in got:
         if r["f"] is not None:
             weights[r["f"]] = r["w"]
-    return weights, got[0]["b"] if got else 0.0
+    return weights, got[0]["b"]
 
 
 def method_score(host: Column, path: Column, model: tuple[list[float], float], bits: int = BITS) -> Column:

@@ -1,6 +1,7 @@
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from carelane.llm import url_filters as U
@@ -73,3 +74,16 @@ def test_no_python_in_plan(spark, tmp_path):
     plan = U.op2_url_filters(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), ([0.0] * 4096, 0.0)).count() == 0
+
+
+def test_too_many_labelled_urls_are_an_error(spark):
+    rows = spark.range(U.MAX_LABELLED + 1).select(F.concat(F.lit("http://h.example.com/"), "id").alias("url"), F.lit(1).alias("label"))
+    with pytest.raises(ValueError, match="500"):
+        U.train(rows)
+
+
+def test_no_labelled_urls_block_nothing(spark):
+    empty = spark.createDataFrame([("http://a.net/", None)], "url string, label int")
+    pages = spark.createDataFrame([(1, "http://some.example.com/en/1"), (2, None), (3, "http://a.net/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in U.judge(pages, U.train(empty)).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block"}
