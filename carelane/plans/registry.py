@@ -290,7 +290,7 @@ def small_functions(spark, d):
 
 @query("select event_id as id, try_cast(regexp_extract(substring(props, 1, 200), '[0-9]+') as bigint) as number from events")
 def parsed_number(spark, d):
-    digits = F.regexp_replace(F.substring("props", 1, 200), "^[^0-9]*", "")
+    digits = F.regexp_replace("props", "^[^0-9]*", "")
     return tables.star(spark, d, "events").select(F.col("event_id").alias("id"), V.parse_int(digits).alias("number"))
 
 

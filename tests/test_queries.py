@@ -37,3 +37,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_parsed_number_reads_whole_props(spark, tmp_path):
+    rows = [(1, "x" * 250 + "42"), (2, "x" * 198 + "12345"), (3, "7"), (4, None), (5, "none")]
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(1).drop("event_id", "props")
+    spark.createDataFrame(rows, "event_id long, props string").crossJoin(events).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["id"]: r["number"] for r in QUERIES["parsed_number"](spark, str(tmp_path)).collect()}
+    assert got == {1: 42, 2: 12345, 3: 7, 4: None, 5: None}
