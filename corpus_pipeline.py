@@ -18,7 +18,7 @@ from carelane.llm.common import materialise, table
 from carelane.llm.jaccard_join import one_of_each_group
 from carelane.llm.packing import pack_documents
 from carelane.llm.source_mixing import mix
-from carelane.llm.substring_dedup import WHOLE, dedup
+from carelane.llm.substring_dedup import dedup
 from carelane.llm.toxicity import train, without_toxic
 
 
@@ -34,7 +34,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines, paragraphs and passages that earlier documents have; n_chars counts what is left."""
-    out = dedup(docs, **WHOLE)
+    out = dedup(docs)
     kept = out.where("dedup.n_removed = 0 or dedup.n_removed < dedup.n_words")
     length = F.when(F.col("dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length).select(docs.columns)
