@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -27,11 +28,13 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, as a URI.
 
-    It lies under ``spark.checkpoint.dir``. Only where that is unset (tests in local mode) a
-    temporary folder of this machine is taken. The folder is removed when the application ends.
+    It lies under ``spark.checkpoint.dir``. Only in local mode (tests) may that be unset: a temporary folder
+    of this machine is taken; on a cluster that is an error. The folder is removed when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="carelane-")
         _own_dirs[app] = base
@@ -57,6 +60,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of stored input for one task of a step that sorts whole rows.
+SHARD_INPUT_BYTES = 256_000_000
+
+
+def shards_of(df: DataFrame) -> int:
+    """Partitions for a sort of ``df``, by the stored size of its inputs: adaptive execution never adds any."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # Inputs of unknown size (tables made in memory) state a huge one.
+    return max(shuffle_partitions(df.sparkSession), -(-sum(x for x in sizes if x < 1 << 60) // SHARD_INPUT_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,24 +1,22 @@
-"""Substring dedup by hashing normalised units: lines, paragraphs, and passages inside them.
+"""Substring dedup by hashing normalised units: lines, paragraphs, whole texts, and passages inside them.
 
 Units are normalised (words, A-Z folded, any white space between), their digests grouped globally, and
 the occurrence in the document that ranks first (smallest doc_id) is kept; all later ones are cut out of
-their texts, with the offsets in the original text retained. The registered query and the pipeline's stage
-(``WHOLE``) hash every line and paragraph of ``SHORT_WORDS`` words or more and every text as a whole, so that
-copies of texts shorter than that go, too. Lines and paragraphs alone miss passages that stand in the middle
-of a line, so another kind of unit covers them: windows of ``PASSAGE_WORDS`` words, of which each run of
-``STRIDE`` windows selects the one with the smallest digest. Equal passages select equal windows wherever
-they stand; one of ``PASSAGE_WORDS + STRIDE - 1`` words or more always shares a selected window. A line, a
-paragraph and a text of the same words are the same unit. ``dedup`` without arguments takes long lines and
-passages only.
+their texts, with the offsets in the original text retained. Every line and paragraph with a word is a unit
+(``line_words`` can ask for more words), and so is every text as a whole. Lines and paragraphs alone miss
+passages that stand in the middle of a line, so another kind of unit covers them: windows of
+``PASSAGE_WORDS`` words, of which each run of ``STRIDE`` windows selects the one with the smallest digest.
+Equal passages select equal windows wherever they stand; one of ``PASSAGE_WORDS + STRIDE - 1`` words or more
+always shares a selected window. A line, a paragraph and a text of the same words are the same unit.
 
 Only (digest, document) pairs are shuffled; a digest's documents are never gathered: its first document
 is a partial aggregate, joined back on the digest.
 
 Defined results: null and empty texts have no units and come back as they are; rows without doc_id rank
-after all others, by the hash of their text; rows that share a doc_id count as one document; within a
-document the first occurrence is kept; exact copies lose their whole text (without arguments: those of
-40 words or more); empty tables give no rows;
-other columns pass through ``dedup`` untouched, also ones with this operator's output names.
+after all others; rows that share a doc_id, or have none, are documents of their own, ranked by the hash of
+their text and then by their place, so that of repeated rows one stays; within a document the first
+occurrence is kept; exact copies lose their whole text; empty tables give no rows; other columns pass through
+``dedup`` untouched, also ones with this operator's output names.
 """
 
 from __future__ import annotations
@@ -30,15 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, shards_of, table
 from .textbatch import Words, mix, slices
 
-#: Words in a passage window, windows of which one is selected, least words of a line or paragraph unit.
-PASSAGE_WORDS, STRIDE, LINE_WORDS = 40, 11, 40
-KINDS = ("line", "passage")
-#: Least words of a line or paragraph in the registered query and the pipeline, and all that they hash.
-SHORT_WORDS = 5
-WHOLE = {"kinds": ("line", "paragraph", "text", "passage"), "line_words": SHORT_WORDS}
+#: Words in a passage window, windows of which one is selected, least words of a line or paragraph unit (1: all).
+PASSAGE_WORDS, STRIDE, LINE_WORDS = 40, 11, 1
+KINDS = ("line", "paragraph", "text", "passage")
 #: Line feeds in a row that part units of a kind; None: a text is one unit.
 _GAP = {"line": 1, "paragraph": 2, "text": None}
 _NONE = np.uint64(2**64 - 1)
@@ -93,13 +88,23 @@ def units(words: Words, kinds=KINDS, passage_words=PASSAGE_WORDS, stride=STRIDE,
     return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
 
-def _rank():
-    """doc_id, or for rows without one a number after all usual ids."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+def ranked(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__rank``, a number of its own for each row, in the order of doc_id.
+
+    Ids that are there and all different are the ranks. Otherwise the rows are sorted and written once, and
+    numbered by their place; the place in the scan is part of the sort's key, so repeated rows spread, too.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("n")).first()["n"]
+    if ids is None or ids < 2:
+        return docs.withColumn("__rank", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("__place")]
+    placed = docs.withColumn("__place", F.monotonically_increasing_id())
+    sorted_ = placed.repartitionByRange(shards_of(docs), *order).sortWithinPartitions(*order)
+    return materialise(sorted_.drop("__place").withColumn("__rank", F.monotonically_increasing_id()))
 
 
-def unit_table(docs: DataFrame, **how) -> DataFrame:
-    """Distinct (digest, rank) of every text."""
+def unit_table(rows: DataFrame, **how) -> DataFrame:
+    """Distinct (digest, rank) of every text of ranked rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,15 +121,15 @@ def unit_table(docs: DataFrame, **how) -> DataFrame:
                 new[1:] = (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(digest[new].view(np.int64)), pa.array(ranks[lo + doc[new]])], names=["digest", "rank"])
 
-    return docs.select(_rank().alias("rank"), "text").mapInArrow(run, "digest long, rank long")
+    return rows.select("__rank", "text").mapInArrow(run, "digest long, rank long")
 
 
-def later_units(docs: DataFrame, **how) -> DataFrame:
-    """rank, digests (array): the units of each document that an earlier document has."""
-    found = unit_table(docs, **how)
+def later_units(rows: DataFrame, **how) -> DataFrame:
+    """rank, digests (array): the units of each ranked row that an earlier one has; at most its own units."""
+    found = materialise(unit_table(rows, **how))
     # A table of its own: a join of two plain shuffles can split the documents of a frequent digest.
     firsts = materialise(found.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first"))
-    return found.join(firsts, "digest").where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_set("digest").alias("digests"))
+    return found.join(firsts, "digest").where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_list("digest").alias("digests"))
 
 
 def cut(words: Words, lo: int, hi: int, digest: np.ndarray, first: np.ndarray, last: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
@@ -151,8 +156,9 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     Spans are offsets (in characters) of what was removed from the original text, with their ends.
     """
     names = docs.columns
-    known = later_units(docs, **how).select(F.col("rank").alias("__rank"), F.col("digests").alias("__known"))
-    inside = docs.select(_rank().alias("__rank"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("__rest"), "text")
+    rows = ranked(docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("__rest"), "text"))
+    known = later_units(rows, **how).select(F.col("rank").alias("__rank"), F.col("digests").alias("__known"))
+    inside = rows.select("__rank", "__rest", "text")
     joined = inside.join(known, "__rank", "left").select("__rest", F.col("text").alias("__text"), "__known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +195,7 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
                     texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(reports, _REPORT)], names=["__rest", "__text", "__dedup"])
 
-    rest = inside.select("__rest").schema["__rest"].dataType.simpleString()
+    rest = rows.select("__rest").schema["__rest"].dataType.simpleString()
     made = joined.mapInArrow(run, f"__rest {rest}, __text string, __dedup {_REPORT_SQL}")
     return made.select(*[F.col("__text").alias("text") if c == "text" else F.col("__rest")[c].alias(c) for c in names], F.col("__dedup").alias("dedup"))
 
@@ -200,5 +206,5 @@ _REPORT_SQL = "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:b
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_words, n_removed, spans, and the text that is left."""
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), **WHOLE)
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("dedup.n_words").alias("n_words"), F.col("dedup.n_removed").alias("n_removed"), F.col("dedup.spans").alias("spans"), "text")

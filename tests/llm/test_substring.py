@@ -30,7 +30,7 @@ def corpus(seed=2):
 def test_long_repeats_go_and_the_first_stays(docs_of):
     rows = corpus()
     texts = dict(rows)
-    got = S.dedup(docs_of(rows)).collect()
+    got = S.dedup(docs_of(rows), kinds=("passage",)).collect()
     assert len(got) == len(rows)
     seen = {}
     for r in sorted(got, key=lambda r: r["doc_id"]):
@@ -51,10 +51,17 @@ def test_long_repeats_go_and_the_first_stays(docs_of):
 
 
 def test_texts_without_repeats_are_untouched(docs_of):
-    rows = [(i, " ".join(f"{i}x{k}" for k in range(200)) + "\nshared footer line of a few words") for i in range(5)]
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(200)) + f"\nfooter of {i}") for i in range(5)]
     assert {r["doc_id"]: r["text"] for r in S.dedup(docs_of(rows)).collect()} == dict(rows)
 
 
+def test_a_short_line_of_many_documents_stays_in_the_first_alone(docs_of):
+    rows = [(i, " ".join(f"{i}x{k}" for k in range(60)) + "\nshared line\nshared line") for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of(rows)).collect()}
+    assert {i: t.split("\n", 1)[1].count("shared line") for i, t in got.items()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
+    assert all(t.startswith(rows[i][1][:200]) for i, t in got.items())
+
+
 def test_lines_and_paragraphs(docs_of):
     rows = [(1, "a b c\nd e f\n\ng h i"), (2, "x y z\nD  E f\n\ng h i")]
     got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of(rows), kinds=("line",), line_words=3).collect()}
@@ -71,40 +78,85 @@ def test_repeats_inside_one_text(docs_of):
 
 
 def test_odd_rows(odd, none):
-    clash = odd.withColumn("digests", F.lit(1)).withColumn("rank", F.lit(2))
-    got = S.dedup(clash).drop("dedup")
-    assert got.columns == clash.columns
-    changed = {(r["doc_id"], r["text"]) for r in clash.collect()} ^ {(r["doc_id"], r["text"]) for r in got.collect()}
-    assert {i for i, _ in changed} == {10}
+    clash = odd.withColumns({"digests": F.lit(1), "rank": F.lit(2), "__rank": F.lit(3), "dedup": F.lit(4), "__place": F.lit(5)})
+    got = S.dedup(clash.drop("dedup")).drop("dedup")
+    assert got.columns == clash.drop("dedup").columns
     assert got.count() == odd.count()
+    assert got.where("rank = 2 and digests = 1 and `__rank` = 3 and `__place` = 5").count() == odd.count()
+    left = sorted((r["doc_id"], r["text"]) for r in got.where("doc_id in (7, 8, 9)").collect())
+    assert left == [(7, "same text here for two"), (8, ""), (9, ""), (9, "repeated row")]
+    same = [r for r in got.where("doc_id not in (8, 9, 10) or doc_id is null").collect()]
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in same) == sorted((str(r["doc_id"]), str(r["text"])) for r in odd.where("doc_id not in (8, 9, 10) or doc_id is null").collect())
     assert S.dedup(none).count() == 0
 
 
+def test_rows_without_an_id_and_rows_that_share_one(docs_of):
+    rows = [(1, "a b\nc d"), (None, "x y z"), (None, "x y z"), (None, "x y z\nc d"), (3, "q w e"), (3, "q w e"), (3, "other\na b"), (None, None)]
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in S.dedup(docs_of(rows)).collect())
+    assert got[:4] == [("1", "a b\nc d"), ("3", ""), ("3", "other\n"), ("3", "q w e")]
+    assert [t for i, t in got[4:] if t in ("x y z", "x y z\n")] in (["x y z"], ["x y z\n"])
+    assert sorted(t.strip() for i, t in got[4:]) == ["", "", "None", "x y z"]
+
+
 def test_exact_copies_lose_all(docs_of):
     p = " ".join(f"w{k}" for k in range(80))
     got = {r["doc_id"]: r["text"] for r in S.dedup(docs_of([(5, p), (3, p), (None, p)])).collect()}
     assert got == {3: p, 5: "", None: ""}
 
 
-def brute_lines(rows, least):
-    """Texts by doc_id after every later line or text is cut, by plain lookups (paragraphs here are lines)."""
-    seen, out = {}, {}
-    for i, text in sorted(rows):
-        kept, whole = [], " ".join(text.lower().split())
-        known = whole in seen
-        for line in text.split("\n"):
-            unit = " ".join(line.lower().split())
-            n = len(unit.split())
-            if n >= least and unit in seen:
-                continue
-            kept += unit.split()
-            if n >= least:
-                seen[unit] = i
-        out[i] = [] if known else kept
-        seen[whole] = i
+def brute(rows, kinds=("line", "paragraph", "text")):
+    """doc_id to (text left, removed spans): plain lookups of each unit's words in earlier texts, then in its own."""
+    split = {"line": r"\n", "paragraph": r"\n[ \t\x0b-\r]*\n[ \t\n\x0b-\r]*", "text": r"(?!)"}
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+        found = {}
+        for kind in kinds:
+            cuts = [0, *(x for m in re.finditer(split[kind], text or "") for x in m.span()), len(text or "")]
+            for a, b in zip(cuts[::2], cuts[1::2]):
+                inside = tuple(k for k, (s, e) in enumerate(words) if a <= s and e <= b)
+                if inside:
+                    key = " ".join(text[s:e] for s, e in words[inside[0] : inside[-1] + 1]).lower()
+                    found[inside] = key
+        gone, later, first, own = set(), set(), set(), {}
+        for inside, key in sorted(found.items()):
+            if key in seen:
+                gone |= set(inside)
+            elif key in own:
+                later |= set(inside)
+                first |= set(own[key])
+            else:
+                own[key] = inside
+        seen |= set(found.values())
+        cut = gone | (later - first)
+        spans = []
+        for k in sorted(cut):
+            if k - 1 in cut:
+                spans[-1][1] = k + 1
+            else:
+                spans.append([k, k + 1])
+        spans = [(words[a][0], words[b][0] if b < len(words) else words[b - 1][1]) for a, b in spans]
+        left, at = "", 0
+        for a, b in spans:
+            left, at = left + text[at:a], b
+        out[i] = (None if text is None else left + text[at:], spans, len(cut))
     return out
 
 
+def test_lines_paragraphs_and_texts_against_brute_force(docs_of):
+    rng = random.Random(11)
+    pool = ["a", "b", "A", "c d", "e f g", "é h", "x " * 6, "", " ", "\t"]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else f"own {i} {rng.randrange(99)}" for _ in range(rng.randrange(9))]
+        rows.append((i, rng.choice(["", "", "\n"]) + rng.choice(["\n", "\n", "\n\n", " \n \n"]).join(lines)))
+    rows += [(900, None), (901, rows[3][1]), (902, "word " * 9000 + "\na\n" + "other " * 9000)]
+    got = S.dedup(docs_of(rows), kinds=("line", "paragraph", "text")).collect()
+    want = brute(rows)
+    assert {r["doc_id"]: (r["text"], [tuple(x) for x in r["dedup"]["spans"]], r["dedup"]["n_removed"]) for r in got} == want
+    assert sum(n for _, _, n in want.values()) > 100
+
+
 def test_registered_query_cuts_short_lines_and_short_texts(spark, docs_of, tmp_path):
     import corpus_pipeline
 
@@ -120,11 +172,10 @@ def test_registered_query_cuts_short_lines_and_short_texts(spark, docs_of, tmp_p
     rows += [(100, "thank you"), (101, "Thank  you"), (102, "a\nb"), (103, "a\nb"), (104, "same text here for two"), (105, "x one y\nsame text here for two")]
     docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in S.op9_substring_dedup(spark, str(tmp_path)).collect()}
-    want = brute_lines(rows, 5)
-    assert {i: r["text"].lower().split() for i, r in got.items()} == want
-    assert all(r["n_words"] - r["n_removed"] == len(want[i]) for i, r in got.items())
+    want = {i: t for i, (t, _, _) in brute(rows).items()}
+    assert {i: r["text"] for i, r in got.items()} == want
     staged = corpus_pipeline.substring_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
-    assert {r["doc_id"]: r["text"].lower().split() for r in staged} == {i: w for i, w in want.items() if w}
+    assert {r["doc_id"]: r["text"] for r in staged} == {i: t for i, t in want.items() if t.split()}
 
 
 def test_registered_query_cuts_paragraphs_of_short_lines(spark, docs_of, tmp_path):
