@@ -1,8 +1,9 @@
 """Public tokenizers by pre-token: each distinct pre-token is encoded once and remembered.
 
-Byte-pair merges never cross pre-tokens, so a text's ids are those of its pre-tokens in order. The
-patterns below are those of the public tokenizer files; the special strings of a file are cut out of a
-text first, as the library does by default.
+Byte-pair merges never cross pre-tokens, so a text's ids are those of its pre-tokens in order. The special
+strings of a file are cut out of a text first, as the library does by default. Stretches of printable ASCII and
+Latin letters are split here by the patterns of the public tokenizer files; every stretch with any other
+character goes through the library's own normalizer and pre-tokenizer, whose Unicode tables are its own.
 """
 
 from __future__ import annotations
@@ -10,20 +11,14 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
-import regex
-
-#: Pre-token patterns of byte-level and of word-end tokenizers.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: The byte-level pattern for texts of printable ASCII and Latin letters, where the classes of the
-#: standard library's faster engine mean the same.
+#: The byte-level and the word-end pattern for stretches of printable ASCII and Latin letters, where the
+#: classes of the standard library's engine mean the same.
 _BYTE_LEVEL_LATIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 _WORD_END_LATIN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
-_NOT_LATIN_1 = "[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
-_NOT_LATIN = "[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
-
+#: Visible characters of those stretches: up to Latin-1, and with the two Latin extensions.
+_LATIN_1, _LATIN = "\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 
 def _shown() -> dict[int, str]:
@@ -34,6 +29,19 @@ def _shown() -> dict[int, str]:
 
 
 _SHOWN = _shown()
+_BYTE = {c: b for b, c in _SHOWN.items()}
+
+
+def shown(pre_token: str) -> str:
+    """A pre-token as the models of both files take it."""
+    return pre_token.encode("utf-8").decode("latin-1").translate(_SHOWN)
+
+
+def _plain(pre_token: str) -> str:
+    """The inverse of ``shown``."""
+    return bytes(_BYTE[c] for c in pre_token).decode("utf-8")
+
+
 _cached: dict[object, object] = {}
 
 
@@ -55,29 +63,64 @@ def special_strings(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-class WordEndPreTokens:
-    """Pre-tokens of a whole text under a word-end tokenizer file, special strings as themselves.
-
-    Texts of printable ASCII and Latin-1 letters are lower-cased here (no normal form changes them); any
-    other text goes through the library's own normalizer.
-    """
+class Splitter:
+    """Parts of a whole text: its special strings, and pre-tokens of all between them."""
 
-    def __init__(self, path: str):
-        self.find_any, self.find_latin = regex.compile(WORD_END).findall, re.compile(_WORD_END_LATIN).findall
-        self.odd = re.compile(_NOT_LATIN_1).search
-        self.normalize = tokenizer(path).normalizer.normalize_str
+    def __init__(self, path: str, latin: str, visible: str):
+        library = tokenizer(path)
+        self.find = re.compile(latin).findall
+        self.odd = re.compile(f"[^\t\n\r {visible}]").search
+        # Before one space between two visible characters no pre-token goes on and no normal form reaches over.
+        self.stretches = re.compile(f"(?<=[{visible}])(?= [{visible}])").split
+        self.normalize = library.normalizer.normalize_str if library.normalizer else None
+        self.pre_tokenize = library.pre_tokenizer.pre_tokenize_str
         self.special = special_strings(path)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
+    def library_pre_tokens(self, text: str) -> list[str]:
+        return [_plain(p) for p, _ in self.pre_tokenize(self.normalize(text) if self.normalize else text)]
+
     def plain(self, text: str) -> list[str]:
-        return self.find_any(self.normalize(text)) if self.odd(text) else self.find_latin(text.lower())
+        """Pre-tokens of a text without special strings."""
+        if not self.odd(text):
+            return self.latin(text)
+        return [p for part in self.stretches(text) for p in (self.library_pre_tokens(part) if self.odd(part) else self.latin(part))]
+
+    def latin(self, text: str) -> list[str]:
+        return self.find(text)
+
+    def parts(self, text: str | None) -> Iterator[tuple[str | None, list[str]]]:
+        """(special string or None, pre-tokens) in order."""
+        if text and self.special and any(s in text for s in self.special):
+            for k, part in enumerate(self.split(text)):
+                yield (part, []) if k % 2 else (None, self.plain(part))
+        elif text:
+            yield None, self.plain(text)
+
+
+class WordEndPreTokens(Splitter):
+    """Pre-tokens of a whole text under a word-end tokenizer file; special strings with a space before them.
+
+    No pre-token of such a file holds a space. Latin stretches are lower-cased here: no normal form changes them.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path, _WORD_END_LATIN, _LATIN_1)
+
+    def latin(self, text: str) -> list[str]:
+        return self.find(text.lower())
 
     def __call__(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.special and any(s in text for s in self.special):
-            return [p for k, part in enumerate(self.split(text)) for p in ([part] if k % 2 else self.plain(part))]
-        return self.plain(text)
+        out: list[str] = []
+        for special, pre in self.parts(text):
+            out.extend(pre if special is None else (" " + special,))
+        return out
+
+
+def piece_count(path: str):
+    """Function from a list of what ``WordEndPreTokens`` gives to their numbers of pieces."""
+    tokenize = tokenizer(path).model.tokenize
+    return lambda pre: [1 if p[0] == " " else len(tokenize(shown(p))) for p in pre]
 
 
 class ByteLevelEncoder(dict):
@@ -91,27 +134,19 @@ class ByteLevelEncoder(dict):
         self.library, self.keep = tokenizer(path), keep
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.find_any, self.find_latin = regex.compile(BYTE_LEVEL).findall, re.compile(_BYTE_LEVEL_LATIN).findall
-        self.odd = re.compile(_NOT_LATIN).search
-        special = special_strings(path)
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        self.special = special
+        self.splitter = Splitter(path, _BYTE_LEVEL_LATIN, _LATIN)
         self._forget()
 
-    def find(self, text: str) -> list[str]:
-        return self.find_any(text) if self.odd(text) else self.find_latin(text)
-
     def _forget(self) -> None:
         self.clear()
-        for s in self.special:
+        for s in self.splitter.special:
             self[s] = array("H", [self.library.token_to_id(s)]).tobytes()
 
     def pre_tokens(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.special and any(s in text for s in self.special):
-            return [p for k, part in enumerate(self.split(text)) for p in ([part] if k % 2 else self.find(part))]
-        return self.find(text)
+        out: list[str] = []
+        for special, pre in self.splitter.parts(text):
+            out.extend(pre if special is None else (special,))
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of some texts; pre-tokens not known yet are encoded together."""
@@ -125,8 +160,7 @@ class ByteLevelEncoder(dict):
             new = list({flat[i] for i in holes})
             tokenize = self.library.model.tokenize
             for p in new:
-                shown = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
-                self[p] = array("H", [t.id for t in tokenize(shown)]).tobytes()
+                self[p] = array("H", [t.id for t in tokenize(shown(p))]).tobytes()
             for i in holes:
                 ids[i] = self[flat[i]]
         out, at = [], 0

@@ -24,19 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import encode, materialise, table
-from .pretokens import WordEndPreTokens, tokenizer
+from .pretokens import WordEndPreTokens, piece_count
 
 #: Bounds of a block: bytes of text and documents.
 BLOCK_BYTES, BLOCK_DOCS = 24_000_000, 16_384
 LIMIT = 2048
 
 
-def piece_count(path: str):
-    """Function from a list of pre-tokens to their numbers of pieces."""
-    encode_all = tokenizer(path).encode_batch_fast
-    return lambda pre: [len(e) for e in encode_all(pre, add_special_tokens=False)]
-
-
 def _pack(x: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, a plane of bytes after the other, compressed."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
