@@ -35,7 +35,14 @@ class Replaced:
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.draft, self.path)
+        try:
+            self.fs.move(self.draft, self.path)
+        except OSError:
+            # Some stores do not move over a file that another attempt has left there.
+            if self.fs.get_file_info(self.path).type != fs.FileType.File:
+                raise
+            self.fs.delete_file(self.path)
+            self.fs.move(self.draft, self.path)
 
 
 class Ranges:

@@ -4,11 +4,13 @@ Texts are range-partitioned by doc_id, so that shard files in order hold all doc
 doc_id order; each shard is raw little-endian uint16 ids. The index is split into buckets by the key's
 hash; a bucket's file holds a displacement per group of keys (a minimal perfect hash: as many slots as
 keys) and, by slot, a stored fingerprint, the shard and the position in it. A lookup reads one
-displacement and one slot, whatever the size; unknown keys fail the fingerprint.
+displacement and one slot, whatever the size; an unknown key fails the 32-bit fingerprint (but for one in
+2^32, which gets another key's position).
 
-Keys are (doc_id, occurrence): repeated doc_ids count up from 0 in the order of their texts, a null
-doc_id is a key of its own that sorts first. Null and empty texts hold the end id alone. Empty tables
-give no rows and no shard. Other columns are not read.
+Keys are (doc_id, occurrence): repeated doc_ids count up from 0, by their texts' first characters, then by
+hash and place; a null doc_id is a key apart from all numbers and sorts first. The rows of one doc_id, or of
+none, may fill several shards. Null and empty texts hold the end id alone. Empty tables give no rows and no
+shard. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, shared_dir, shuffle_partitions, table
+from .common import chunks, materialise, shards_of, shared_dir, table
 from .files import Ranges, Replaced
 from .pretokens import byte_level_encoder
 
@@ -32,7 +34,8 @@ END_ID = 2
 BUCKET_KEYS, GROUP_KEYS = 20_000, 4
 #: Texts that are encoded together.
 GROUP_TEXTS = 256
-_NULL_KEY = np.int64(-(2**63))
+#: Characters of a text that order the rows of one doc_id, before their hash.
+ORDER_CHARS = 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,9 +47,10 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def key_hash(doc_ids: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
-    """64-bit hash of keys."""
-    return mix(doc_ids.astype(np.int64).view(np.uint64) ^ mix(occurrence.astype(np.uint64), 7), 0)
+def key_hash(doc_ids: np.ndarray, missing: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+    """64-bit hash of keys; where the doc_id is ``missing`` its number does not matter."""
+    ids = np.where(missing, np.uint64(0x5851F42D4C957F2D), mix(doc_ids.astype(np.int64).view(np.uint64), 9))
+    return mix(ids ^ mix(occurrence.astype(np.uint64), 7), 0)
 
 
 class PerfectHash:
@@ -152,7 +156,10 @@ def index_name(k: int) -> str:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
-    """Write the shards; returns (and materialises) the catalog doc_id, occurrence, shard, first, n."""
+    """Write the shards; returns (and materialises) the catalog doc_id, occurrence, shard, first, n.
+
+    There are as many shards as ``partitions``, else by the stored size of the input.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level_encoder(tokenizer_path)
@@ -177,19 +184,40 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         if out is not None:
             out.close()
 
-    n = partitions or shuffle_partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(run, "doc_id long, occurrence long, shard long, first long, n long"))
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, ORDER_CHARS), F.xxhash64("text"), F.monotonically_increasing_id()]
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"o{k}") for k, c in enumerate(order[1:])])
+    keys = [F.col("doc_id").asc_nulls_first(), "o0", "o1", "o2"]
+    ordered = placed.repartitionByRange(partitions or shards_of(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    return continued(materialise(ordered.mapInArrow(run, "doc_id long, occurrence long, shard long, first long, n long")))
+
+
+def continued(catalog: DataFrame) -> DataFrame:
+    """The catalog with occurrences that go on where the rows of one doc_id reach into the next shard."""
+    # A row for each shard reaches the driver: its first and last doc_id and their rows.
+    key = F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id")
+    ends = catalog.groupBy("shard").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.max(F.struct(key.alias("key"), "occurrence")).alias("end")).orderBy("shard").collect()
+    before, last, seen = {}, None, 0
+    for r in ends:
+        if r["lo"] == last:
+            before[r["shard"]] = seen
+        seen = r["end"]["occurrence"] + 1 + (seen if r["lo"] == last == r["hi"] else 0)
+        last = r["hi"]
+    if not before:
+        return catalog
+    firsts = {r["shard"]: r["lo"]["doc_id"] for r in ends}
+    more = catalog.sparkSession.createDataFrame([(s, firsts[s], n) for s, n in before.items()], "__shard long, __id long, __before long")
+    joined = catalog.join(F.broadcast(more), (F.col("shard") == F.col("__shard")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return materialise(joined.select("doc_id", (F.col("occurrence") + F.coalesce("__before", F.lit(0))).alias("occurrence"), "shard", "first", "n"))
 
 
 def _hashes(batch: pa.RecordBatch) -> np.ndarray:
-    ids = batch.column(0).fill_null(int(_NULL_KEY)).to_numpy(zero_copy_only=False)
-    return key_hash(ids, batch.column(1).to_numpy(zero_copy_only=False))
+    ids = batch.column(0)
+    return key_hash(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
 
 
 def with_bucket(keys: DataFrame, buckets: int) -> DataFrame:
     """Adds the index bucket of each key (doc_id, occurrence)."""
-    return keys.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(int(_NULL_KEY))), "occurrence"), F.lit(buckets)))
+    return keys.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.col("doc_id").isNull(), "occurrence"), F.lit(buckets)))
 
 
 def write_index(catalog: DataFrame, folder: str, bucket_keys: int = BUCKET_KEYS) -> int:
@@ -232,7 +260,10 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
 
 
 def read_back(positions: DataFrame, folder: str, bases: dict[int, int]) -> DataFrame:
-    """Read each position's ids from its shard: doc_id, start, n_tokens, ids_crc32 of the ids as uint32."""
+    """Read each position's ids from its shard: doc_id, start, n_tokens, ids_crc32 of the ids as uint32.
+
+    ``bases`` has every shard, so there is a task for about each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Ranges(folder)
@@ -243,7 +274,7 @@ def read_back(positions: DataFrame, folder: str, bases: dict[int, int]) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.int64()), batch.column(4), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
         files.close()
 
-    near = positions.repartitionByRange(shuffle_partitions(positions.sparkSession), "shard", "first").sortWithinPartitions("shard", "first")
+    near = positions.repartitionByRange(max(1, len(bases)), "shard", "first").sortWithinPartitions("shard", "first")
     return near.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

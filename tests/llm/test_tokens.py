@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 from carelane.llm import token_counts as C
 from carelane.llm import token_files as K
 from carelane.llm.common import shared_dir
-from carelane.llm.pretokens import WordEndPreTokens, byte_level_encoder
+from carelane.llm.files import Ranges, Replaced
+from carelane.llm.pretokens import WordEndPreTokens, byte_level_encoder, piece_count
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
@@ -21,13 +22,30 @@ ids_of = lambda t, text: t.encode(text or "", add_special_tokens=False).ids  # n
 @given(st.text(max_size=60) | st.text(alphabet="aéÑß'st <|>\n\t09_!İ²½ⅷⅰ\u0301\x1c\x85\u3000", max_size=40))
 def test_whole_text_equals_pre_tokens(text):
     assert np.frombuffer(byte_level_encoder(BYTE)(text), "<u2").tolist() == ids_of(byte, text)
-    assert sum(C.piece_count(WORD)(WordEndPreTokens(WORD)(text))) == len(ids_of(word, text))
+    assert sum(piece_count(WORD)(WordEndPreTokens(WORD)(text))) == len(ids_of(word, text))
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|><|startoftext|> b", "<|ENDOFTEXT|>", "don't WE'LL 'S", "x" * 9000])
 def test_special_strings(text):
     assert np.frombuffer(byte_level_encoder(BYTE)(text), "<u2").tolist() == ids_of(byte, text)
-    assert sum(C.piece_count(WORD)(WordEndPreTokens(WORD)(text))) == len(ids_of(word, text))
+    assert sum(piece_count(WORD)(WordEndPreTokens(WORD)(text))) == len(ids_of(word, text))
+
+
+@pytest.mark.parametrize("after", ["'s", "7\u0327 ", "\u0301x x"])
+def test_every_code_point_as_the_library_has_it(after):
+    # All of the planes that have assigned points, and some of those that are empty or private as a whole.
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x34000 or 0xE0000 <= c < 0xE0200 or c % 64 == 1 or c & 0xFFFF > 0xFFF0)]
+    texts = [" a ".join(chr(c) + after for c in points[k : k + 256]) for k in range(0, len(points), 256)]
+    pre, count, encode = WordEndPreTokens(WORD), piece_count(WORD), byte_level_encoder(BYTE).encode_all
+    for k in range(0, len(texts), 200):
+        some = texts[k : k + 200]
+        assert [sum(count(pre(t))) for t in some] == [len(e) for e in word.encode_batch_fast(some, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encode(some)] == [e.ids for e in byte.encode_batch_fast(some, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("text", ["\u0130\u05b6", "\u0130\u0327", "a \u0130\u0327 b", "<|ENDOFTEXT|>\u0130<|endoftext|>\u0327"])
+def test_text_is_normalised_once(text):
+    assert sum(piece_count(WORD)(WordEndPreTokens(WORD)(text))) == len(ids_of(word, text))
 
 
 def test_counts(odd, none):
@@ -74,3 +92,46 @@ def test_unknown_keys_fail_the_fingerprint(spark, docs_of):
 def test_perfect_hash_is_minimal(n):
     h = K.mix(np.arange(n, dtype=np.uint64), 3)
     assert sorted(K.PerfectHash.build(h).slots(h)) == list(range(n))
+
+
+def test_one_id_over_many_shards_and_the_least_id(spark, docs_of):
+    least = -(2**63)
+    rows = [(None, f"t{k}") for k in range(40)] + [(least, "a"), (least, "a")] + [(5, "same")] * 60 + [(6, None)]
+    folder = shared_dir(spark)
+    catalog = K.write_shards(docs_of(rows), BYTE, folder, partitions=9)
+    assert catalog.select("shard").distinct().count() == 9
+    keys = [(r["doc_id"], r["occurrence"]) for r in catalog.orderBy("shard", "first").collect()]
+    assert keys == [(None, k) for k in range(40)] + [(least, 0), (least, 1)] + [(5, k) for k in range(60)] + [(6, 0)]
+    buckets = K.write_index(catalog, folder, bucket_keys=7)
+    got = K.read_back(K.lookup(catalog, folder, buckets), folder, K.shard_bases(catalog)).collect()
+    assert len(got) == len(rows) and len({r["start"] for r in got}) == len(rows)
+
+
+def test_a_task_that_runs_again_replaces_its_file(tmp_path):
+    for attempt, data in ((1, b"first"), (2, b"second")):
+        out = Replaced(f"file://{tmp_path}/x", "shard", attempt)
+        out.write(data)
+        out.close()
+    assert Ranges(f"file://{tmp_path}/x").whole("shard") == b"second"
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["shard"]
+
+
+def test_a_store_that_does_not_move_over_files(tmp_path):
+    class Careful:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def move(self, a, b):
+            if self.fs.get_file_info(b).is_file:
+                raise OSError("exists")
+            self.fs.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    for attempt in (1, 2):
+        out = Replaced(f"file://{tmp_path}", "shard", attempt)
+        out.fs = Careful(out.fs)
+        out.write(b"%d" % attempt)
+        out.close()
+    assert Ranges(f"file://{tmp_path}").whole("shard") == b"2"
