@@ -15,8 +15,8 @@ from collections.abc import Iterator
 
 #: The byte-level and the word-end pattern for stretches of printable ASCII and Latin letters, where the
 #: classes of the standard library's engine mean the same.
-_BYTE_LEVEL_LATIN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_WORD_END_LATIN = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+_BYTE_LEVEL_LATIN = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_WORD_END_LATIN = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+"
 #: Visible characters of those stretches: up to Latin-1, and with the two Latin extensions.
 _LATIN_1, _LATIN = "\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
@@ -135,6 +135,7 @@ class ByteLevelEncoder(dict):
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.splitter = Splitter(path, _BYTE_LEVEL_LATIN, _LATIN)
+        self.tokenize = self.library.model.tokenize
         self._forget()
 
     def _forget(self) -> None:
@@ -142,35 +143,19 @@ class ByteLevelEncoder(dict):
         for s in self.splitter.special:
             self[s] = array("H", [self.library.token_to_id(s)]).tobytes()
 
-    def pre_tokens(self, text: str | None) -> list[str]:
-        out: list[str] = []
-        for special, pre in self.splitter.parts(text):
-            out.extend(pre if special is None else (special,))
-        return out
+    def __missing__(self, pre_token: str) -> bytes:
+        ids = self[pre_token] = array("H", [t.id for t in self.tokenize(shown(pre_token))]).tobytes()
+        return ids
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of some texts; pre-tokens not known yet are encoded together."""
+        """Ids of some texts."""
         if len(self) > self.keep:
             self._forget()
-        split = [self.pre_tokens(t) for t in texts]
-        flat = [p for x in split for p in x]
-        ids = list(map(self.get, flat))
-        holes = [i for i, x in enumerate(ids) if x is None]
-        if holes:
-            new = list({flat[i] for i in holes})
-            tokenize = self.library.model.tokenize
-            for p in new:
-                self[p] = array("H", [t.id for t in tokenize(shown(p))]).tobytes()
-            for i in holes:
-                ids[i] = self[flat[i]]
-        out, at = [], 0
-        for x in split:
-            out.append(b"".join(ids[at : at + len(x)]))
-            at += len(x)
-        return out
+        return [self(t) for t in texts]
 
     def __call__(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        parts = self.splitter.parts(text)
+        return b"".join([b"".join(map(self.__getitem__, pre if special is None else (special,))) for special, pre in parts])
 
 
 def byte_level_encoder(path: str) -> ByteLevelEncoder:
