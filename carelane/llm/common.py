@@ -64,12 +64,18 @@ def materialise(df: DataFrame) -> DataFrame:
 SHARD_INPUT_BYTES = 256_000_000
 
 
-def shards_of(df: DataFrame) -> int:
+def shards_of(df: DataFrame, input_bytes: int = SHARD_INPUT_BYTES) -> int:
     """Partitions for a sort of ``df``, by the stored size of its inputs: adaptive execution never adds any."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # Inputs of unknown size (tables made in memory) state a huge one.
-    return max(shuffle_partitions(df.sparkSession), -(-sum(x for x in sizes if x < 1 << 60) // SHARD_INPUT_BYTES))
+    return max(shuffle_partitions(df.sparkSession), -(-sum(x for x in sizes if x < 1 << 60) // input_bytes))
+
+
+def ids_differ(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    most = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("n")).first()["n"]
+    return most is None or most < 2
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

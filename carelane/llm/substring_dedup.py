@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shards_of, table
+from .common import ids_differ, materialise, shards_of, table
 from .textbatch import Words, mix, slices
 
 #: Words in a passage window, windows of which one is selected, least words of a line or paragraph unit (1: all).
@@ -94,8 +94,7 @@ def ranked(docs: DataFrame) -> DataFrame:
     Ids that are there and all different are the ranks. Otherwise the rows are sorted and written once, and
     numbered by their place; the place in the scan is part of the sort's key, so repeated rows spread, too.
     """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("n")).first()["n"]
-    if ids is None or ids < 2:
+    if ids_differ(docs):
         return docs.withColumn("__rank", F.col("doc_id").cast("long"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("__place")]
     placed = docs.withColumn("__place", F.monotonically_increasing_id())

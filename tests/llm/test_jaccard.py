@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from carelane.llm import jaccard_join as J
 
@@ -82,8 +83,70 @@ def test_odd_rows(odd, none):
 
 
 def test_verify_counts_copies():
-    a, b = np.arange(10, dtype=np.int64), np.arange(1, 11, dtype=np.int64)
-    root, links = J.verify(np.array([5, 3]), np.array([2, 7]), [a, b], np.array([0, 0]), 80)
-    assert (root.tolist(), links.tolist()) == ([3, 3], [7, 2])
-    root, links = J.verify(np.array([5, 3]), np.array([2, 7]), [a, b], np.array([0, 0]), 82)
-    assert (root.tolist(), links.tolist()) == ([5, 3], [0, 0])
+    a, b = np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64)
+    same, apart = [[a[3:5], b[3:5]]] * 2, [[a[3:5], b[3:5]], [a[:1], b[9:]]]
+    ask = lambda prefix, percent: tuple(x.tolist() for x in J.verify(np.array([5, 3]), np.array([2, 7]), [a, b], prefix, np.array([0, 0]), percent))
+    assert ask(same, 80) == ([3, 3], [7, 2])
+    assert ask(same, 82) == ([5, 3], [0, 0])
+    # Candidates must share a prefix shingle under every order.
+    assert ask(apart, 80) == ([5, 3], [0, 0])
+
+
+def test_verify_of_many_candidates(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(60, 40).astype(np.uint64)) for _ in range(30)]
+    copies = np.arange(1, 31)
+    few = J.verify(np.arange(30), copies, sets, [sets, sets], np.zeros(30, int), 50)
+    monkeypatch.setattr(J, "_FEW", 0)
+    monkeypatch.setattr(J, "_POSTINGS", 50)
+    many = J.verify(np.arange(30), copies, sets, [sets, sets], np.zeros(30, int), 50)
+    inter = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    size = np.array([len(x) for x in sets])
+    linked = (100 * inter >= 50 * (size[:, None] + size - inter)) & ~np.eye(30, dtype=bool)
+    assert few[1].tolist() == many[1].tolist() == (linked * copies).sum(axis=1).tolist()
+    assert few[0].tolist() == many[0].tolist()
+
+
+def test_chains_under_one_order_are_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_SETS", 3)
+    # B and C each chain all nodes; a second look finds the pairs that share under both.
+    rows = [(0, k, [k, k + 1]) for k in range(8)] + [(1, k, [100 + k // 2, 200 + (k + 1) // 2 if k % 4 < 3 else 300]) for k in range(8)]
+    got = J.candidate_groups(spark.createDataFrame(rows, "tag int, node long, tokens array<long>"))
+    groups = {}
+    for r in got.collect():
+        groups.setdefault((r["B"], r["C"]), set()).add(r["node"])
+    assert sum(len(g) for g in groups.values()) == 8
+    by = {tag: {k: set(t) for x, k, t in rows if x == tag} for tag in (0, 1)}
+    for i in range(8):
+        for j in range(i):
+            if by[0][i] & by[0][j] and by[1][i] & by[1][j]:
+                assert any({i, j} <= g for g in groups.values())
+
+
+@pytest.mark.parametrize("block", [1, 40])
+def test_frequencies_over_many_blocks(docs_of, monkeypatch, block):
+    rows = near_copies(6, 60)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", block)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in J.join(docs_of(rows), 3, 80).collect())
+    assert got == brute(rows, 3, 80)
+
+
+def test_repeated_ids_and_marks(spark, docs_of):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (None, text), (2, "else"), (3, "else")]
+    got = J.join(docs_of(rows), 3, 80, F.length("text")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["n_links"]) for r in got) == brute(rows, 3, 80)
+    assert sorted(r["mark"] for r in got) == sorted(len(t) for _, t in rows)
+    kept = J.one_of_each_group(docs_of(rows), 3, 80).collect()
+    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 1, 2]
+
+
+def test_registered_query_against_its_sql(spark):
+    import duckdb
+
+    from carelane.llm.queries import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(f"select doc_id, n_shingles, component_id, n_links from ({ORACLE_SQL['op6_ngram_jaccard_join']})").fetchall()
+    assert sorted(tuple(r) for r in J.op6_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect()) == sorted(want)
