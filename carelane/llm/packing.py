@@ -10,8 +10,10 @@ documents are the classes of the near-duplicate join (5-word shingles, similarit
 Hot sources and large groups of copies spread over all shards; conflicts only ever hold inside a bin.
 
 Defined results: lengths of null texts are 0 and such documents still get a place; a null source or
-cluster conflicts with nothing; texts without words are clusters of byte-equal texts; repeated rows are packed each; an empty table gives no rows; equal lengths
-go in the order of (row key, source, cluster); columns of other names are not read.
+cluster conflicts with nothing, and a null text has no cluster; texts without words are clusters of byte-equal
+texts; repeated rows are packed each; an empty table gives no rows; equal lengths go in the order of (row key,
+source, cluster); columns of other names are not read. ``pack`` keys rows by their place in a scan, so its
+input is to be a stored table, as ``pack_documents`` makes it.
 """
 
 from __future__ import annotations
@@ -110,12 +112,16 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, keep:
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
-    """Documents (doc_id, source, text) by their words; near-duplicate texts form a cluster, named by the least hash of a text in it."""
-    # Texts are named by their hash: doc_id can be missing, or stand on several rows.
-    classes = join(docs.select(F.xxhash64("text").alias("doc_id"), "text"), WIDTH, PERCENT)
+    """Documents (doc_id, source, text) by their words; near-duplicate texts form a cluster, named by the least doc_id in it.
+
+    Rows without doc_id take the hash of their text for one.
+    """
+    text = F.xxhash64("text")
+    ids = F.coalesce(F.col("doc_id").cast("long"), text.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    classes = join(docs.select(ids.alias("doc_id"), "text"), WIDTH, PERCENT, text)
     # Tables of their own: a frequent text can be split in the join, and the rows' places stay as they are.
-    named = materialise(classes.groupBy(F.col("doc_id").alias("__text")).agg(F.min("component_id").alias("cluster")))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("length"), F.xxhash64("text").alias("__text"))
+    named = materialise(classes.groupBy(F.col("mark").alias("__text")).agg(F.min("component_id").alias("cluster")))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("length"), F.when(F.col("text").isNotNull(), text).alias("__text"))
     light = materialise(rows.join(named, "__text", "left").select("doc_id", "source", "length", "cluster"))
     return pack(light, F.col("length"), F.col("source"), F.col("cluster"), ["doc_id"], **how)
 
