@@ -3,12 +3,14 @@
 Everything runs in DataFrame/SQL functions. The regression is trained from a small labelled URL
 table: its examples are few (``MAX_LABELLED``), so the model is fitted in its dual form over the
 examples' similarity matrix inside one expression, and only ``2 ** BITS`` weights leave it. Scoring is
-a projection without any shuffle.
+a projection without any shuffle. Up to ``MAX_INLINE`` rules travel inside the expression; more, or rules given
+as a table, are joined by host suffix and path prefix, each distinct url once.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule, and is
-judged by the bias alone; without labelled urls those that fit no rule are allowed; empty tables give no rows; repeated rows get equal verdicts; other columns
+judged by the bias alone; without labelled urls those that fit no rule are allowed; more than ``MAX_LABELLED``
+of them are an error; empty tables give no rows; repeated rows get equal verdicts; other columns
 are not read. Among rules that fit, the longest (host and path characters together) wins; of equally
-long ones the one that sorts first.
+long ones the one that sorts first; rules with a null are none.
 """
 
 from __future__ import annotations
@@ -27,28 +29,28 @@ RULES = [
 ]
 #: A small labelled URL table: hosts and paths that name spam, betting, adult or fraud, and ordinary ones.
 LABELLED = [(u, 1) for u in (
-    "http://spam-farm.example.org/en/1", "https://www.spam-links.example.com/en/20.html", "http://link-farm.example.com/fr/7/",
-    "https://best-spam.example.org/", "http://adult-x.example.com/en/31", "https://adult-videos.example.org/de/5#top",
-    "http://www.adult-chat.example.com/es/9/", "https://x-adult.example.org/fr/3", "http://free-bets.example.org/en/8?page=2",
+    "http://spam-mail.example.org/en/1", "https://www.spam-links.example.com/en/20.html", "http://link-farm.example.com/fr/7/",
+    "https://best-spam.example.org/", "http://adult-live.example.com/en/31", "https://adult-videos.example.org/de/5#top",
+    "http://www.adult-chat.example.com/es/9/", "https://x-adult.example.org/fr/3", "http://quick-bets.example.org/en/8?page=2",
     "https://bets-online.example.com/en/44.html", "http://www.free-spins.example.com/es/6", "https://sport-bets.example.org/de/2/",
-    "http://casino-win.example.org/en/12", "https://www.online-casino.example.com/fr/19#top", "http://casino-bonus.example.com/en/",
-    "https://cheap-pills.example.org/en/70", "http://pills-shop.example.com/de/15.html", "https://www.cheap-viagra.example.org/",
+    "http://casino-vip.example.org/en/12", "https://www.online-casino.example.com/fr/19#top", "http://casino-bonus.example.com/en/",
+    "https://diet-pills.example.org/en/70", "http://pills-shop.example.com/de/15.html", "https://www.cheap-viagra.example.org/",
     "http://xxx-cams.example.com/en/88", "https://free-xxx.example.org/es/41/", "http://porn-tube.example.com/en/90?utm_source=feed",
     "https://free-porn.example.org/fr/23", "http://phish-login.example.com/en/61", "https://secure-phish.example.org/de/37",
     "http://malware-dl.example.com/en/52", "https://free-warez.example.org/en/26", "http://warez-crack.example.com/es/14",
     "https://poker-cash.example.org/en/33", "http://free-loans.example.com/en/77", "https://fast-loans.example.org/fr/58#top",
     "http://ads-server.example.com/en/5", "https://www.click-track.example.org/en/64/", "http://ads-click.example.org/de/16.html",
-    "https://track-ads.example.com/fr/29",
+    "https://popup-ads.example.com/fr/29",
 )] + [(u, 0) for u in (
-    "http://thering.example.com/en/1", "https://www.theron.example.org/en/20.html", "http://blog.thernd.example.com/fr/7/",
-    "https://m.ththin.example.org/", "http://tionsh.example.com/en/31", "https://blog.tionble.example.org/de/5#top",
-    "http://www.ththes.example.com/es/9/", "https://m.thther.example.org/fr/3", "http://ththon.example.org/en/8?page=2",
+    "http://gathering.example.com/en/1", "https://www.theatre-nights.example.org/en/20.html", "http://blog.thirdhand.example.com/fr/7/",
+    "https://m.within-reach.example.org/", "http://stationery.example.com/en/31", "https://blog.nation-table.example.org/de/5#top",
+    "http://www.maths-lessons.example.com/es/9/", "https://m.weather-north.example.org/fr/3", "http://marathon.example.org/en/8?page=2",
     "https://docs.library.example.com/en/44.html", "http://www.school-news.example.com/es/6", "https://museum.example.org/de/2/",
     "http://city-council.example.org/en/12", "https://www.open-science.example.com/fr/19#top", "http://recipes.example.com/en/",
     "https://garden-club.example.org/en/70", "http://history.example.com/de/15.html", "https://www.university.example.org/",
     "http://weather.example.com/en/88", "https://m.travel-guide.example.org/es/41/", "http://blog.music.example.com/en/90?utm_source=feed",
     "https://health-info.example.org/fr/23", "http://news.example.com/en/61", "https://forum.linux-users.example.org/de/37",
-    "http://wiki.example.com/en/52", "https://www.bookshop.example.org/en/26", "http://blog.ththre.example.com/es/14",
+    "http://wiki.example.com/en/52", "https://www.bookshop.example.org/en/26", "http://blog.three-threads.example.com/es/14",
     "https://sports-report.example.org/en/33", "http://m.maps.example.com/en/77", "https://www.court-records.example.org/fr/58#top",
     "http://train-times.example.com/en/5", "https://www.running-club.example.org/en/64/", "http://address-book.example.org/de/16.html",
     "https://m.cinema.example.com/fr/29",
@@ -57,8 +59,8 @@ LABELLED = [(u, 1) for u in (
 MAX_LABELLED = 500
 #: Bias without any labelled example: a score of practically 0.
 NO_LABELS_BIAS = -40.0
-#: Most rules of one list: they travel inside the expression.
-MAX_RULES = 10_000
+#: Most rules that travel inside the expression; more are joined as a table.
+MAX_INLINE = 1_000
 BITS, SIZES, ROUNDS, RATE, DECAY = 12, (3, 4), 300, 0.5, 0.002
 
 
@@ -130,10 +132,16 @@ def method_score(host: Column, path: Column, model: tuple[list[float], float], b
     return 1.0 / (1.0 + F.exp(-(F.lit(float(bias)) + total / F.sqrt(F.greatest(F.size(x), F.lit(1)).cast("double")))))
 
 
+def _suffixes(host: Column) -> Column:
+    """The host itself and what is left after each of its dots."""
+    labels = F.split(host, r"\.")
+    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+
+
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, else null. Looks up each suffix of the host in a map."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    if len(rules) > MAX_INLINE:
+        raise ValueError(f"at most {MAX_INLINE} rules inside an expression")
     by_host: dict[str, list[tuple[str, str]]] = {}
     for verdict, h, p in rules:
         by_host.setdefault(h, []).append((p, verdict))
@@ -144,19 +152,45 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     for h, own in sorted(by_host.items()):
         entries += [F.lit(h), F.array(*[F.struct(F.lit(-len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for p, v in own]).cast(kind)]
     lookup = F.create_map(*entries)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    found = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(lookup, s)), lambda a: a.isNotNull()))
+    found = F.flatten(F.filter(F.transform(_suffixes(host), lambda s: F.try_element_at(lookup, s)), lambda a: a.isNotNull()))
     fits = F.array_sort(F.filter(found, lambda r: F.startswith(path, r["path"])))
     return F.get(fits, F.lit(0))
 
 
-def judge(pages: DataFrame, model: tuple[list[float], float], rules=RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep`` columns, host, path, rule, verdict and the method's score of every url."""
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rules (verdict, host, path) as a table made by SQL functions alone."""
+    columns = [F.lit(list(c)).alias(k) for k, c in zip(("verdict", "host", "path"), zip(*rules, strict=True), strict=True)]
+    return spark.range(1).select(F.inline(F.arrays_zip(*columns)))
+
+
+def joined_rule(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``__rule`` to rows with ``__host`` and ``__path``: as ``matched_rule``, for any number of rules.
+
+    A host suffix that has rules brings the lengths of its rules' paths; only these prefixes of the path are
+    looked up, by equality. A host has at most as many lengths as its longest rule path has characters.
+    """
+    given = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").where("h is not null and p is not null and verdict is not null")
+    lengths = given.groupBy("h").agg(F.collect_set(F.length("p")).alias("lengths"))
+    urls = parts.select("__host", "__path").distinct()
+    suffixes = urls.select("__host", "__path", F.explode(_suffixes(F.col("__host"))).alias("h"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("__path"))
+    asked = suffixes.join(lengths, "h").select("__host", "__path", "h", F.explode(fitting).alias("n")).select("__host", "__path", "h", F.substr("__path", F.lit(1), F.col("n")).alias("p"))
+    rule = F.concat("h", "p")
+    best = asked.join(given, ["h", "p"]).groupBy("__host", "__path").agg(F.min(F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), F.col("p").alias("path"), "verdict")).alias("__rule"))
+    return parts.join(best, ["__host", "__path"], "left")
+
+
+def judge(pages: DataFrame, model: tuple[list[float], float], rules: list[tuple[str, str, str]] | DataFrame = RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``keep`` columns, host, path, rule, verdict and the method's score of every url; rules as a list or as a
+    table of verdict, host, path."""
     host, path = split_url(F.col("url"))
     parts = pages.select(*keep, host.alias("__host"), path.alias("__path"))
     h, p = F.col("__host"), F.col("__path")
-    out = parts.select(*keep, h, p, matched_rule(h, p, rules).alias("__rule"), method_score(h, p, model).alias("__score"))
+    if isinstance(rules, list) and len(rules) <= MAX_INLINE:
+        ruled = parts.select(*keep, h, p, matched_rule(h, p, rules).alias("__rule"))
+    else:
+        ruled = joined_rule(parts, rule_table(pages.sparkSession, rules) if isinstance(rules, list) else rules)
+    out = ruled.select(*keep, h, p, "__rule", method_score(h, p, model).alias("__score"))
     by_method = F.when(F.col("__score") >= 0.5, "block").otherwise("allow")
     return out.select(*keep, h.alias("host"), p.alias("path"), F.col("__rule")["rule"].alias("rule"), F.coalesce(F.col("__rule")["verdict"], by_method).alias("verdict"), F.col("__score").alias("score"))
 
