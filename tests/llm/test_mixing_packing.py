@@ -20,7 +20,7 @@ def sized(counts):
 @pytest.mark.parametrize("limit", [1.0, 2.0, 3.5])
 def test_mixture_keeps_to_limit_and_budgets(docs_of, limit):
     rows = sized({"a": 300, "b": 100, "c": 40, None: 12})
-    got = M.mix(docs_of(rows), max_repeat=limit, entropy_share=None, block_tokens=60).collect()
+    got = M.mix(docs_of(rows), max_repeat=limit, block_tokens=60).collect()
     tokens = Counter()
     for _, t, s in rows:
         tokens[s] += len(t.split())
@@ -41,14 +41,91 @@ def test_mixture_keeps_to_limit_and_budgets(docs_of, limit):
         assert all(sum(1 for _, e in seen[s] if e == x) == sum(1 for r in rows if r[2] == s) for x in range(whole))
 
 
-def test_entropy_target(spark):
-    totals = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10), ("d", 0)], "source string, tokens long")
-    a = M.solve_exponent(totals, None, 0.9)
-    z = sum(t**a for t in (1000, 100, 10))
-    q = [t**a / z for t in (1000, 100, 10)]
-    assert abs(-sum(x * math.log(x) for x in q) - 0.9) < 1e-5
+def entropy(tokens, a):
+    w = [t**a / sum(x**a for x in tokens) for t in tokens]
+    return -sum(x * math.log(x) for x in w if x)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_entropy_target(spark, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW_SOURCES", few)
+    tokens = (1000, 100, 10)
+    totals = spark.createDataFrame([*zip("abc", tokens, strict=True), ("d", 0)], "source string, tokens long")
+    assert entropy(tokens, 1) < 0.36
+    # A target above the shares' own entropy flattens them, one below it sharpens them.
+    for target in (0.9, 0.3, 0.05):
+        a = M.solve_exponent(totals, None, target)
+        assert abs(entropy(tokens, a) - target) < 1e-5
+        assert (a > 1) == (target < 0.35)
     assert M.solve_exponent(totals, None, 5.0) == 0.0
     assert M.solve_exponent(totals.limit(0), 2.0, 0.5) == 0.0
+    with pytest.raises(ValueError, match="repetition"):
+        M.solve_exponent(totals, 2.0, 0.05)
+    with pytest.raises(ValueError, match="exponent"):
+        M.solve_exponent(spark.createDataFrame([("a", 10), ("b", 10)], "source string, tokens long"), None, 0.5)
+    # Limit and target together: the one that asks for more wins.
+    limit = M.solve_exponent(totals, 2.0, None)
+    assert abs(100 ** (1 - limit) - 2.0) < 1e-5
+    assert M.solve_exponent(totals, 2.0, 0.9) == limit
+    assert M.solve_exponent(totals, 50.0, 0.5) == pytest.approx(M.solve_exponent(totals, None, 0.5))
+
+
+def brute_mix(docs, exponent, budget, block_tokens):
+    """(doc_id, epoch) of all documents, from the hashes of rows alone."""
+    plain = [r.asDict() for r in docs.select("doc_id", "source", M.word_count(F.col("text")).alias("n"), M.row_hash().alias("h")).collect()]
+    tokens = Counter()
+    for r in plain:
+        tokens[r["source"]] += r["n"]
+    z = sum(t**exponent for t in tokens.values() if t)
+    times = {s: (t ** (exponent - 1) * budget / z if t else 1.0) for s, t in tokens.items()}
+    if budget is None:
+        raise ValueError
+    parts = {s: max(1, math.ceil(t / block_tokens)) for s, t in tokens.items()}
+    rows = [(r["doc_id"], r["source"], r["n"], r["h"], parts[r["source"]], math.floor(round(times[r["source"]], 9))) for r in plain]
+    placed = docs.sparkSession.createDataFrame(rows, "doc_id long, source string, n long, h long, parts int, full int").withColumn("block", M._block(F.col("h"), F.col("parts")))
+    placed = placed.withColumn("bo", M._block_order(F.col("source"), F.col("full"), F.col("block"))).withColumn("do", M._doc_order(F.col("h"), F.col("full"))).collect()
+    out = Counter()
+    for s, t in tokens.items():
+        full = math.floor(round(times[s], 9))
+        left = math.floor((round(times[s], 9) - full) * t)
+        mine = [r for r in placed if r["source"] == s]
+        for r in mine:
+            out.update((r["doc_id"], e) for e in range(full))
+        done = left <= 0
+        for _, block in sorted({(r["bo"], r["block"]) for r in mine}):
+            own = [r for r in mine if r["block"] == block]
+            if done:
+                break
+            if sum(r["n"] for r in own) <= left:
+                left -= sum(r["n"] for r in own)
+                out.update((r["doc_id"], full) for r in own)
+                done = left <= 0
+                continue
+            done = True
+            for order in sorted({r["do"] for r in own}):
+                same = [r for r in own if r["do"] == order]
+                if sum(r["n"] for r in same) > left:
+                    break
+                left -= sum(r["n"] for r in same)
+                out.update((r["doc_id"], full) for r in same)
+    return out
+
+
+@pytest.mark.parametrize(("budget", "bits"), [(700, 12), (1500, 2), (4000, 1)])
+def test_budgets_against_brute_force(docs_of, monkeypatch, budget, bits):
+    monkeypatch.setattr(M, "RANGE_BITS", bits)
+    rows = sized({"a": 300, "b": 100, "c": 40, None: 12}) + [(900 + k, "same row of five words", "b") for k in range(6)] + [(950, None, "d"), (951, "", "a")]
+    rows += [rows[5]] * 4
+    docs = docs_of(rows)
+    got = M.mix(docs, max_repeat=2.0, budget_tokens=budget, block_tokens=60).collect()
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s] += len((t or "").split())
+    sums = docs.sparkSession.createDataFrame([(str(s), n) for s, n in tokens.items()], "source string, tokens long")
+    want = brute_mix(docs, M.solve_exponent(sums, 2.0, None), budget, 60)
+    assert Counter((r["doc_id"], r["mix"]["epoch"]) for r in got) == want
+    spent = sum(len((r["text"] or "").split()) for r in got)
+    assert budget - 60 < spent <= budget
 
 
 def brute_best_fit(rows, capacity):
@@ -107,9 +184,12 @@ def test_packing_is_whole_and_keeps_conflicts(docs_of):
 
 
 def test_odd_rows(odd, none):
-    got = P.pack_documents(odd, capacity=64).collect()
-    check(got, 64)
-    assert sum(r["length"] for r in got) == odd.select(F.sum(M.word_count(F.col("text")))).first()[0]
+    clash = odd.withColumns({c: F.lit(1) for c in ("row", "length", "cluster", "shard", "key", "bin", "place", "__text")})
+    for docs in (odd, clash):
+        got = P.pack_documents(docs, capacity=64).collect()
+        check(got, 64)
+        assert sum(r["length"] for r in got) == odd.select(F.sum(M.word_count(F.col("text")))).first()[0]
+    assert {r["cluster"] for r in got if r["doc_id"] == 1} == {None}
     assert P.pack_documents(none).count() == 0
     clash = odd.withColumnRenamed("lang", "block").withColumn("h", F.lit(1))
     mixed = M.mix(clash)
@@ -118,6 +198,11 @@ def test_odd_rows(odd, none):
     assert M.mix(none).count() == 0
 
 
+def test_null_texts_of_several_sources_share_a_bin(docs_of):
+    got = P.pack_documents(docs_of([(i, None, f"s{i}") for i in range(4)])).collect()
+    assert len({r["bin"] for r in got}) == 1
+
+
 def test_near_copies_are_one_cluster_and_share_no_sequence(spark, docs_of, tmp_path):
     words = [f"w{k}" for k in range(60)]
     near = [" ".join(words), " ".join([*words[:59], "other"]), " ".join(words).upper(), "  ".join(words)]
