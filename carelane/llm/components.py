@@ -7,18 +7,20 @@ logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("tag", "a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["s"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and what tells them from others: their number and the sum of their hashes, seen while writing."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("tag", "a", "b").cast("decimal(38,0)")).alias("s")))
+    return table, (seen.get["n"], seen.get["s"])
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, tuple]:
     """One star step on edges (tag, a, b) with a > b, written to the shared folder.
 
     The minima are a table of their own, so that the join's two sides are plain shuffles by node and the
@@ -34,7 +36,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         made = joined.select("tag", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("tag", "a", F.col("m").alias("b")))
     else:
         made = joined.where("b > a").select("tag", F.col("b").alias("a"), F.col("m").alias("b"))
-    return materialise(made.where("a > b").distinct())
+    return _written(made.where("a > b").distinct())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -43,11 +45,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``edges`` has tag, a, b (long); direction, repeats and loops do not matter. Tags are separate graphs.
     """
     directed = edges.where("a <> b").select("tag", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialise(directed)
-    before = _state(now)
+    now, before = _written(directed)
     for _ in range(most_rounds):
-        now = _star(_star(now, small=False), small=True)
-        after = _state(now)
+        if not before[0]:
+            return now.select("tag", F.col("a").alias("node"), F.col("b").alias("root"))
+        now, after = _star(_star(now, small=False)[0], small=True)
         if after == before:
             return now.select("tag", F.col("a").alias("node"), F.col("b").alias("root"))
         before = after

@@ -40,14 +40,14 @@ from .components import components
 from .textbatch import Words, mix, slices
 
 #: Hash classes of shingles, and bounds of one verification task: sets and shingles.
-CLASSES, TASK_SETS, TASK_SHINGLES = 10, 256, 2_000_000
+CLASSES, TASK_SETS, TASK_SHINGLES = 10, 512, 2_000_000
 #: Shingles of one block that counts frequencies; stored input for one hash range of them.
 BLOCK_SHINGLES, RANGE_INPUT_BYTES = 4_000_000, 64_000_000
-#: Shingle hashes are compared in batches of this many postings; this few candidates are compared one by one.
-_POSTINGS, _FEW = 4_000_000, 8
+#: Postings are paired in batches; columns of a dense block; the work of a dense cell by that of a pair of postings.
+_POSTINGS, _COLUMNS, _DENSE = 4_000_000, 2048, 0.04
 _TRUE = np.ones(1, bool)
-#: Most rounds that take large groups apart (each that does not part one ends it).
-REFINE = 8
+#: Groups of more sets than this are taken apart, in at most so many rounds (each that does not part one ends it).
+REFINE_SETS, REFINE = 16_384, 8
 
 
 def prefix_size(n, percent: int):
@@ -392,13 +392,13 @@ def candidate_groups(prefix: DataFrame) -> DataFrame:
     groups = materialise(_with_roots(both, sharing(pairs)))
     for _ in range(REFINE):
         sizes = materialise(groups.groupBy("B", "C").agg(F.count("*").alias("g")))
-        large = sizes.where(F.col("g") > TASK_SETS).select("B", "C")
+        large = sizes.where(F.col("g") > REFINE_SETS).select("B", "C")
         before = large.count()
         if not before:
             break
         marked = groups.join(sizes, ["B", "C"])
-        small = marked.where(F.col("g") <= TASK_SETS).select("node", "B", "C")
-        inside = materialise(marked.where(F.col("g") > TASK_SETS).select("node", "B", "C"))
+        small = marked.where(F.col("g") <= REFINE_SETS).select("node", "B", "C")
+        inside = materialise(marked.where(F.col("g") > REFINE_SETS).select("node", "B", "C"))
         done = small if done is None else done.unionByName(small)
         own = pairs.join(inside, "node").select("tag", "node", F.xxhash64("token", "B", "C").alias("token"))
         groups = materialise(_with_roots(inside.select("node"), sharing(own)))
@@ -407,22 +407,39 @@ def candidate_groups(prefix: DataFrame) -> DataFrame:
     return groups if done is None else done.unionByName(groups)
 
 
-def _candidates(lists: list[np.ndarray], g: int):
-    """Function from a set to those that share a token with it; lists: the prefix tokens of each set."""
-    flat = np.concatenate(lists)
+def overlaps(lists: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of some lists of distinct numbers share, as a square matrix.
+
+    Lists that share most of their numbers go through a product of dense blocks, others through postings.
+    """
+    g = len(lists)
     owner = np.repeat(np.arange(g), [len(x) for x in lists])
-    token = np.unique(flat, return_inverse=True)[1]
+    _, token, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    common = df[token] > 1
+    owner, token = owner[common], token[common]
+    if not len(token):
+        return np.zeros((g, g), np.int64)
     order = np.argsort(token, kind="stable")
-    posting, at = owner[order], np.concatenate([[0], np.cumsum(np.bincount(token))])
-    own = np.split(token, np.cumsum([len(x) for x in lists])[:-1])
-
-    def of(i: int) -> np.ndarray:
-        out = np.zeros(g, bool)
-        for t in own[i]:
-            out[posting[at[t] : at[t + 1]]] = True
-        return out
-
-    return of
+    owner, token = owner[order], token[order]
+    new = np.concatenate([_TRUE, token[1:] != token[:-1]])
+    number = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(token)))
+    out = np.zeros(g * g, np.int64)
+    if _DENSE * g * g * len(first) < int((size * size).sum()):
+        for lo in range(0, len(first), _COLUMNS):
+            a, b = first[lo], (first[lo + _COLUMNS] if lo + _COLUMNS < len(first) else len(token))
+            block = np.zeros((g, _COLUMNS), np.float32)
+            block[owner[a:b], number[a:b] - lo] = 1
+            out += (block @ block.T).astype(np.int64).ravel()
+    else:
+        partners = size[number]
+        cuts = np.searchsorted(np.cumsum(partners), np.arange(0, partners.sum(), _POSTINGS))
+        for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True):
+            n = partners[a:b]
+            other = np.repeat(first[number[a:b]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            out += np.bincount(np.repeat(owner[a:b], n) * g + owner[other], minlength=g * g)
+    return out.reshape(g, g)
 
 
 def verify(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], prefix: list[list[np.ndarray]], block: np.ndarray, percent: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -433,65 +450,33 @@ def verify(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], prefix:
     """
     g = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    sharing_ = [_candidates(lists, g) for lists in prefix]
-    postings = None
+    # Sizes alone bound the similarity.
+    near = 100 * np.minimum(sizes, sizes[:, None]) >= percent * np.maximum(sizes, sizes[:, None])
+    np.fill_diagonal(near, False)
+    if across:
+        near &= block != block[:, None]
+    for lists in prefix:
+        if near.any():
+            near &= overlaps(lists) > 0
     label, links = np.arange(g), np.zeros(g, np.int64)
-    for i in range(g - 1):
-        later = np.arange(g) > i
-        if across:
-            later &= block != block[i]
-        # Sizes alone bound the similarity.
-        later &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-        for of in sharing_:
-            if later.any():
-                later &= of(i)
-        near = np.flatnonzero(later)
-        if not len(near):
-            continue
-        if len(near) <= _FEW:
-            shared = np.array([(sets[i][np.minimum(np.searchsorted(sets[i], sets[j]), sizes[i] - 1)] == sets[j]).sum() for j in near])
-        else:
-            if postings is None:
-                postings = Postings(sets)
-            shared = postings.shared(i)[near]
-        found = near[100 * shared >= percent * (sizes[i] + sizes[near] - shared)]
-        if len(found):
-            links[i] += copies[found].sum()
-            links[found] += copies[i]
-            joined = np.unique(np.append(label[found], label[i]))
-            if len(joined) > 1:
-                label[np.isin(label, joined)] = joined[0]
-    least = np.full(g, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, ids)
-    return least[label], links
-
-
-class Postings:
-    """For each shingle that two sets or more of a task have, those sets."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = [len(s) for s in sets]
-        self.g = len(sets)
-        _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(self.g), sizes)
-        common = df[token] > 1
-        owner, token = owner[common], token[common]
-        self.posting, self.ptr = owner[np.argsort(token, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(df)))])
-        self.token, self.at = token, np.searchsorted(owner, np.arange(self.g + 1))
-
-    def shared(self, i: int) -> np.ndarray:
-        """How many shingles each set shares with set i."""
-        t = self.token[self.at[i] : self.at[i + 1]]
-        out = np.zeros(self.g, np.int64)
-        if not len(t):
-            return out
-        start, size = self.ptr[t], self.ptr[t + 1] - self.ptr[t]
-        cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), _POSTINGS))
-        for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True):
-            total = int(size[a:b].sum())
-            offset = np.repeat(start[a:b] - np.concatenate([[0], np.cumsum(size[a:b])[:-1]]), size[a:b])
-            out += np.bincount(self.posting[offset + np.arange(total)], minlength=self.g)
-        return out
+    # Only sets that have a candidate are compared.
+    some = np.flatnonzero(near.any(axis=1))
+    if len(some):
+        n = sizes[some]
+        shared = overlaps([sets[i] for i in some])
+        linked = near[np.ix_(some, some)] & (100 * shared >= percent * (n + n[:, None] - shared))
+        links[some] = linked @ copies[some]
+        own = np.arange(len(some))
+        while True:
+            least = np.minimum(own, np.where(linked, own, len(some)).min(axis=1))
+            least = least[least]
+            if (least == own).all():
+                break
+            own = least
+        label[some] = some[own]
+    least_id = np.full(g, np.iinfo(np.int64).max)
+    np.minimum.at(least_id, label, ids)
+    return least_id[label], links
 
 
 def verified_links(sets: DataFrame, prefix: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

@@ -66,6 +66,7 @@ def test_against_brute_force(docs_of, seed, k, percent):
 def test_large_groups_in_blocks(docs_of, monkeypatch):
     rows = near_copies(9, 80)
     monkeypatch.setattr(J, "TASK_SETS", 5)
+    monkeypatch.setattr(J, "REFINE_SETS", 5)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in J.join(docs_of(rows), 3, 80).collect())
     assert got == brute(rows, 3, 80)
 
@@ -92,23 +93,33 @@ def test_verify_counts_copies():
     assert ask(apart, 80) == ([5, 3], [0, 0])
 
 
-def test_verify_of_many_candidates(monkeypatch):
+@pytest.mark.parametrize("dense", [0, 0.04, 100])
+def test_verify_against_all_pairs(monkeypatch, dense):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.choice(60, 40).astype(np.uint64)) for _ in range(30)]
-    copies = np.arange(1, 31)
-    few = J.verify(np.arange(30), copies, sets, [sets, sets], np.zeros(30, int), 50)
-    monkeypatch.setattr(J, "_FEW", 0)
+    copies, block = np.arange(1, 31), np.arange(30) % 2
+    monkeypatch.setattr(J, "_DENSE", dense)
     monkeypatch.setattr(J, "_POSTINGS", 50)
-    many = J.verify(np.arange(30), copies, sets, [sets, sets], np.zeros(30, int), 50)
+    monkeypatch.setattr(J, "_COLUMNS", 7)
     inter = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
     size = np.array([len(x) for x in sets])
-    linked = (100 * inter >= 50 * (size[:, None] + size - inter)) & ~np.eye(30, dtype=bool)
-    assert few[1].tolist() == many[1].tolist() == (linked * copies).sum(axis=1).tolist()
-    assert few[0].tolist() == many[0].tolist()
+    got = J.overlaps(sets)
+    np.fill_diagonal(got, np.diag(inter))
+    assert (got == inter).all()
+    for percent, across in ((50, False), (62, True)):
+        roots, links = J.verify(np.arange(30), copies, sets, [sets, sets], block, percent, across)
+        linked = (100 * inter >= percent * (size[:, None] + size - inter)) & ~np.eye(30, dtype=bool)
+        if across:
+            linked &= block != block[:, None]
+        assert links.tolist() == (linked * copies).sum(axis=1).tolist()
+        least = np.arange(30)
+        for _ in range(30):
+            least = np.array([min([least[i], *least[linked[i]]]) for i in range(30)])
+        assert roots.tolist() == least.tolist()
 
 
 def test_chains_under_one_order_are_taken_apart(spark, monkeypatch):
-    monkeypatch.setattr(J, "TASK_SETS", 3)
+    monkeypatch.setattr(J, "REFINE_SETS", 3)
     # B and C each chain all nodes; a second look finds the pairs that share under both.
     rows = [(0, k, [k, k + 1]) for k in range(8)] + [(1, k, [100 + k // 2, 200 + (k + 1) // 2 if k % 4 < 3 else 300]) for k in range(8)]
     got = J.candidate_groups(spark.createDataFrame(rows, "tag int, node long, tokens array<long>"))
