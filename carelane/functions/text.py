@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that trimming removes: the regex class plus no-break, figure and zero-width no-break spaces and line separators.
-_SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+#: White space that trimming removes, here and on the driver.
+WHITE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SPACE = f"[{''.join(f'\\u{ord(c):04x}' for c in WHITE)}]"
 
 
 def trimmed(x: Column) -> Column:

@@ -29,8 +29,9 @@ def long_date(d: Column) -> Column:
 
 
 def same_month(ts: Column, now: Column) -> Column:
-    """Same calendar month and year."""
-    return F.trunc(ts, "MONTH") == F.trunc(now, "MONTH")
+    """Same calendar month and year, as a range that keeps the stored column bare, so that it can be pushed down."""
+    first = F.trunc(now, "MONTH")
+    return (ts >= first.cast("timestamp_ntz")) & (ts < F.add_months(first, 1).cast("timestamp_ntz"))
 
 
 def parsed(x: Column) -> Column:

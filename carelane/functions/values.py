@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def or_default(x: Column, default, falsy="") -> Column:
-    """``default`` for null and for the falsy value of the column's kind ('' for text, 0 for numbers)."""
+    """``default`` for null and for the falsy value of the column's kind ('' for text, 0 for numbers).
+
+    A falsy 0.0 says that the column is floating: NaN is falsy there, too.
+    """
     d = default if isinstance(default, Column) else F.lit(default)
+    if isinstance(falsy, float):
+        x = F.when(~F.isnan(x), x)
     return F.coalesce(F.nullif(x, F.lit(falsy)), d)
 
 
@@ -30,8 +35,17 @@ def parse_number(x: Column) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", x)
+    """A finite double below 2^53 with one or two decimals: the exact binary value, rounded half up in size.
+
+    The fraction is taken as a whole number of 2^-62ths, which is exact for all fractions that do not round to 0.
+    """
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size).cast("bigint")
+    unit = F.lit(1 << 62).cast("decimal(38,0)")
+    scaled = ((size - whole) * F.lit(float(1 << 62))).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(4,0)") + F.lit(1 << 61).cast("decimal(20,0)")
+    tenths = ((scaled - F.pmod(scaled, unit)) / unit).cast("bigint")
+    carried, rest = whole + F.floor(tenths / 10**digits).cast("bigint"), F.pmod(tenths, F.lit(10**digits))
+    return F.concat(F.when(x < 0, "-").otherwise(""), carried.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
 
 
 def share_floor(n: Column, hundredths: int) -> Column:

@@ -48,6 +48,11 @@ def available(key: Column, when: str | None, seed: int | None = None) -> Column
     return {"today": draw >= 3, "week": draw >= 1, "month": F.lit(True)}.get(when, F.lit(False))
 
 
+def online(key: Column, seed: int | None = None) -> Column:
+    """Simulated presence of half of the people: at random with a seed, else by the key."""
+    return F.rand(seed) > 0.5 if seed is not None else F.pmod(key, F.lit(2)) == 1
+
+
 def on_day(ts: Column, day: str) -> Column:
     """A null-safe same-day test that keeps the stored column bare, so that it can be pushed down."""
     start = F.lit(day).cast("date")

@@ -38,6 +38,14 @@ def first_by(rows: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def indexed(rows: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "index") -> DataFrame:
+    """Adds each row's place from 0 in an order, within its key.
+
+    Without keys all rows are numbered in one task: that is for a list that is shown, after its limit.
+    """
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)) - 1)
+
+
 def pair_key(a: Column, b: Column) -> list[Column]:
     """An unordered pair as two columns to group and join by: an equi-key instead of an OR of ANDs."""
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]

@@ -10,12 +10,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from carelane.functions.text import WHITE
+from carelane.operators.relations import first_by
 from carelane.sources.schema import schema_of
 
 
 def append_message(spark: SparkSession, path: str, id: int, sender: int, receiver: int, text: str, now: datetime) -> Row | None:
-    """Append one message and return its row; a blank text appends nothing."""
-    if not text.strip():
+    """Append one message and return its row; a blank text (``text.WHITE`` alone) appends nothing."""
+    if not text.strip(WHITE):
         return None
     row = spark.createDataFrame([(id, sender, receiver, text, now, False)], schema_of("messages"))
     row.write.mode("append").parquet(path)
@@ -23,15 +25,20 @@ def append_message(spark: SparkSession, path: str, id: int, sender: int, receive
 
 
 def insert_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The new rows, one for each key, whose key no existing row has."""
-    return new.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti").select(new.columns)
+    """The new rows whose key no existing row has, of each key the first by all columns; none without a key."""
+    first = first_by(new, [key], [F.asc_nulls_last(c) for c in new.columns])
+    return first.join(existing.select(key).distinct(), key, "left_anti").select(new.columns)
+
+
+def as_declared(rows: DataFrame, name: str) -> DataFrame:
+    """Rows in the shape of a declared table; columns that they lack are null."""
+    return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema_of(name)])
 
 
 def insert_people(spark: SparkSession, path: str, new: DataFrame) -> int:
     """Append people with new emails to a users table; returns how many."""
-    shape = schema_of("users")
-    existing = spark.read.schema(shape).parquet(path)
-    rows = insert_absent(existing, new, "email").select(*[F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape])
+    existing = spark.read.schema(schema_of("users")).parquet(path)
+    rows = as_declared(insert_absent(existing, new, "email"), "users")
     n = rows.count()
     rows.write.mode("append").parquet(path)
     return n

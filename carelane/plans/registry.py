@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,13 @@ from carelane.functions import values as V
 from carelane.operators import predicates as P
 from carelane.operators import relations as R
 from carelane.operators import writes
-from carelane.operators.cardinality import head, top
+from carelane.operators.cardinality import head, is_empty, maybe_single, single, top
 from carelane.plans import views
 from carelane.sources import literals, tables
+from carelane.sources.person import signed_in_rows
+from carelane.sources.schema import schema_of
+from carelane.streaming import messages as S
+from carelane.streaming.folders import work_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,15 +63,24 @@ def point_lookup(spark, d):
     return tables.patients(spark, d).where(F.col("id") == 42)
 
 
-@query("select s_suppkey as id, s_name as name from supplier where contains(lower(s_name), lower('R#00000001')) or contains(lower(coalesce(null, '')), lower('R#00000001'))")
+@query("select p_partkey as id, p_name as name from part where contains(lower(p_name), lower('RED')) or contains(lower(coalesce(nullif(p_brand, 'Brand#2'), '')), lower('RED')) or contains(lower(p_type), lower('RED'))")
 def text_search(spark, d):
-    rows = tables.doctors(spark, d)
-    return rows.where(P.search("R#00000001", F.col("name"), F.lit(None).cast("string"))).select("id", "name")
+    """Some of three columns has the term: names (a red one), brands with nulls among them, types."""
+    part = tables.star(spark, d, "part")
+    brand = F.nullif(F.col("p_brand"), F.lit("Brand#2"))
+    return part.where(P.search("RED", F.col("p_name"), brand, F.col("p_type"))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query("select c_custkey as id, c_name as name from customer where contains(lower(c_name), lower('BuIlD')) or contains(lower(c_mktsegment), lower('BuIlD'))")
+def search_second_column(spark, d):
+    """A term that only the second column has."""
+    return tables.patients(spark, d).where(P.search("BuIlD", F.col("name"), F.col("segment"))).select("id", "name")
 
 
 @query("select c_custkey as id from customer where c_acctbal >= try_cast('4.5' as double)")
 def min_rating(spark, d):
-    return tables.patients(spark, d).where(F.col("balance") >= V.parse_number(F.lit("4.5"))).select("id")
+    # A missing or zero rating counts as the default, here the limit's other side.
+    return tables.patients(spark, d).where(P.least_rating(F.col("balance"), "4.5", 0.0)).select("id")
 
 
 @query("select p_partkey as id, p_size from part where p_size >= 1 and contains(lower(p_type), 'promo') and coalesce(nullif(p_size / 10.0, 0.0), 4.5) >= 4.0 and p_partkey % 10 >= 3")
@@ -288,18 +303,202 @@ def small_functions(spark, d):
     return tables.patients(spark, d).select("id", F.when(V.is_even(F.col("id")), "even").otherwise("odd").alias("parity"), F.col("id").cast("string").alias("shown"), V.lookup(F.col("segment"), landing).alias("landing"), X.plural(F.col("id") % 3).alias("plural"))
 
 
-@query("select event_id as id, try_cast(regexp_extract(substring(props, 1, 200), '[0-9]+') as bigint) as number from events")
+@query("select event_id as id, try_cast(regexp_extract(props, '[0-9]+') as bigint) as number from events")
 def parsed_number(spark, d):
     digits = F.regexp_replace("props", "^[^0-9]*", "")
     return tables.star(spark, d, "events").select(F.col("event_id").alias("id"), V.parse_int(digits).alias("number"))
 
 
+@query("select c_custkey as id, try_cast(nullif(regexp_extract(v, '^\\s*([+-]?[0-9]+)', 1), '') as bigint) as number from (select c_custkey, case c_custkey % 4 when 0 then c_custkey || ' of ' || c_mktsegment when 1 then '  -' || c_custkey || 'px' when 2 then c_mktsegment || c_custkey else '' end v from customer)")
+def leading_number(spark, d):
+    """Whole numbers at the beginning of texts: with a rest, with spaces and a sign, with none, empty."""
+    n = F.col("id").cast("string")
+    kind = F.pmod("id", F.lit(4))
+    text = F.when(kind == 0, F.concat(n, F.lit(" of "), "segment")).when(kind == 1, F.concat(F.lit("  -"), n, F.lit("px"))).when(kind == 2, F.concat("segment", n)).otherwise("")
+    return tables.patients(spark, d).select("id", V.parse_int(text).alias("number"))
+
+
+@query("select p_partkey as id, case when p_size / 20.0 - floor(p_size / 20.0) in (0.25, 0.75) then printf('%.1f', p_size / 20.0 + 0.01) else printf('%.1f', p_size / 20.0) end as shown from part")
+def one_decimal(spark, d):
+    """Twentieths with one decimal: 2.35 is below its tie in binary, 2.45 above, 2.25 is one and goes up."""
+    return tables.star(spark, d, "part").select(F.col("p_partkey").alias("id"), V.fixed(F.col("p_size") / 20.0, 1).alias("shown"))
+
+
+@query("select c_custkey as id, case when c_custkey % 3 = 0 or c_acctbal = 0 then 4.5 else c_acctbal end as rating from customer")
+def falsy_number(spark, d):
+    """Null, zero and NaN take the default."""
+    odd = F.when(F.col("id") % 6 == 0, F.lit(float("nan"))).when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("balance"))
+    return tables.patients(spark, d).select("id", V.or_default(odd, 4.5, 0.0).alias("rating"))
+
+
+@query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_orderdate end as at from orders")
+def parsed_time(spark, d):
+    """Texts that are times, and texts that are none."""
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.concat("o_orderpriority", F.lit(" no time")))
+    return tables.star(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.parsed(text).cast("timestamp_ntz").alias("at"))
+
+
+@query("select o_orderkey as id, case o_orderstatus when 'F' then 'green' when 'P' then 'orange' else 'red' end as colour from orders")
+def case_chain(spark, d):
+    return tables.star(spark, d, "orders").select(F.col("o_orderkey").alias("id"), V.case(F.col("o_orderstatus"), {"F": "green", "P": "orange"}, "red").alias("colour"))
+
+
+@query("select o_orderkey as id from orders where o_orderdate >= timestamp '1998-06-01 00:00:00'")
+def bookable_days(spark, d):
+    return tables.star(spark, d, "orders").where(P.bookable(F.col("o_orderdate"), _now())).select(F.col("o_orderkey").alias("id"))
+
+
+@query("select c_custkey as id, c_custkey % 2 = 1 as online from customer")
+def presence(spark, d):
+    return tables.patients(spark, d).select("id", P.online(F.col("id")).alias("online"))
+
+
+@query("select row_number() over (order by s_suppkey) - 1 as \"index\", s_suppkey as id, (row_number() over (order by s_suppkey) - 1) % 2 = 0 as even from (select s_suppkey from supplier order by s_suppkey limit 6)")
+def row_index(spark, d):
+    """A shown list with each row's place and whether it is even."""
+    shown = head(tables.doctors(spark, d).select("id"), 6, F.asc("id"))
+    return R.indexed(shown, [F.asc("id")]).select("index", "id", V.is_even(F.col("index")).alias("even"))
+
+
+@query(f"with {_APPT} select user_id, l_orderkey, l_linenumber, l_partkey, row_number() over (partition by user_id order by l_orderkey, l_linenumber, l_partkey) - 1 as place from appt where doctor_id = 7")
+def index_in_group(spark, d):
+    mine = tables.appointments(spark, d).where(F.col("doctor_id") == 7)
+    return R.indexed(mine, [F.asc(c) for c in _line_order()], ["user_id"], "place").select("user_id", *_line_order(), "place")
+
+
+# Rows that are asked for one by one
+
+
+@query("select c_custkey as id, c_name as name from customer where c_custkey = 42")
+def exactly_one(spark, d):
+    rows = tables.patients(spark, d).where(F.col("id") == 42).select("id", "name")
+    return spark.createDataFrame([single(rows)], rows.schema)
+
+
+@query("select c_custkey as id, c_name as name from customer where c_custkey in (-1, 7)")
+def at_most_one(spark, d):
+    """One lookup that finds nobody and one that finds a row."""
+    rows = tables.patients(spark, d).select("id", "name")
+    found = [maybe_single(rows.where(F.col("id") == k)) for k in (-1, 7)]
+    return spark.createDataFrame([r for r in found if r is not None], rows.schema)
+
+
+@query("select 'customers' as list, (select count(*) from customer) = 0 as empty union all select 'nobody', (select count(*) from customer where c_custkey < 0) = 0")
+def empty_lists(spark, d):
+    people = tables.patients(spark, d)
+    return spark.createDataFrame([("customers", is_empty(people)), ("nobody", is_empty(people.where("id < 0")))], "list string, empty boolean")
+
+
+# Declared tables, written and read back
+
+
+_PEOPLE = """people as (select s_suppkey id, s_name as name, 'd' || s_suppkey || '@example.com' email, 'doctor' as role from supplier
+ union all select c_custkey + 1000000, c_name, 'p' || c_custkey || '@example.com', 'user' from customer)"""
+
+
+def _declared_people(spark, d):
+    """Suppliers and customers as the declared table of users, under a folder of its own."""
+    folder = work_folder(spark)
+    doctors = tables.doctors(spark, d).select("id", "name", F.concat(F.lit("d"), "id", F.lit("@example.com")).alias("email"), F.lit("doctor").alias("role"))
+    patients = tables.patients(spark, d).select((F.col("id") + 1000000).alias("id"), "name", F.concat(F.lit("p"), "id", F.lit("@example.com")).alias("email"), F.lit("user").alias("role"))
+    writes.as_declared(doctors.unionByName(patients), "users").write.parquet(f"{folder}/users")
+    return folder
+
+
+@query(f"with {_PEOPLE} select id, name, email, role from people")
+def declared_users(spark, d):
+    return tables.declared(spark, _declared_people(spark, d), "users").select("id", "name", "email", "role")
+
+
+@query(f"with {_PEOPLE} select id, name, email from people where role = 'doctor'")
+def role_doctors(spark, d):
+    return tables.people(tables.declared(spark, _declared_people(spark, d), "users"), "doctor").select("id", "name", "email")
+
+
+@query(f"with {_PEOPLE} select id, name, email from people where role = 'user'")
+def role_patients(spark, d):
+    return tables.people(tables.declared(spark, _declared_people(spark, d), "users"), "user").select("id", "name", "email")
+
+
+@query(f"with {_PEOPLE} select role, count(*) as n, min(name) as first_name from people group by role")
+def catalog_views(spark, d):
+    """SQL over registered views of declared tables and of roles."""
+    tables.register(spark, _declared_people(spark, d), ("users",))
+    return spark.sql("select role, count(*) as n, min(name) as first_name from (select * from doctors union all select * from patients) group by role")
+
+
+@query(f"with {_PEOPLE} select email, count(*) as n from (select email from people union all select 'new' || x || '@example.com' from range(3) t(x)) group by email")
+def inserted_people(spark, d):
+    """Existing people and three new ones are inserted, twice: each email stays one row."""
+    folder = _declared_people(spark, d)
+    old = tables.declared(spark, folder, "users").where("role = 'doctor'").select("name", "email", "role")
+    new = spark.range(3).select(F.concat(F.lit("New "), "id").alias("name"), F.concat(F.lit("new"), "id", F.lit("@example.com")).alias("email"), F.lit("user").alias("role"))
+    for _ in range(2):
+        writes.insert_people(spark, f"{folder}/users", old.unionByName(new).unionByName(new))
+    return tables.declared(spark, folder, "users").groupBy("email").agg(F.count("*").alias("n"))
+
+
+@query("select * from (values (1, 17, 139, 'Hello', false), (2, 139, 17, 'Hi  there', false), (4, 17, 139, '\u200bzero width', false)) t(id, sender_id, receiver_id, message, is_read)".replace("\\u200b", "\u200b"))
+def sent_messages(spark, d):
+    """Messages that are appended one by one, blank ones not; then read again from the table."""
+    path = f"{work_folder(spark)}/messages"
+    for k, (a, b, text) in enumerate([(17, 139, "Hello"), (139, 17, "Hi  there"), (17, 139, " \t\u00a0\ufeff"), (17, 139, "\u200bzero width")], 1):
+        writes.append_message(spark, path, k, a, b, text, datetime(2024, 1, 23, 10, 30))
+    return spark.read.schema(schema_of("messages")).parquet(path).select("id", "sender_id", "receiver_id", "message", "is_read")
+
+
+@query("select c_custkey + 5 as id, c_name as name, c_custkey || '@example.com' as email, case when c_custkey % 2 = 0 then 'doctor' else 'user' end as role from customer where c_custkey % 5 not in (0, 1, 2)")
+def session_people(spark, d):
+    """Stored sessions: some are signed out, some lack a key, some have an unknown role or no number."""
+    n = F.col("id")
+    kind = F.pmod(n, F.lit(5))
+    sessions = tables.patients(spark, d).select(
+        F.when(kind == 0, "false").otherwise("true").alias("isLoggedIn"),
+        F.when(kind == 1, "guest").when(n % 2 == 0, "doctor").otherwise("user").alias("userRole"),
+        F.concat(F.when(kind == 2, "x").otherwise(" +"), (n + 5).cast("string"), F.lit(".5")).alias("userId"),
+        F.col("name").alias("userName"),
+        F.concat(n.cast("string"), F.lit("@example.com")).alias("userEmail"),
+    )
+    nameless = sessions.withColumn("userName", F.lit(""))
+    return signed_in_rows(sessions.unionByName(nameless))
+
+
 # Literal sources
 
 
-@query("select * from (values (" + "), (".join(f"{k}, '{s}'" for k, s in enumerate(literals.TIME_SLOTS)) + ")) t(position, slot)")
-def time_slots(spark, d):
-    return literals.literal(spark, "time_slots")
+def _values(name: str) -> str:
+    """A literal table as SQL values, typed as its shape says."""
+    rows, ddl = literals.SHAPES[name]
+    columns = [c.split() for c in ddl.split(", ")]
+    kinds = {"string": "varchar", "long": "bigint", "array<string>": "varchar[]"}
+
+    def shown(value) -> str:
+        if isinstance(value, list):
+            return "[" + ", ".join(map(shown, value)) + "]"
+        return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+    casts = ", ".join(f'cast("{c}" as {kinds.get(k, k)}) as "{c}"' for c, k in columns)
+    names = ", ".join(f'"{c}"' for c, _ in columns)
+    return f"select {casts} from (values " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") t({names})"
+
+
+def _literal_query(name: str):
+    def rows(spark, d):
+        return literals.literal(spark, name)
+
+    rows.__name__ = name if name == "time_slots" else f"literal_{name}"
+    query(_values(name))(rows)
+
+
+for _name in literals.SHAPES:
+    _literal_query(_name)
+
+
+@query(f"select id, name from ({_values('patients')}) where contains(lower(name), 'smith') or contains(lower(email), 'smith') or contains(lower(email), 'garcia@')")
+def fixture_search(spark, d):
+    """The search by name or e-mail on the literal patients, with two terms."""
+    rows = literals.literal(spark, "patients")
+    return rows.where(P.search("Smith", F.col("name"), F.col("email")) | P.search("GARCIA@", F.col("name"), F.col("email"))).select("id", "name")
 
 
 # Screens
@@ -327,7 +526,7 @@ def doctor_dashboard(spark, d):
 
 @query(f"""with {_APPT}, {_MSG}, {_LAST}, ids as (select distinct doctor_id from appt where user_id = 10)
  select i.doctor_id, s.s_name as name, coalesce(n.n_name, 'General Medicine') as specialty, coalesce(p.message, 'No messages yet') as last_message,
- coalesce(strftime(p.ts, '%I:%M %p'), 'Start chat') as time from ids i join supplier s on s.s_suppkey = i.doctor_id left join nation n on n.n_nationkey = s.s_nationkey
+ coalesce(strftime(p.ts, '%I:%M %p'), 'Start chat') as time, i.doctor_id % 2 = 1 as online from ids i join supplier s on s.s_suppkey = i.doctor_id left join nation n on n.n_nationkey = s.s_nationkey
  left join lm p on p.rn = 1 and p.a = least(10, i.doctor_id) and p.b = greatest(10, i.doctor_id)""")
 def contact_list(spark, d):
     doctors = tables.doctors(spark, d).join(tables.details(spark, d), "detail_id", "left").select("id", "name", "specialization")
@@ -336,9 +535,9 @@ def contact_list(spark, d):
 
 @query(f"""with {_APPT} select l_orderkey * 100 + l_linenumber as id, coalesce('Dr. ' || s_name, 'Unknown Doctor') as doctor, coalesce(n_name, 'Specialist') as specialty,
  strftime(created_at, '%-m/%-d/%Y, %-I:%M:%S %p') as date, '12:00 PM' as time, coalesce(nullif(status, ''), 'pending') as type
- from appt left join supplier on s_suppkey = doctor_id and s_suppkey % 5 <> 0 left join nation on n_nationkey = s_nationkey where user_id = 10""")
+ from appt left join supplier on s_suppkey = doctor_id left join nation on n_nationkey = s_nationkey where user_id = 10""")
 def formatted_appointments(spark, d):
-    known = tables.doctors(spark, d).where("id % 5 <> 0").join(tables.details(spark, d), "detail_id", "left").select("id", "name", F.col("specialization").alias("specialty"))
+    known = tables.doctors(spark, d).join(tables.details(spark, d), "detail_id", "left").select("id", "name", F.col("specialization").alias("specialty"))
     mine = tables.appointments(spark, d).where(F.col("user_id") == 10).withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
     return views.formatted_appointments(mine, known)
 
@@ -368,17 +567,55 @@ def patient_dashboard(spark, d):
 # Streams
 
 
+_SHAPE = "id long, sender_id long, receiver_id long, message string, timestamp timestamp"
+
+
+def _as_files(spark, d):
+    rows = tables.messages(spark, d)
+    return rows.select("id", "sender_id", "receiver_id", "message", F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def _of_pair(a: int, b: int):
+    return P.between_two(F.col("sender_id"), F.col("receiver_id"), a, b)
+
+
 @query(f"with {_MSG} select id, sender_id, receiver_id, message from msg where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17)")
 def stream_pair(spark: SparkSession, d: str) -> DataFrame:
-    """The pair's messages through the stream: events as message files in two drops, one message repeated."""
-    from carelane.streaming import messages as S
-    from carelane.streaming.folders import work_folder
-
+    """The pair's messages through the stream: events as message files in two drops, the pair's own in both of them."""
     base = work_folder(spark)
-    shape = "id long, sender_id long, receiver_id long, message string, timestamp timestamp"
-    rows = tables.messages(spark, d).select("id", "sender_id", "receiver_id", "message", F.col("ts").cast("timestamp").alias("timestamp"))
     for half in (0, 1):
-        rows.where((F.col("id") % 2 == half) | ((F.col("sender_id") == 17) & (F.col("receiver_id") == 139))).write.mode("append").parquet(f"{base}/in")
-        q = S.follow(S.live_messages(spark, f"{base}/in", 17, 139, "4000 days", shape), f"{base}/out", f"{base}/state")
-        q.awaitTermination()
-    return spark.read.schema(shape).parquet(f"{base}/out").select("id", "sender_id", "receiver_id", "message")
+        _as_files(spark, d).where((F.col("id") % 2 == half) | _of_pair(17, 139)).write.mode("append").parquet(f"{base}/in")
+        S.follow(S.live_messages(spark, f"{base}/in", 17, 139, schema=_SHAPE), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(_SHAPE).parquet(f"{base}/out").select("id", "sender_id", "receiver_id", "message")
+
+
+@query(f"with {_MSG} select m.id, m.message, s.c_name as sender_name from msg m left join customer s on s.c_custkey = m.sender_id where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17)")
+def stream_live(spark: SparkSession, d: str) -> DataFrame:
+    """The same conversation by a query that goes on: the snapshot, then what comes, handed over batch by batch with names."""
+    base = work_folder(spark)
+    late = F.col("id") % 2 == 0
+    rows = _as_files(spark, d)
+    rows.where(~late).write.parquet(f"{base}/in")
+    stream = S.with_names(S.live_messages(spark, f"{base}/in", 17, 139, schema=_SHAPE), tables.patients(spark, d))
+    keep = lambda batch, k: batch.select("id", "message", "sender_name").write.mode("overwrite").parquet(f"{base}/out/batch={k}")
+    live = S.deliver(stream, keep, f"{base}/state", "100 milliseconds")
+    live.processAllAvailable()
+    rows.where(late).write.mode("append").parquet(f"{base}/in")
+    live.processAllAvailable()
+    live.stop()
+    return spark.read.schema("id long, message string, sender_name string").parquet(f"{base}/out").select("id", "message", "sender_name")
+
+
+@query(f"""with {_MSG} select id, case when least(sender_id, receiver_id) = 17 then 'first' else 'second' end as conversation from msg
+ where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17) or (sender_id = 21 and receiver_id = 40) or (sender_id = 40 and receiver_id = 21)""")
+def stream_resubscribed(spark: SparkSession, d: str) -> DataFrame:
+    """A subscription that changes to another pair and comes back, while messages of both go on to come."""
+    base = work_folder(spark)
+    one = S.Subscription(spark, f"{base}/in", base, "100 milliseconds", _SHAPE)
+    for part, pair in enumerate([(17, 139), (40, 21), (139, 17), (21, 40)]):
+        _as_files(spark, d).where(F.col("id") % 4 == part).write.mode("append").parquet(f"{base}/in")
+        one.to(*pair).processAllAvailable()
+    one.to(17, 139).processAllAvailable()
+    one.stop()
+    found = [spark.read.schema(_SHAPE).parquet(one.path(*pair)).select("id", F.lit(name).alias("conversation")) for pair, name in (((17, 139), "first"), ((21, 40), "second"))]
+    return found[0].unionByName(found[1])

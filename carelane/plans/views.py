@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from carelane.functions.text import joined_name
 from carelane.functions.times import clock, date_part, date_time
-from carelane.functions.values import case, element, fixed, is_even, null_default, or_default, share_floor
-from carelane.operators.predicates import active, all_of, available, between_two, least_rating, on_day, optional_contains, overdue, search
-from carelane.operators.relations import concatenated, embed_many, first_by, is_member, labelled_counts, last_messages, pair_key
+from carelane.functions.values import case, fixed, is_even, null_default, or_default, share_floor
+from carelane.operators.predicates import active, all_of, available, between_two, least_rating, on_day, online, optional_contains, overdue, search
+from carelane.operators.relations import concatenated, first_by, is_member, labelled_counts, last_messages, pair_key
 
 
 def doctor_search(doctors: DataFrame, details: DataFrame, term: str = "", specialty: str | None = None, rating: str | None = None, availability: str | None = None, seed: int | None = None) -> DataFrame:
     """Doctors (id, name) with their details (user_id, ...) that pass all filters given, with shown texts."""
     columns = ["id", "specialization", "experience", "availability", "rating", "reviews", "location"]
-    rows = embed_many(doctors, details, "id", "user_id", "doctor_details", columns)
-    one = element(F.col("doctor_details"), 0)
+    # Only the first details row of a doctor is shown: it is picked before the join, none is gathered.
+    first = first_by(details.select("user_id", F.struct(*columns).alias("__one")), ["user_id"], [F.col("__one")])
+    rows = doctors.join(first, F.col("id") == F.col("user_id"), "left").drop("user_id")
+    one = F.col("__one")
     rows = rows.where(all_of(search(term, F.col("name"), one["specialization"]), optional_contains(one["specialization"], specialty), least_rating(one["rating"], rating), available(F.col("id"), availability, seed)))
     return rows.select(
         "id",
@@ -65,8 +67,8 @@ def patient_directory(appointments: DataFrame, people: DataFrame, doctor: int, o
     return people.where(search(term, *text)).join(visits, F.col("id") == F.col("user_id")).drop("user_id")
 
 
-def contact_list(appointments: DataFrame, doctors: DataFrame, messages: DataFrame, user: int) -> DataFrame:
-    """A patient's doctors, each once, with specialty and the latest message of the pair.
+def contact_list(appointments: DataFrame, doctors: DataFrame, messages: DataFrame, user: int, seed: int | None = None) -> DataFrame:
+    """A patient's doctors, each once, with specialty, simulated presence and the latest message of the pair.
 
     One pass instead of a request for each appointment; ids are compared as unordered pairs.
     """
@@ -75,7 +77,7 @@ def contact_list(appointments: DataFrame, doctors: DataFrame, messages: DataFram
     last = last_messages(mine)
     pairs = ids.join(doctors, F.col("doctor_id") == F.col("id")).drop("id").select("*", *pair_key(F.lit(user).cast("long"), F.col("doctor_id")))
     joined = pairs.join(last.select("a", "b", "message", "ts"), ["a", "b"], "left")
-    return joined.select("doctor_id", or_default(F.col("name"), "Unknown Doctor").alias("name"), or_default(F.col("specialization"), "General Medicine").alias("specialty"), or_default(F.col("message"), "No messages yet").alias("last_message"), F.coalesce(clock(F.col("ts")), F.lit("Start chat")).alias("time"))
+    return joined.select("doctor_id", or_default(F.col("name"), "Unknown Doctor").alias("name"), or_default(F.col("specialization"), "General Medicine").alias("specialty"), online(F.col("doctor_id"), seed).alias("online"), or_default(F.col("message"), "No messages yet").alias("last_message"), F.coalesce(clock(F.col("ts")), F.lit("Start chat")).alias("time"))
 
 
 def history(messages: DataFrame, a: int, b: int) -> DataFrame:

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from carelane.functions.text import WHITE
+from carelane.functions.values import parse_int
+from carelane.operators.predicates import all_given
+
 from .schema import ROLES
 
 #: The session's keys.
@@ -21,18 +29,21 @@ class Person:
 def signed_in(values: dict[str, str | None]) -> Person | None:
     """The person of a session, or None unless all keys are there and valid.
 
-    Ids are the leading digits of their text.
+    Ids are the leading whole number of their text.
     """
     if values.get("isLoggedIn") != "true" or not all(values.get(k) for k in KEYS):
         return None
-    digits = ""
-    for ch in values["userId"].strip():
-        if not ch.isdigit():
-            break
-        digits += ch
-    if not digits or values["userRole"] not in ROLES:
+    number = re.match(r"[+-]?[0-9]+", values["userId"].strip(WHITE))
+    if not number or values["userRole"] not in ROLES:
         return None
-    return Person(int(digits), values["userName"], values["userEmail"], values["userRole"])
+    return Person(int(number[0]), values["userName"], values["userEmail"], values["userRole"])
+
+
+def signed_in_rows(sessions: DataFrame) -> DataFrame:
+    """id, name, email, role of the valid ones of stored sessions (a string column for each of the keys)."""
+    number: Column = parse_int(F.col("userId"))
+    valid = (F.col("isLoggedIn") == "true") & all_given(*[F.col(k) for k in KEYS]) & F.col("userRole").isin(*ROLES) & number.isNotNull()
+    return sessions.where(valid).select(number.alias("id"), F.col("userName").alias("name"), F.col("userEmail").alias("email"), F.col("userRole").alias("role"))
 
 
 def session_values(person: Person | None) -> dict[str, str]:

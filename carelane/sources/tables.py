@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import schema_of
+from .schema import DDL, schema_of
 
 #: Pairs of people in the stand-in for messages are (user, event modulo this).
 RECEIVERS = 150
@@ -21,6 +21,15 @@ def people(users: DataFrame, role: str) -> DataFrame:
     return users.where(F.col("role") == role)
 
 
+def register(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(DDL)) -> None:
+    """Temporary views for SQL: declared tables under a folder, and the role views ``doctors`` and ``patients``."""
+    for name in names:
+        declared(spark, folder, name).createOrReplaceTempView(name)
+    if "users" in names:
+        for view, role in (("doctors", "doctor"), ("patients", "user")):
+            people(spark.table("users"), role).createOrReplaceTempView(view)
+
+
 def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

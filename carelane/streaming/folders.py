@@ -9,6 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, a temporary one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="carelane-")
+    """A fresh folder under ``spark.checkpoint.dir``; in local mode, where that is unset, a temporary one.
+
+    On a cluster the setting is needed: the driver and the executors share no other folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="carelane-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"

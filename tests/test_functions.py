@@ -1,4 +1,6 @@
+import random
 from datetime import date, datetime
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -17,6 +19,8 @@ def values(spark, rows, ddl, column):
 def test_defaults(spark):
     rows = [(0.0,), (None,), (4.7,)]
     assert values(spark, rows, "x double", V.or_default(F.col("x"), 4.5, 0.0)) == [4.5, 4.5, 4.7]
+    assert values(spark, [(float("nan"),)], "x double", V.or_default(F.col("x"), 4.5, 0.0)) == [4.5]
+    assert values(spark, [("",), ("x",)], "x string", V.or_default(F.col("x"), "none")) == ["none", "x"]
     rows = [(0,), (None,)]
     made = V.null_default(F.col("x"), F.concat(F.col("x").cast("string"), F.lit(" years")), "Experience not specified")
     assert values(spark, rows, "x int", made) == ["0 years", "Experience not specified"]
@@ -31,6 +35,17 @@ def test_numbers(spark):
     assert values(spark, [(4.26,)], "x double", V.fixed(F.col("x"), 1)) == ["4.3"]
 
 
+@pytest.mark.parametrize("digits", [1, 2])
+def test_fixed_rounds_the_exact_value(spark, digits):
+    rng = random.Random(digits)
+    some = [4.35, 4.25, 4.45, 0.05, 0.15, 0.25, -4.25, -4.35, 0.0, 9.95, 9.949999, 99.99, 1e-7, 0.049999999999999996, 1.005, 2.5, 123456789.25, 4503599627370495.5]
+    some += [rng.choice([-1, 1]) * rng.randrange(2000) / rng.choice([20, 40, 200, 1000]) for _ in range(300)] + [rng.random() * 10**rng.randrange(-3, 9) for _ in range(100)]
+    want = [str(abs(Decimal(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for x in some]
+    want = [f"-{w}" if x < 0 else w for x, w in zip(some, want, strict=True)]
+    assert values(spark, [(x,) for x in some], "x double", V.fixed(F.col("x"), digits)) == want
+    assert values(spark, [(None,)], "x double", V.fixed(F.col("x"), digits)) == [None]
+
+
 def test_arrays_and_lookups(spark):
     assert values(spark, [([1],), ([],), (None,)], "x array<int>", V.element(F.col("x"), 0)) == [1, None, None]
     assert values(spark, [(3.7,)], "x double", V.stars(F.col("x"))) == [[True, True, True, False, False]]
@@ -56,7 +71,15 @@ def test_times(spark):
     assert get(T.same_month(F.col("x"), F.lit(date(2024, 1, 1))))
     days = [(date(2024, 1, d),) for d in (1, 2, 3, 4, 11, 12, 13, 21, 22, 23)]
     assert [s.split()[1] for s in values(spark, days, "x date", T.long_date(F.col("x")))] == ["1st,", "2nd,", "3rd,", "4th,", "11th,", "12th,", "13th,", "21st,", "22nd,", "23rd,"]
-    assert values(spark, [("nonsense",)], "x string", T.parsed(F.col("x"))) == [None]
+    assert values(spark, [("nonsense",), ("2024-01-22 14:05:09",)], "x string", T.parsed(F.col("x"))) == [None, rows[0][0]]
+    ends = [(datetime(2024, 1, 31, 23, 59, 59, 999999),), (datetime(2024, 2, 1),), (datetime(2023, 12, 31, 23, 59),), (None,)]
+    assert values(spark, ends, "x timestamp_ntz", T.same_month(F.col("x"), F.lit(date(2024, 1, 5)))) == [True, False, False, None]
+    assert values(spark, [(date(2024, 1, 31),), (date(2024, 2, 1),)], "x date", T.same_month(F.col("x"), F.lit(date(2024, 1, 5)))) == [True, False]
+
+
+def test_white_space_is_the_same_on_the_driver(spark):
+    odd = ["\u00a0a\ufeff", "\x1ca\x1f", "\x85", " \u3000\u2028 ", "\u200b", "\v\f"]
+    assert values(spark, [(x,) for x in odd], "x string", X.trimmed(F.col("x"))) == [x.strip(X.WHITE) for x in odd]
 
 
 @pytest.mark.parametrize("n", [0])

@@ -3,13 +3,16 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from carelane.functions import times as T
 from carelane.operators import cardinality as C
 from carelane.operators import predicates as P
 from carelane.operators import relations as R
 from carelane.operators import writes
+from carelane.sources import tables
 from carelane.sources.literals import SPECIALTY_FILTERS, literal
-from carelane.sources.person import Person, session_values, signed_in
+from carelane.sources.person import KEYS, Person, session_values, signed_in, signed_in_rows
 from carelane.sources.schema import DDL, schema_of
+from carelane.streaming.folders import work_folder
 
 
 def ids(rows):
@@ -39,10 +42,13 @@ def test_day_and_overdue(spark):
     assert ids(rows.where(P.bookable(F.col("t"), now))) == [3]
 
 
-def test_day_filter_is_pushed_down(spark, tmp_path):
+def test_day_and_month_filters_are_pushed_down(spark, tmp_path):
     spark.createDataFrame([(1, datetime(2024, 1, 2))], "id long, t timestamp_ntz").write.parquet(f"{tmp_path}/t")
-    rows = spark.read.parquet(f"{tmp_path}/t").where(P.on_day(F.col("t"), "2024-01-02"))
-    assert "GreaterThanOrEqual(t" in rows._jdf.queryExecution().toString()
+    for condition in (P.on_day(F.col("t"), "2024-01-02"), T.same_month(F.col("t"), F.lit("2024-01-15").cast("date"))):
+        rows = spark.read.parquet(f"{tmp_path}/t").where(condition)
+        plan = rows._jdf.queryExecution().toString()
+        assert "GreaterThanOrEqual(t" in plan and "LessThan(t" in plan
+        assert rows.count() == 1
 
 
 @pytest.mark.parametrize("term", SPECIALTY_FILTERS)
@@ -109,7 +115,9 @@ def test_append_message(spark, tmp_path):
     assert writes.append_message(spark, path, 1, 1, 2, "hello", now)["message"] == "hello"
     assert writes.append_message(spark, path, 2, 2, 1, " \n", now) is None
     writes.append_message(spark, path, 3, 2, 1, "again", now)
-    assert ids(spark.read.schema(schema_of("messages")).parquet(path)) == [1, 3]
+    assert writes.append_message(spark, path, 4, 2, 1, "\ufeff\u00a0", now) is None
+    assert writes.append_message(spark, path, 5, 2, 1, "\x1c", now)["id"] == 5
+    assert ids(spark.read.schema(schema_of("messages")).parquet(path)) == [1, 3, 5]
 
 
 def test_insert_if_absent(spark, tmp_path):
@@ -118,12 +126,61 @@ def test_insert_if_absent(spark, tmp_path):
     assert writes.insert_people(spark, path, literal(spark, "seed_users")) == 3
     assert writes.insert_people(spark, path, literal(spark, "seed_users")) == 0
     assert spark.read.parquet(path).count() == 4
+    # Of new rows with one email the first by all columns stays; rows without an email are none.
+    more = spark.createDataFrame([("b", "x@example.com", "user"), ("a", "x@example.com", "user"), ("c", None, "user")], "name string, email string, role string")
+    assert (writes.insert_people(spark, path, more), writes.insert_people(spark, path, more)) == (1, 0)
+    assert [r["name"] for r in spark.read.parquet(path).where("email = 'x@example.com'").collect()] == ["a"]
 
 
 def test_literals_and_schemas(spark):
     sizes = {"doctors": 6, "patients": 4, "users": 4, "appointments": 3, "messages": 5, "seed_users": 4, "time_slots": 14, "appointment_types": 5}
     assert {k: literal(spark, k).count() for k in sizes} == sizes
     assert all(len(schema_of(k)) >= 3 for k in DDL)
+    one = literal(spark, "doctors").where("id = 3").first()
+    assert (one["education"], one["availability"]) == ("Stanford Medical School", "Busy") and one["image"].startswith("https://")
+    assert ids(literal(spark, "patients").where(P.search("garcia@", F.col("name"), F.col("email")))) == [2]
+
+
+def test_declared_tables_and_role_views(spark, tmp_path):
+    users = [(1, "Ann", "a@example.com", "doctor"), (2, "Bob", "b@example.com", "user"), (3, "Eve", "e@example.com", "admin")]
+    tables_of = {"users": spark.createDataFrame(users, "id long, name string, email string, role string")}
+    tables_of["appointments"] = spark.createDataFrame([(5, 2, 1, "confirmed")], "id long, user_id long, doctor_id long, status string")
+    for name in DDL:
+        rows = tables_of.get(name, spark.createDataFrame([], schema_of(name)))
+        writes.as_declared(rows, name).write.parquet(f"{tmp_path}/{name}")
+    tables.register(spark, str(tmp_path))
+    found = spark.sql("select p.name as patient, d.name as doctor from appointments a join patients p on p.id = a.user_id join doctors d on d.id = a.doctor_id").collect()
+    assert [tuple(r) for r in found] == [("Bob", "Ann")]
+    users_read = tables.declared(spark, str(tmp_path), "users")
+    assert users_read.schema == schema_of("users")
+    assert [ids(tables.people(users_read, r)) for r in ("doctor", "user", "admin")] == [[1], [2], [3]]
+    assert spark.sql("select * from messages").columns == schema_of("messages").names
+
+
+def test_index(spark):
+    rows = spark.createDataFrame([(5, "a"), (3, "b"), (9, "a")], "id long, k string")
+    assert sorted(map(tuple, R.indexed(rows, [F.col("id")]).collect())) == [(3, "b", 0), (5, "a", 1), (9, "a", 2)]
+    assert sorted(map(tuple, R.indexed(rows, [F.col("id").desc()], ["k"], "n").collect())) == [(3, "b", 0), (5, "a", 1), (9, "a", 0)]
+
+
+def test_presence(spark):
+    rows = spark.range(1000)
+    assert rows.where(P.online(F.col("id"))).count() == 500
+    assert 400 < rows.where(P.online(F.col("id"), 1)).count() < 600
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_folder(Session)
+    Session.sparkContext.master = "local[4]"
+    assert work_folder(Session).startswith("file:///")
 
 
 def test_session_person():
@@ -131,4 +188,16 @@ def test_session_person():
     assert signed_in(session_values(one)) == one
     assert signed_in(session_values(None)) is None
     assert signed_in({**session_values(one), "userName": ""}) is None
-    assert signed_in({**session_values(one), "userId": "7x"}).id == 7
+    ids_of = {"7x": 7, " +12.5": 12, "-3": -3, "\u00b2": None, "7\u00b2": 7, "x7": None, "\u0667": None}
+    for text, want in ids_of.items():
+        got = signed_in({**session_values(one), "userId": text})
+        assert (got and got.id) == want
+
+
+def test_session_rows_are_as_single_sessions(spark):
+    good = session_values(Person(7, "Ann", "ann@example.com", "doctor"))
+    some = [good, {**good, "userId": " -4x"}, {**good, "userId": "\u00b2"}, {**good, "isLoggedIn": "false"}, {**good, "userName": ""}, {**good, "userRole": "guest"}, {**good, "userEmail": None}]
+    rows = spark.createDataFrame([tuple(s[k] for k in KEYS) for s in some], ", ".join(f"{k} string" for k in KEYS))
+    want = [p for p in map(signed_in, some) if p]
+    assert sorted(map(tuple, signed_in_rows(rows).collect())) == sorted((p.id, p.name, p.email, p.role) for p in want)
+    assert len(want) == 2
