@@ -2,14 +2,15 @@
 
 Confirmed toxic examples (P) and unlabelled text (U) train linear numpy classifiers on hashed word
 features under the non-negative risk estimator ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``
-(logistic loss). Labels of the negative class are never used; the class prior corrects the decision.
-Fitting happens on the driver over a sample whose size is a parameter. One pass over all whole texts
-counts their margins in bins, and the decision lies where the share above is the class prior; scoring is
-another pass on the executors with weights of a fixed size.
-
-Defined results: null and empty texts have no features and get the score of the bias alone; repeated
-rows get equal scores; an empty table gives no rows; without any positive example every score is
-``prior`` (0 when there are no labels). Columns of other names pass through ``score`` unread.
+(logistic loss). Of the labels only toxic ones are examples; the others count in the class prior (the share
+of toxic labels), which corrects the risk and places the decision. Fitting happens on the driver over a sample
+whose rows are bounded by parameters. One pass over all whole texts writes their margins with weights of a
+fixed size; the decision lies where the share of all texts above it is the class prior.
+
+Defined results: null and empty texts have no features and get the margin of the bias alone; repeated
+rows get equal scores; of the rows of one doc_id at most one is an example (the one of least text hash); an
+empty table gives no rows; without any positive example every score is ``prior`` (0 when there are no labels).
+Columns of other names pass through untouched.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, materialise, table
 
 #: Bounds of the fitting sample (rows), the fixed width of the model, and the optimiser.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 BITS = 18
 EPOCHS, BATCH, RATE, DECAY, SEEDS = 40, 512, 0.02, 5e-4, (1, 2, 3, 4, 5)
-#: A feature enters when this many positive texts have it, its share in P exceeds that in U by this many
-#: deviations, and this part of its share in U is what the prior lets positive texts have there.
-LEAST_TEXTS, LEAST_Z, LEAST_SHARE = 6, 6.0, 0.6
+#: A feature enters when this share of the positive texts has it (two of them at least, and no more than
+#: ``MOST_ASKED`` are asked for), its share in P exceeds that in U by this many deviations, and this part of its
+#: share in U is what the prior lets positive texts have there.
+LEAST_TEXTS, MOST_ASKED, LEAST_Z, LEAST_SHARE = 0.1, 6, 6.0, 0.6
 #: Margin bins that place the decision: their greatest margin either way, and bins of one unit.
 BIN_RANGE, BINS_A_UNIT = 40, 512
 #: Shares of the prior below and above which an estimate is not taken.
@@ -74,13 +76,12 @@ class Model:
     weights: np.ndarray
     bias: float
     bits: int
+    #: The share of texts that the decision parts from the rest; None leaves it at the risk's own zero margin.
+    prior: float | None = None
 
     def margin(self, features: np.ndarray) -> float:
         return self.bias + float(self.weights[features].sum(dtype=np.float64))
 
-    def score(self, features: np.ndarray) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(features), -40, 40))))
-
 
 def nnpu_risk(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Risk of the margins of P and U and its gradients by margin.
@@ -107,11 +108,12 @@ def enriched(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, dim: in
     in_p = np.bincount(np.concatenate(pos), minlength=dim)
     share = (np.bincount(np.concatenate(unl), minlength=dim) + 1) / (len(unl) + 2)
     z = (in_p - len(pos) * share) / np.sqrt(len(pos) * share * (1 - share) + 1e-12)
-    return (in_p >= LEAST_TEXTS) & (z >= LEAST_Z) & (prior * in_p >= LEAST_SHARE * share * len(pos))
+    asked = min(MOST_ASKED, max(2, int(np.ceil(LEAST_TEXTS * len(pos)))))
+    return (in_p >= asked) & (z >= LEAST_Z) & (prior * in_p >= LEAST_SHARE * share * len(pos))
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, seeds=SEEDS) -> Model:
-    """Train one classifier per seed with Adam on nnPU batches and average them; the decision is the risk's own."""
+    """Train one classifier per seed with Adam on nnPU batches and average them."""
     dim = 1 << bits
     prior = float(np.clip(prior, *PRIOR_RANGE)) if pos else 0.0
     if not pos or not unl:
@@ -152,26 +154,43 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
     own, bias = (total / len(seeds)).astype(np.float32), bias_total / len(seeds)
     weights = np.zeros(dim, dtype=np.float32)
     weights[kept] = own[: int(kept.sum())]
-    return Model(weights, bias, bits)
+    return Model(weights, bias, bits, prior)
 
 
-def margin_bins(docs: DataFrame, model: Model) -> list[tuple[int, float, float]]:
-    """(texts, least margin, greatest margin) of every margin bin that has texts, of all of ``docs``, highest first."""
+def with_margins(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame, str]:
+    """``keep`` columns of every row and the margin of its whole text, written once; and the margin's name."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
+    name = "__margin"
+    while name in keep:
+        name += "_"
+    wanted = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(f"{name}_of"))
+    last = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, width = shared.value
         own, make = Model(weights, bias, width), Featuriser(width)
         for batch in batches:
-            z = np.array([own.margin(make(t.as_py())) for t in batch.column(0)], np.float64)
-            bins = np.floor(np.clip(z, -BIN_RANGE, BIN_RANGE) * BINS_A_UNIT).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(z)], names=["bin", "z"])
+            z = pa.array([own.margin(make(t.as_py())) for t in batch.column(last)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], z], names=[*keep, name])
+
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, "double")
+    return materialise(wanted.mapInArrow(run, schema)), name
+
 
+def margin_bins(scored: DataFrame, name: str) -> list[tuple[int, float, float]]:
+    """(texts, least margin, greatest margin) of every margin bin that has texts, highest first."""
+    z = F.col(name)
+    bins = F.floor(F.greatest(F.least(z, F.lit(float(BIN_RANGE))), F.lit(-float(BIN_RANGE))) * BINS_A_UNIT).alias("bin")
     # At most 2 * BIN_RANGE * BINS_A_UNIT + 1 rows, whatever the input.
-    found = docs.select("text").mapInArrow(run, "bin int, z double").groupBy("bin").agg(F.count("*").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi")).collect()
+    found = scored.groupBy(bins).agg(F.count("*").alias("n"), F.min(z).alias("lo"), F.max(z).alias("hi")).collect()
     return [(r["n"], r["lo"], r["hi"]) for r in sorted(found, key=lambda r: -r["bin"])]
 
 
+def decision(scored: DataFrame, name: str, model: Model) -> float:
+    """The margin from which on a text is rejected."""
+    return 0.0 if model.prior is None else prior_cut(margin_bins(scored, name), model.prior)
+
+
 def prior_cut(bins: list[tuple[int, float, float]], prior: float) -> float:
     """The margin that parts the prior's share of all texts from the rest: between the two bins where the count above is nearest to it."""
     if not bins:
@@ -189,17 +208,18 @@ def prior_cut(bins: list[tuple[int, float, float]], prior: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> Model:
     """Fit on bounded samples: toxic-labelled rows outside the held-out fold, and any other text outside it.
 
-    The samples are the rows of smallest hash of doc_id; texts become feature lists on the executors. The
-    decision is then placed by the margins of all of ``docs`` (held-out texts too, never their labels).
+    The samples are the doc_ids of smallest hash, one row of each; texts become feature lists on the executors.
     """
     train_labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     share = train_labels.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"] or 0.0
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h"))
+    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(17)))
     toxic = train_labels.where("toxic = 1").select("doc_id").distinct()
-    chosen_p = ids.join(toxic, "doc_id", "left_semi").orderBy("h", "doc_id").limit(max_positive).select("doc_id").distinct().withColumn("kind", F.lit(1))
-    chosen_u = ids.orderBy("h", "doc_id").limit(max_unlabelled).select("doc_id").distinct().withColumn("kind", F.lit(0))
+    chosen_p = ids.join(toxic, "doc_id", "left_semi").orderBy("h", "doc_id").limit(max_positive).select("doc_id").withColumn("kind", F.lit(1))
+    chosen_u = ids.orderBy("h", "doc_id").limit(max_unlabelled).select("doc_id").withColumn("kind", F.lit(0))
     # At most max_positive + max_unlabelled ids: a proven size for the broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id").select("kind", F.xxhash64("doc_id").alias("h"), "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id")
+    # One row of each id, so that the bounds hold for rows, too; repeats go in the partial aggregate.
+    sample = found.groupBy("kind", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("kind", F.xxhash64("doc_id").alias("h"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser(bits)
@@ -211,43 +231,28 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     kinds, feats = got["kind"].to_pylist(), got["f"]
     lists = [np.asarray(x.values, dtype=np.int32) for x in feats]
     pos, unl = ([f for f, k in zip(lists, kinds, strict=True) if k == kind] for kind in (1, 0))
-    model = fit(pos, unl, share, bits)
-    if pos and unl:
-        model.bias -= prior_cut(margin_bins(docs, model), float(np.clip(share, *PRIOR_RANGE)))
-    return model
+    return fit(pos, unl, share, bits)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id) plus ``score`` (0 to 1) and ``predicted`` (score >= 0.5) of every whole text."""
-    keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
-    wanted = docs.select(*keep, F.col("text").alias("__text"))
-    last = wanted.columns[-1]
+    """``keep`` columns (default doc_id) plus ``score`` (0 to 1) and ``predicted`` (score >= 0.5) of every whole text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, width = shared.value
-        own, make = Model(weights, bias, width), Featuriser(width)
-        for batch in batches:
-            scores = [own.score(make(t.as_py())) for t in batch.column(last)]
-            columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*keep, "score", "predicted"])
-
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
-    return wanted.mapInArrow(run, schema)
+    The decision (0.5) is placed by the margins of all of ``docs``.
+    """
+    keep = keep or ["doc_id"]
+    scored, name = with_margins(docs, model, keep)
+    z = F.greatest(F.least(F.col(name) - decision(scored, name, model), F.lit(40.0)), F.lit(-40.0))
+    out = scored.withColumn(name, 1.0 / (1.0 + F.exp(-z)))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that the model does not predict to be toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, width = shared.value
-        own, make = Model(weights, bias, width), Featuriser(width)
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(make(t.as_py())) < 0.5 for t in batch.column(at)], pa.bool_()))
+    """The rows of ``docs``, all columns as they are, that ``score`` does not predict to be toxic.
 
-    return docs.mapInArrow(run, docs.schema)
+    Rows are written once with their margins, which is cheaper than to read all texts' words twice.
+    """
+    scored, name = with_margins(docs, model, docs.columns)
+    return scored.where(F.col(name) < decision(scored, name, model)).drop(name)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -45,7 +47,7 @@ def test_held_out_labels_are_not_used(spark, docs_of):
     make = lambda x: T.train(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int"))
     a, b = make(labels), make(flipped)
     assert np.array_equal(a.weights, b.weights)
-    assert a.bias == b.bias
+    assert (a.bias, a.prior) == (b.bias, b.prior)
 
 
 def test_risk_turns_when_negative():
@@ -67,8 +69,62 @@ def test_odd_rows(spark, odd, none):
         assert len(got) == docs.count()
         assert all(0 <= r["score"] <= 1 for r in got)
     assert T.train(odd, labels.limit(0)).bias == -40.0
-    clash = odd.withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y"))
-    assert T.without_toxic(clash, T.train(odd, labels.limit(0))).collect() == clash.collect()
+    clash = odd.withColumns({"score": F.lit("x"), "predicted": F.lit("y"), "__margin": F.lit(1), "h": F.lit(2), "kind": F.lit(3)})
+    kept = T.without_toxic(clash, T.train(clash, labels.limit(0)))
+    assert kept.columns == clash.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, clash.collect()))
+
+
+def sigmoid(z):
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_scores_against_brute_force(spark, docs_of, odd):
+    rows, labels = corpus(600)
+    docs = docs_of(rows).unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000))
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plain = [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+    def margin(text):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        found = {zlib.crc32(x.encode()) % (1 << T.BITS) for w in words for x in ("w" + w, "4" + w[:4], "5" + w[:5])}
+        return model.bias + sum(float(model.weights[f]) for f in found)
+
+    # The decision lies midway between the two margins whose rank parts the prior's share best.
+    z = {i: margin(t) for i, t in plain if i is not None}
+    every = sorted((margin(t) for _, t in plain), reverse=True)
+    bins = {}
+    for x in every:
+        bins.setdefault(math.floor(max(-40.0, min(40.0, x)) * T.BINS_A_UNIT), []).append(x)
+    ordered = [bins[b] for b in sorted(bins, reverse=True)]
+    above = [sum(map(len, ordered[:k])) for k in range(len(ordered) + 1)]
+    at = min(range(len(above)), key=lambda k: (abs(above[k] - model.prior * len(every)), k))
+    assert 0 < at < len(ordered)
+    cut = (min(ordered[at - 1]) + max(ordered[at])) / 2
+    for r in T.score(docs, model).collect():
+        if r["doc_id"] is not None:
+            assert abs(r["score"] - sigmoid(z[r["doc_id"]] - cut)) < 1e-6
+            assert r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_sample_rows_are_bounded_when_ids_repeat(spark, docs_of, monkeypatch):
+    rows, labels = corpus(400)
+    rows = rows + [(i, t + f" again {k}") for k in range(5) for i, t in rows[:200]]
+    sizes = []
+    fit = T.fit
+    monkeypatch.setattr(T, "fit", lambda pos, unl, *how: sizes.append((len(pos), len(unl))) or fit(pos, unl, *how))
+    T.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_positive=20, max_unlabelled=50)
+    assert sizes == [(20, 50)]
+
+
+def test_a_few_examples_make_a_model(spark, docs_of):
+    rows, labels = corpus(160)
+    labels = [x for x in labels if x[0] < 100]
+    model = T.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in T.score(docs_of(rows), model).collect()}
+    assert np.count_nonzero(model.weights)
+    assert sum(got[i] for i in range(0, 160, 8)) >= 14
+    assert sum(p for i, p in got.items() if i % 8) <= 4
 
 
 def test_decision_follows_all_texts_not_the_sample(spark, docs_of):
