@@ -2,7 +2,8 @@
 
 Payloads are stored as 8-bit greyscale PNG members of tar files, named by the SHA-256 of the payload.
 Each task writes its own shards and stores a payload once; where several tasks met the same payload, all
-rows are pointed to the first copy (smallest shard name), so equal payloads share one address.
+rows are pointed to the first copy (smallest shard name), so equal payloads share one address; the other
+tasks' copies stay in their shards without one. A task remembers the digests of its own input alone.
 Header-only range reads (``HEAD_BYTES`` at a member's offset) fill width, height and bit depth.
 
 Defined results: a null text is an empty payload, padded like any other; repeated rows share an address;
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import encode, materialise, shared_dir, shuffle_partitions, table
+from .common import encode, materialise, shards_of, shared_dir, table
 from .files import Ranges, Replaced
 
 #: Payload unit (also the picture's width), padding byte, bytes after which a new shard begins.
@@ -126,11 +127,10 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
     return materialise(wanted.mapInArrow(run, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"))
 
 
-def addresses(catalog: DataFrame) -> DataFrame:
+def addresses(catalog: DataFrame, partitions: int) -> DataFrame:
     """One row for each distinct payload: digest, shard, offset, length of its first copy, near to far."""
     one = catalog.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    n = shuffle_partitions(catalog.sparkSession)
-    return one.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset")
+    return one.repartitionByRange(partitions, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def fill_metadata(rows: DataFrame, folder: str) -> DataFrame:
@@ -176,7 +176,8 @@ def read_features(rows: DataFrame, folder: str) -> DataFrame:
 def op5_media_columns(spark, sf_dir: str) -> DataFrame:
     """Every document: doc_id, sizes and sums of its payload and stored form, read back, and its feature."""
     folder = shared_dir(spark)
-    catalog = store(table(spark, sf_dir, "documents"), folder)
-    read = read_features(fill_metadata(addresses(catalog), folder), folder)
+    docs = table(spark, sf_dir, "documents")
+    catalog = store(docs, folder)
+    read = read_features(fill_metadata(addresses(catalog, shards_of(docs)), folder), folder)
     out = catalog.select("doc_id", "n_bytes", "digest").join(read, "digest")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, table
+from .common import encode, materialise, table
+from .idfilter import id_filter
 
 #: Hash buckets (as bits), bytes in an n-gram, count added to both sides, least score kept (languages that
 #: trusted texts hold in another share than the corpus shift a whole text by up to 0.2; junk lies below -0.5).
@@ -83,29 +84,78 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, _SEPARATORS)), sum(map(text.count, _SYMBOLS)), dup, count_repeat_words(words)
 
 
+class _Counter:
+    """Counts of hashed n-grams, summed in batches."""
+
+    def __init__(self, bits: int):
+        self.bits, self.total, self.parts, self.held = bits, np.zeros(1 << bits, np.int64), [], 0
+
+    def add(self, text: str | None) -> None:
+        x = gram_buckets(encode(text), self.bits)
+        self.parts.append(x)
+        self.held += len(x)
+        if self.held > 4_000_000:
+            self._sum()
+
+    def _sum(self) -> None:
+        if self.parts:
+            self.total += np.bincount(np.concatenate(self.parts), minlength=1 << self.bits)
+        self.parts, self.held = [], 0
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and counts of those that are not 0."""
+        self._sum()
+        at = np.flatnonzero(self.total)
+        return at.astype(np.int32), self.total[at]
+
+
+def _on_driver(counts: DataFrame, bits: int) -> np.ndarray:
+    got = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
 def gram_counts(texts: DataFrame, bits: int = BITS) -> np.ndarray:
     """Counts of hashed n-grams over all rows of a one-column table; each task sends its own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        counter = _Counter(bits)
         for batch in batches:
-            parts, held = [], 0
             for t in batch.column(0):
-                x = gram_buckets(encode(t.as_py()), bits)
-                parts.append(x)
-                held += len(x)
-                if held > 4_000_000:
-                    total += np.bincount(np.concatenate(parts), minlength=1 << bits)
-                    parts, held = [], 0
-            if parts:
-                total += np.bincount(np.concatenate(parts), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
-
-    got = texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+                counter.add(t.as_py())
+        at, n = counter.found()
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "n": pa.array(n)})
+
+    return _on_driver(texts.mapInArrow(run, "bucket int, n long"), bits)
+
+
+def counts_and_trusted(docs: DataFrame, good: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """n-gram counts of all texts, and of those whose doc_id is in ``good`` (distinct doc_id, none null).
+
+    One scan counts all texts and hands on those that a Bloom filter lets pass; an exact semi-join follows,
+    so only these texts are shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(good))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, passes = _Counter(bits), shared.value
+        kinds = [pa.int32(), pa.int64()]
+        for batch in batches:
+            for t in batch.column(1):
+                counter.add(t.as_py())
+            ids = batch.column(0)
+            given = ids.is_valid().to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(given & passes.may_have(ids.fill_null(0).to_numpy(zero_copy_only=False))))
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(some.num_rows, k) for k in kinds), *some.columns], names=["bucket", "n", "doc_id", "text"])
+        at, n = counter.found()
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string())], names=["bucket", "n", "doc_id", "text"])
+
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = materialise(light.mapInArrow(run, "bucket int, n long, doc_id long, text string"))
+    trusted = both.where("bucket is null").select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    return gram_counts(trusted, bits), _on_driver(both.where("bucket is not null").select("bucket", "n"), bits)
 
 
 def log_ratio(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -126,9 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> np.ndarray:
     Only the trusted side needs a join; the ids are the hashed side, so texts are neither sorted nor
     broadcast.
     """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    trusted = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
-    return log_ratio(gram_counts(trusted, bits), gram_counts(docs.select("text"), bits))
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return log_ratio(*counts_and_trusted(docs, good, bits))
 
 
 def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:

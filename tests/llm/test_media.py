@@ -21,7 +21,7 @@ def test_picture_round_trip(data):
 def read(docs, spark, **how):
     folder = shared_dir(spark)
     catalog = M.store(docs, folder, **how)
-    rows = M.read_features(M.fill_metadata(M.addresses(catalog), folder), folder)
+    rows = M.read_features(M.fill_metadata(M.addresses(catalog, 4), folder), folder)
     return folder, catalog, catalog.select("doc_id", "n_bytes", "digest").join(rows, "digest").collect()
 
 
