@@ -42,7 +42,7 @@ from .textbatch import Words, mix, slices
 #: Hash classes of shingles, and bounds of one verification task: sets and shingles.
 CLASSES, TASK_SETS, TASK_SHINGLES = 10, 512, 2_000_000
 #: Shingles of one block that counts frequencies; stored input for one hash range of them.
-BLOCK_SHINGLES, RANGE_INPUT_BYTES = 4_000_000, 64_000_000
+BLOCK_SHINGLES, RANGE_INPUT_BYTES = 1_000_000, 64_000_000
 #: Postings are paired in batches; columns of a dense block; the work of a dense cell by that of a pair of postings.
 _POSTINGS, _COLUMNS, _DENSE = 4_000_000, 2048, 0.04
 _TRUE = np.ones(1, bool)
@@ -71,7 +71,7 @@ def class_of(h: np.ndarray) -> np.ndarray:
 
 
 def sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every text."""
+    """(words, sorted distinct shingle hashes) of every text, in their order."""
     for lo, hi, data, offsets in slices(texts):
         words = Words(data, offsets)
         grams = words.grams(width)
@@ -79,12 +79,12 @@ def sets_of(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
             a, b = words.at[k], words.at[k + 1]
             if b - a >= width:
                 s = np.sort(grams[a : b - width + 1])
-                yield lo + k, s[np.concatenate([_TRUE, s[1:] != s[:-1]])]
+                yield int(b - a), s[np.concatenate([_TRUE, s[1:] != s[:-1]])]
             elif b > a:
                 place = np.arange(1, b - a + 1, dtype=np.uint64)
-                yield lo + k, mix(np.bitwise_xor.reduce(mix(words.hashes[a:b] + np.uint64(7) * place), keepdims=True) + np.uint64(b - a))
+                yield int(b - a), mix(np.bitwise_xor.reduce(mix(words.hashes[a:b] + np.uint64(7) * place), keepdims=True) + np.uint64(b - a))
             else:
-                yield lo + k, np.zeros(0, np.uint64)
+                yield 0, np.zeros(0, np.uint64)
 
 
 def digests_of(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -188,7 +188,7 @@ def _summed(starts, order, x, y, sizes) -> np.ndarray:
     return np.add.reduceat(np.concatenate([np.frombuffer(b, np.uint32) for b in x])[order].astype(np.int64), starts)
 
 
-_FIRST = "kind int, doc_id long, mark long, n long, d1 long, d2 long, block long, span int, tokens binary, x binary, y binary, z binary"
+_FIRST = "kind int, doc_id long, mark long, words long, n long, d1 long, d2 long, block long, span int, tokens binary, x binary, y binary, z binary"
 
 
 def _first_rows(**columns) -> pa.RecordBatch:
@@ -200,7 +200,7 @@ def _first_rows(**columns) -> pa.RecordBatch:
 
 
 def first_pass(docs: DataFrame, mark: Column, width: int, classes: list[int], ranges: int) -> DataFrame:
-    """One pass over all texts. kind 0: each row's doc_id, mark, set size and digests; kind 1: distinct tokens of
+    """One pass over all texts. kind 0: each row's doc_id, mark, words, set size and digests; kind 1: distinct tokens of
     some hash classes by block and hash range; kind 2: by block, which sets have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +221,13 @@ def first_pass(docs: DataFrame, mark: Column, width: int, classes: list[int], ra
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sets = [s for _, s in sets_of(batch.column(2), width)]
+            words, sets = [], []
+            for k, s in sets_of(batch.column(2), width):
+                words.append(k)
+                sets.append(s)
             if sets:
                 named = digests_of(sets)
-                yield _first_rows(kind=[0] * len(sets), doc_id=batch.column(0), mark=batch.column(1), n=[len(s) for s in sets], d1=named[0], d2=named[1])
+                yield _first_rows(kind=[0] * len(sets), doc_id=batch.column(0), mark=batch.column(1), words=words, n=[len(s) for s in sets], d1=named[0], d2=named[1])
             for i, (s, d1, d2) in enumerate(zip(sets, *named, strict=True) if sets else ()):
                 if ids[i] is None or not len(s) or (d1, d2) in known:
                     continue
@@ -508,12 +511,12 @@ def verified_links(sets: DataFrame, prefix: DataFrame, groups: DataFrame, percen
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80, mark: Column | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row, and ``mark``: any number that a caller gives its rows."""
+    """doc_id, n_words, n_shingles, component_id, n_links of every row, and ``mark``: any number that a caller gives its rows."""
     orders = classes_of(percent)
     once = ids_differ(docs)
     ranges = shards_of(docs, RANGE_INPUT_BYTES)
     first = materialise(first_pass(docs, F.lit(None) if mark is None else mark, width, orders["A"], ranges))
-    members = first.where("kind = 0").select("doc_id", "mark", "n", "d1", "d2")
+    members = first.where("kind = 0").select("doc_id", "mark", "words", "n", "d1", "d2")
     nodes = materialise(members.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     # Written once, so the numbers stay as they are.
     kept = materialise(nodes.join(survivors(first, percent), ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()))
@@ -529,7 +532,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, mark: Column | None
     labels = materialise(nodes.join(of_kept, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = members.join(labels, ["d1", "d2"], "left")
     none = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out.select("doc_id", "mark", F.col("words").alias("n_words"), F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

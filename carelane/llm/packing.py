@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 from .jaccard_join import join
-from .source_mixing import word_count
 
 #: Tokens (words) of a sequence, and documents of a shard.
 CAPACITY, SHARD_DOCS = 1024, 4096
@@ -120,8 +119,8 @@ def pack_documents(docs: DataFrame, **how) -> DataFrame:
     ids = F.coalesce(F.col("doc_id").cast("long"), text.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     classes = join(docs.select(ids.alias("doc_id"), "text"), WIDTH, PERCENT, text)
     # Tables of their own: a frequent text can be split in the join, and the rows' places stay as they are.
-    named = materialise(classes.groupBy(F.col("mark").alias("__text")).agg(F.min("component_id").alias("cluster")))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("length"), F.when(F.col("text").isNotNull(), text).alias("__text"))
+    named = materialise(classes.groupBy(F.col("mark").alias("__text")).agg(F.min("component_id").alias("cluster"), F.max("n_words").alias("length")))
+    rows = docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), text).alias("__text"))
     light = materialise(rows.join(named, "__text", "left").select("doc_id", "source", "length", "cluster"))
     return pack(light, F.col("length"), F.col("source"), F.col("cluster"), ["doc_id"], **how)
 
