@@ -57,7 +57,15 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.__dict__["stored_at"] = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` made, once nothing will read it again."""
+    if path := stored.__dict__.get("stored_at"):
+        _remove(stored.sparkSession, path)
 
 
 #: Bytes of stored input for one task of a step that sorts whole rows.

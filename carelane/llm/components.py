@@ -1,7 +1,7 @@
 """Connected components of a graph given as edges, by alternating large and small stars.
 
 Each round is a few shuffles over edges, a node's neighbours are only ever aggregated to their minimum
-(so a hub is no hot group), and rounds are written to the shared folder. Rounds needed grow with the
+(so a hub is no hot group), and rounds are written to the shared folder, each in place of the one before. Rounds needed grow with the
 logarithm of the longest path.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -36,7 +36,9 @@ def _star(edges: DataFrame, small: bool) -> tuple[DataFrame, tuple]:
         made = joined.select("tag", F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("tag", "a", F.col("m").alias("b")))
     else:
         made = joined.where("b > a").select("tag", F.col("b").alias("a"), F.col("m").alias("b"))
-    return _written(made.where("a > b").distinct())
+    out = _written(made.where("a > b").distinct())
+    release(least)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -49,7 +51,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             return now.select("tag", F.col("a").alias("node"), F.col("b").alias("root"))
-        now, after = _star(_star(now, small=False)[0], small=True)
+        large, _ = _star(now, small=False)
+        release(now)
+        now, after = _star(large, small=True)
+        release(large)
         if after == before:
             return now.select("tag", F.col("a").alias("node"), F.col("b").alias("root"))
         before = after

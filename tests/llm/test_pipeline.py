@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from carelane.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import DOCS
@@ -57,6 +59,36 @@ def test_stages_take_effect(spark, tmp_path):
     assert run.count() == len(seen["best_fit_packing"])
 
 
+def test_odd_rows_pass_all_stages(spark, odd, tmp_path):
+    plain = odd.where("doc_id is null or doc_id <> 10")
+    long = spark.createDataFrame([(20, " ".join(f"n{k}" for k in range(40_000)), "en", None, 1)], DOCS)
+    clash = {c: F.lit(7) for c in ("mix", "dedup", "row", "mark", "node", "__margin", "__row", "__rank", "h", "block", "a.b")}
+    docs = plain.unionByName(long).withColumn("row_number", F.lit(1)).withColumns(clash)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.where("mix = 7 and dedup = 7 and `a.b` = 7").count() == now.count(), name
+    ids = [r["doc_id"] for r in now.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 9, 11, 20]
+    assert ids.count(None) == 2
+    packed = stage_last = corpus_pipeline.run(spark, str(tmp_path))
+    pieces = packed.where("doc_id = 20").collect()
+    assert sum(r["length"] for r in pieces) == 40_000 and len(pieces) == 40
+    assert {r["doc_id"] for r in stage_last.collect()} == set(ids)
+
+
+def test_run_keeps_only_its_result(spark, tmp_path):
+    write(spark, tmp_path, [(k, f"some text {k} of its own", "s") for k in range(20)], [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 20 and out.stored_at
+    assert out.select("doc_id").distinct().count() == 20
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
