@@ -92,7 +92,10 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, keep:
     light = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(length.cast("long"), F.lit(0).cast("long")).alias("length"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     # The row's place in the scan spreads equal rows, too.
     placed = light.withColumn("key", F.xxhash64("row", F.monotonically_increasing_id())).withColumn("shard", F.pmod("key", F.lit(shards)).cast("long"))
-    row_type = light.schema["row"].dataType.simpleString()
+    # As types, not as text: the columns of others may have any name.
+    shape = light.select("row").schema
+    for name, kind in (("source", "string"), ("cluster", "long"), ("piece", "integer"), ("start", "long"), ("length", "long"), ("bin", "long"), ("place", "long")):
+        shape = shape.add(name, kind)
 
     def run(part: pa.Table) -> pa.Table:
         part = part.combine_chunks().sort_by([("length", "descending"), ("key", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
@@ -106,7 +109,7 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, keep:
             "length": pa.array(size, pa.int64()), "bin": pa.array([(shard << 32) + k for k in b], pa.int64()), "place": pa.array(offset, pa.int64()),
         })
 
-    made = placed.groupBy("shard").applyInArrow(run, f"row {row_type}, source string, cluster long, piece int, start long, length long, bin long, place long")
+    made = placed.groupBy("shard").applyInArrow(run, shape)
     return made.select(*[F.col("row")[c].alias(c) for c in keep], "source", "cluster", "piece", "start", "length", "bin", "place")
 
 

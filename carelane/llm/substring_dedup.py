@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ids_differ, materialise, shards_of, table
 from .textbatch import Words, mix, slices
@@ -194,13 +195,13 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
                     texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(reports, _REPORT)], names=["__rest", "__text", "__dedup"])
 
-    rest = rows.select("__rest").schema["__rest"].dataType.simpleString()
-    made = joined.mapInArrow(run, f"__rest {rest}, __text string, __dedup {_REPORT_SQL}")
+    # As types, not as text: the columns of others may have any name.
+    made = joined.mapInArrow(run, rows.select("__rest").schema.add("__text", "string").add("__dedup", StructType.fromDDL(_REPORT_DDL)))
     return made.select(*[F.col("__text").alias("text") if c == "text" else F.col("__rest")[c].alias(c) for c in names], F.col("__dedup").alias("dedup"))
 
 
 _REPORT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-_REPORT_SQL = "struct<n_words:bigint,n_removed:bigint,spans:array<struct<start:bigint,end:bigint>>>"
+_REPORT_DDL = "n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>"
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

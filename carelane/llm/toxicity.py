@@ -163,18 +163,17 @@ def with_margins(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFr
     name = "__margin"
     while name in keep:
         name += "_"
-    wanted = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(f"{name}_of"))
-    last = len(keep)
+    wanted = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, width = shared.value
         own, make = Model(weights, bias, width), Featuriser(width)
         for batch in batches:
-            z = pa.array([own.margin(make(t.as_py())) for t in batch.column(last)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], z], names=[*keep, name])
+            z = pa.array([own.margin(make(t.as_py())) for t in batch.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z], names=["kept", "margin"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, "double")
-    return materialise(wanted.mapInArrow(run, schema)), name
+    made = wanted.mapInArrow(run, wanted.select("kept").schema.add("margin", "double"))
+    return materialise(made.select(*[F.col("kept")[c].alias(c) for c in keep], F.col("margin").alias(name))), name
 
 
 def margin_bins(scored: DataFrame, name: str) -> list[tuple[int, float, float]]:

@@ -41,7 +41,7 @@ def test_op1(spark, texts):
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
-    assert len({r["score"] for r in got}) > 10
+    assert len({r["predicted"] for r in got}) == 2
 
 
 def test_op2(spark):
