@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
@@ -27,6 +28,13 @@ def odd(docs_of):
     return docs_of(ODD)
 
 
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The odd rows with further columns named like those that operators make."""
+    names = ["block", "ids", "sizes", "at", "times", "pre", "occurrence", "shard", "first", "n", "o0", "bucket", "digest", "offset", "length", "score", "kept", "n_words", "base_failed", "mark", "words", "node", "kind", "a.b"]
+    return odd.withColumns({c: F.lit("x") for c in names})
+
+
 @pytest.fixture(scope="session")
 def none(docs_of):
     return docs_of([])

