@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from carelane.llm import components as C
 from carelane.llm.components import components
 
 
@@ -28,8 +30,21 @@ def case(kind):
     return []
 
 
+@pytest.mark.parametrize("run", [1, 7, 2_000_000])
 @pytest.mark.parametrize("kind", ["path", "hub", "two graphs", "none"])
-def test_components(spark, kind):
+def test_components(spark, monkeypatch, kind, run):
+    monkeypatch.setattr(C, "RUN_EDGES", run)
     edges = case(kind)
     got = components(spark.createDataFrame(edges, "tag int, a long, b long")).collect()
     assert sorted(tuple(r) for r in got) == brute(edges)
+
+
+def test_stars_of_random_edges():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 50, 400):
+        a, b = rng.integers(0, n + 1, n), rng.integers(0, n + 1, n)
+        far, near = C._stars(a, b)
+        assert sorted(zip([0] * len(far), far.tolist(), near.tolist(), strict=True)) == brute([(0, int(x), int(y)) for x, y in zip(a, b, strict=True)])
+    path = rng.permutation(5000)
+    far, near = C._stars(path[1:], path[:-1])
+    assert len(far) == 4999 and set(near.tolist()) == {0}
