@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_differ, materialise, shards_of, shuffle_partitions, table
+from .common import ids_differ, materialise, release, shards_of, shuffle_partitions, table
 from .components import components
 from .textbatch import Words, mix, slices
 
@@ -295,7 +295,7 @@ def survivor_sets(docs: DataFrame, kept: DataFrame, width: int, once: bool) -> D
 
 
 def prefixes(sets: DataFrame, orders: list[list[int]], percent: int, ranges: int) -> DataFrame:
-    """tag, node, tokens (array): each set's prefix shingles under each order, without those that no other set has.
+    """tag, node, tokens (array), as a table: each set's prefix shingles under each order, without those that no other set has.
 
     Order: shingles of the order's classes by how many sets have them, then by hash; then all others by
     hash (of which only a set with too few shingles in the classes takes some).
@@ -362,7 +362,9 @@ def prefixes(sets: DataFrame, orders: list[list[int]], percent: int, ranges: int
     listed = materialise(sets.select("node", "shingles").mapInArrow(blocks, _FIRST).select("kind", "block", "span", "tokens", "x", "y", "z"))
     replies = in_ranges(listed.where("kind = 1").select("block", "span", "tokens", "x", "y"), _summed)
     state = listed.where("kind = 2").select("block", "tokens", "x", "y", "z")
-    return state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(fold, "tag int, node long, tokens array<long>")
+    out = materialise(state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(fold, "tag int, node long, tokens array<long>"))
+    release(listed)
+    return out
 
 
 # Groups of candidates
@@ -372,7 +374,9 @@ def sharing(pairs: DataFrame) -> DataFrame:
     """(tag, node, root) of the graphs in which nodes that share a token are joined; pairs: tag, token, node."""
     # A table of its own: a join of two plain shuffles can split a frequent token.
     least = materialise(pairs.groupBy("tag", "token").agg(F.min("node").alias("b")))
-    return materialise(components(pairs.join(least, ["tag", "token"]).select("tag", F.col("node").alias("a"), "b")))
+    roots = materialise(components(pairs.join(least, ["tag", "token"]).select("tag", F.col("node").alias("a"), "b")))
+    release(least)
+    return roots
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -516,13 +520,16 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, mark: Column | None
     once = ids_differ(docs)
     ranges = shards_of(docs, RANGE_INPUT_BYTES)
     first = materialise(first_pass(docs, F.lit(None) if mark is None else mark, width, orders["A"], ranges))
-    members = first.where("kind = 0").select("doc_id", "mark", "words", "n", "d1", "d2")
+    members = materialise(first.where("kind = 0").select("doc_id", "mark", "words", "n", "d1", "d2"))
     nodes = materialise(members.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     # Written once, so the numbers stay as they are.
     kept = materialise(nodes.join(survivors(first, percent), ["d1", "d2"]).withColumn("node", F.monotonically_increasing_id()))
+    release(first)
     sets = materialise(survivor_sets(docs, kept, width, once))
-    prefix = materialise(prefixes(sets, [orders["B"], orders["C"]], percent, ranges))
+    prefix = prefixes(sets, [orders["B"], orders["C"]], percent, ranges)
     found = materialise(verified_links(sets, prefix, candidate_groups(prefix), percent))
+    release(sets)
+    release(prefix)
     classes = components(found.select(F.lit(0).alias("tag"), F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = materialise(kept.select("node", "doc_id", "d1", "d2").join(classes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(linked, "node", "left"))
@@ -530,6 +537,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, mark: Column | None
     least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     of_kept = named.join(least, "root").select("d1", "d2", "component_id", "links")
     labels = materialise(nodes.join(of_kept, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    for t in (nodes, kept, found, named, least):
+        release(t)
     out = members.join(labels, ["d1", "d2"], "left")
     none = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", "mark", F.col("words").alias("n_words"), F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(none, 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))

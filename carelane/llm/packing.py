@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, release, table
 from .jaccard_join import join
 
 #: Tokens (words) of a sequence, and documents of a shard.
@@ -125,6 +125,7 @@ def pack_documents(docs: DataFrame, **how) -> DataFrame:
     named = materialise(classes.groupBy(F.col("mark").alias("__text")).agg(F.min("component_id").alias("cluster"), F.max("n_words").alias("length")))
     rows = docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), text).alias("__text"))
     light = materialise(rows.join(named, "__text", "left").select("doc_id", "source", "length", "cluster"))
+    release(named)
     return pack(light, F.col("length"), F.col("source"), F.col("cluster"), ["doc_id"], **how)
 
 

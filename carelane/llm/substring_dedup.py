@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ids_differ, materialise, shards_of, table
+from .common import ids_differ, materialise, release, shards_of, table
 from .textbatch import Words, mix, slices
 
 #: Words in a passage window, windows of which one is selected, least words of a line or paragraph unit (1: all).
@@ -125,11 +125,14 @@ def unit_table(rows: DataFrame, **how) -> DataFrame:
 
 
 def later_units(rows: DataFrame, **how) -> DataFrame:
-    """rank, digests (array): the units of each ranked row that an earlier one has; at most its own units."""
+    """rank, digests (array), as a table: the units of each ranked row that an earlier one has; at most its own units."""
     found = materialise(unit_table(rows, **how))
     # A table of its own: a join of two plain shuffles can split the documents of a frequent digest.
     firsts = materialise(found.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first"))
-    return found.join(firsts, "digest").where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_list("digest").alias("digests"))
+    later = materialise(found.join(firsts, "digest").where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_list("digest").alias("digests")))
+    release(found)
+    release(firsts)
+    return later
 
 
 def cut(words: Words, lo: int, hi: int, digest: np.ndarray, first: np.ndarray, last: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
