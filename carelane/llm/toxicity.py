@@ -163,13 +163,16 @@ def with_margins(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFr
     name = "__margin"
     while name in keep:
         name += "_"
-    wanted = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").alias("of"))
+    # A text that is kept anyway is not sent twice.
+    at = keep.index("text") if "text" in keep else None
+    wanted = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), *([] if at is not None else [F.col("text").alias("of")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, width = shared.value
         own, make = Model(weights, bias, width), Featuriser(width)
         for batch in batches:
-            z = pa.array([own.margin(make(t.as_py())) for t in batch.column(1)], pa.float64())
+            texts = batch.column(1) if at is None else batch.column(0).field(at)
+            z = pa.array([own.margin(make(t.as_py())) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), z], names=["kept", "margin"])
 
     made = wanted.mapInArrow(run, wanted.select("kept").schema.add("margin", "double"))
