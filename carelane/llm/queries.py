@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .centroid_clustering import SQL as _CLUSTER_SQL
+from .centroid_clustering import op11_centroid_clustering
+from .conversation_repair import op13_conversation_repair
 from .jaccard_join import op6_ngram_jaccard_join
+from .license_scan import SQL as _LICENSE_SQL
+from .license_scan import op12_license_scan
 from .media_columns import op5_media_columns
 from .packing import op4_best_fit_packing
 from .quality_rules import op8_quality_rules
@@ -24,6 +29,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_license_scan": op12_license_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Words, shingle sets, all pairs that share a shingle, their links, and the reachable documents of each.
@@ -38,4 +46,4 @@ select s.doc_id, len(sh) as n_shingles, (select min(root) from r where r.doc_id
 """
 
 #: The other operators train classifiers, tokenize, hash or pack; SQL cannot state those results.
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD, "op11_centroid_clustering": _CLUSTER_SQL, "op12_license_scan": _LICENSE_SQL}

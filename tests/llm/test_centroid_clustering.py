@@ -1,0 +1,100 @@
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from carelane.llm import centroid_clustering as C
+
+SHAPE = "vec_id long, embedding array<float>"
+
+
+def brute(rows, clusters, rounds, dims, scale):
+    """vec_id, cluster, distance by all distances, in Python integers."""
+    kept = [(i, [max(-C.MOST, min(C.MOST, math.floor(scale * x))) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    named = sorted((hashlib.sha256(f"{C.SEED}:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
+    centres = [list(v) for _, v in named[:clusters]]
+    if not centres:
+        return [], []
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centres))
+    for _ in range(rounds):
+        members = [[] for _ in centres]
+        for _, v in kept:
+            members[near(v)[1]].append(v)
+        centres = [[sum(x) // len(own) for x in zip(*own, strict=True)] if own else c for own, c in zip(members, centres, strict=True)]
+    return [(i, near(v)[1], near(v)[0]) for i, v in kept], centres
+
+
+def check(df, rows, clusters, rounds, dims, scale):
+    placed, centres = C.cluster(df, clusters, rounds, dims, scale)
+    want, want_centres = brute(rows, clusters, rounds, dims, scale)
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in placed.collect()), key=key) == sorted(want, key=key)
+    assert centres.tolist() == want_centres
+    out = C.with_inertia(placed, centres).collect()
+    for r in out:
+        assert r["cluster_inertia"] == sum(d for _, k, d in want if k == r["cluster"])
+        assert r["inertia"] == sum(d for _, _, d in want)
+        assert r["centroid_sha256"] == hashlib.sha256(",".join(map(str, want_centres[r["cluster"]])).encode()).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n", "clusters", "dims", "scale"), [(1, 400, 12, 5, 8), (2, 300, 40, 3, 2), (3, 150, 7, 64, 256), (4, 500, 9, 2, 1)])
+def test_against_all_distances(spark, monkeypatch, seed, n, clusters, dims, scale):
+    """Small whole components make many ties."""
+    monkeypatch.setattr(C, "BLOCK", 37)
+    rng = random.Random(seed)
+    rows = [(i, [float(np.float32(rng.gauss(rng.randrange(4), 1))) for _ in range(dims)]) for i in range(n)]
+    check(spark.createDataFrame(rows, SHAPE).repartition(6), rows, clusters, 5, dims, scale)
+
+
+def test_odd_vectors(spark):
+    rng = random.Random(5)
+    good = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]
+    rows = [(i, good()) for i in range(40)]
+    rows += [(100, None), (101, []), (102, [1.0] * 3), (103, [1.0] * 5), (104, [1.0, None, 2.0, 3.0]), (105, [1.0, math.nan, 2.0, 3.0]), (106, [math.inf] * 4), (None, good()), (None, good()), (7, good()), (7, rows[7][1]), (7, rows[7][1])]
+    rows += [(200 + k, [1.0, 2.0, 3.0, 1.0]) for k in range(300)] + [(600, [3e38] * 4), (601, [-3e38, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, SHAPE).repartition(4).withColumns({c: F.lit("x") for c in ("x", "own", "hash", "label", "n", "a.b")})
+    out = check(df, rows, 12, 5, 4, 256)
+    assert len(out) == len(rows) - 7
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [5.0, 5.0])]
+    check(spark.createDataFrame(rows, SHAPE), rows, 40, 5, 2, 256)
+    for none in ([], [(None, [1.0, 2.0])], [(1, [1.0])]):
+        placed, centres = C.cluster(spark.createDataFrame(none, SHAPE), 40, 5, 2, 256)
+        assert C.with_inertia(placed, centres).collect() == [] and len(centres) == 0
+
+
+def test_bounds_are_bounds_and_save_distances():
+    rng = np.random.default_rng(6)
+    middles = rng.integers(-300, 300, (12, 16))
+    x = (middles[rng.integers(0, 12, 4000)] + rng.integers(-40, 40, (4000, 16))).astype(np.int32)
+    own, upper, lower = np.zeros(4000, np.int32), np.full(4000, np.inf, np.float32), np.zeros((4000, 12), np.float32)
+    before, now, made = None, x[:12].astype(np.int64), []
+    for _ in range(8):
+        own, upper, lower, n = C.assign(x, own, upper, lower, C.Centroids(now, before))
+        exact = np.stack([C.squared_distances(x, np.broadcast_to(c, x.shape)) for c in now], axis=1)
+        assert (own == exact.argmin(axis=1)).all()
+        assert (upper.astype(np.float64) ** 2 >= exact[np.arange(4000), own]).all()
+        assert (lower.astype(np.float64) ** 2 <= exact).all()
+        made.append(n)
+        before, now = now, np.stack([x[own == k].sum(axis=0) // max(1, (own == k).sum()) if (own == k).any() else now[k] for k in range(12)]).astype(np.int64)
+    assert made[-1] < 0.1 * 4000 * 12 and max(made) < 4000 * 12
+
+
+def test_rounding_is_outward():
+    x = np.array([0, 1, 2, 3, 2**24 + 1, 2**53 + 1, 2**62 + 1, 2**61 - 1], np.int64)
+    for v, lo, hi in zip(x.tolist(), C.down(C.root_down(x)).tolist(), C.up(C.root_up(x)).tolist(), strict=True):
+        from fractions import Fraction
+
+        assert Fraction(lo) ** 2 <= v <= Fraction(hi) ** 2
+
+
+def test_types_of_ids(spark):
+    rows = [("a", [1.0, 2.0]), ("b", [3.0, 1.0]), (None, [1.0, 1.0])]
+    placed, _ = C.cluster(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), 2, 5, 2, 1)
+    assert sorted(str(r["vec_id"]) for r in placed.collect()) == ["None", "a", "b"]
