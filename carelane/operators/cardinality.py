@@ -26,6 +26,25 @@ def maybe_single(rows: DataFrame) -> Row | None:
     return got[0] if got else None
 
 
+def _guarded(rows: DataFrame, least: int) -> DataFrame:
+    """At most two rows are looked at; the check is part of the plan, so it fails when the plan runs."""
+    one = rows.limit(2).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("r"))
+    kind = one.schema["r"].dataType
+    wanted, found = ("one row", "at most one row")[least == 0], F.when(F.size("r") == 0, "none").otherwise("more")
+    failed = F.raise_error(F.concat(F.lit(f"expected {wanted}, found "), found)).cast(kind)
+    return one.select(F.inline(F.when(F.size("r").between(least, 1), F.col("r")).otherwise(failed)))
+
+
+def exactly_one_row(rows: DataFrame) -> DataFrame:
+    """The only row, as a table that fails when it runs and there is none or more; nothing runs before."""
+    return _guarded(rows, 1)
+
+
+def at_most_one_row(rows: DataFrame) -> DataFrame:
+    """The only row or none, as a table that fails when it runs and there are more."""
+    return _guarded(rows, 0)
+
+
 def head(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """First k rows by an order."""
     return rows.orderBy(*order).limit(k)

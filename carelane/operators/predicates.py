@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from carelane.functions.text import contains_folded, trimmed
+from carelane.functions.times import within_days
 from carelane.functions.values import or_default, parse_number
 
 
@@ -53,11 +54,10 @@ def online(key: Column, seed: int | None = None) -> Column:
     return F.rand(seed) > 0.5 if seed is not None else F.pmod(key, F.lit(2)) == 1
 
 
-def on_day(ts: Column, day: str) -> Column:
-    """A null-safe same-day test that keeps the stored column bare, so that it can be pushed down."""
+def on_day(ts: Column, day: str, zone: str = "UTC", kind: str = "timestamp_ntz") -> Column:
+    """A null-safe test of the day in a zone (UTC: the day that the stored text begins with); ``kind`` is the column's type."""
     start = F.lit(day).cast("date")
-    kind = "timestamp_ntz"
-    return ts.isNotNull() & (ts >= start.cast(kind)) & (ts < F.date_add(start, 1).cast(kind))
+    return within_days(ts, start, F.date_add(start, 1), zone, kind)
 
 
 def overdue(status: Column, ts: Column, now: Column, confirmed: str = "confirmed") -> Column:

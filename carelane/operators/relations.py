@@ -13,11 +13,15 @@ def embed_one(rows: DataFrame, other: DataFrame, key: str, other_key: str, name:
     return rows.join(side, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
-def embed_many(rows: DataFrame, other: DataFrame, key: str, other_key: str, name: str, columns: list[str]) -> DataFrame:
+def embed_many(rows: DataFrame, other: DataFrame, key: str, other_key: str, name: str, columns: list[str], k: int | None = None) -> DataFrame:
     """Left join to all rows of ``other`` as an array of structs, empty where there are none.
 
-    The many side is grouped before the join; its elements are sorted.
+    The many side is grouped before the join; its elements are sorted. With ``k`` only the first k of a key are
+    embedded: they are picked before any are gathered, in each task first, so no key's rows are held.
     """
+    if k is not None:
+        place = F.row_number().over(W.partitionBy(other_key).orderBy(*[F.asc(c) for c in columns]))
+        other = other.where(F.col(other_key).isNotNull()).withColumn("__place", place).where(F.col("__place") <= k)
     side = other.groupBy(F.col(other_key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("__rows"))
     kind = side.schema["__rows"].dataType.simpleString()
     joined = rows.join(side, F.col(key) == F.col("__key"), "left")
@@ -52,8 +56,8 @@ def pair_key(a: Column, b: Column) -> list[Column]:
 
 
 def last_messages(messages: DataFrame) -> DataFrame:
-    """The latest message of each unordered pair: a, b, id, message, ts."""
-    keyed = messages.select(*pair_key(F.col("sender_id"), F.col("receiver_id")), "id", "message", "ts")
+    """The latest message of each unordered pair: a, b, id, message, ts; messages that lack one of the two are left out."""
+    keyed = messages.where("sender_id is not null and receiver_id is not null").select(*pair_key(F.col("sender_id"), F.col("receiver_id")), "id", "message", "ts")
     return first_by(keyed, ["a", "b"], [F.desc("ts"), F.desc("id")])
 
 
@@ -63,6 +67,18 @@ def is_member(rows: DataFrame, key: str, members: DataFrame, member_key: str, na
     return rows.join(ids, F.col(key) == F.col("__id"), "left").withColumn(name, F.col("__id").isNotNull()).drop("__id")
 
 
+def insert_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The new rows whose key no existing row has, of each key the first by all columns; none without a key.
+
+    The existing keys are first cut to those that new rows have: these are few, so a large table is not shuffled
+    for a few new rows.
+    """
+    columns = [F.col(f"`{c}`") for c in new.columns]
+    first = first_by(new, [key], [c.asc_nulls_last() for c in columns])
+    known = existing.select(key).join(first.select(key), key, "left_semi").distinct()
+    return first.join(known, key, "left_anti").select(*columns)
+
+
 def concatenated(*tables: DataFrame) -> DataFrame:
     """All rows of the tables, with ``src`` for the table's place; missing columns are null."""
     parts = [t.withColumn("src", F.lit(k)) for k, t in enumerate(tables)]

@@ -13,12 +13,15 @@ from carelane.functions import values as V
 from carelane.operators import predicates as P
 from carelane.operators import relations as R
 from carelane.operators import writes
-from carelane.operators.cardinality import head, is_empty, maybe_single, single, top
+from carelane.operators.cardinality import at_most_one_row, exactly_one_row, head, is_empty, maybe_single, single, top
+from carelane.operators.commits import CommittedTable, lookup_layout
+from carelane.operators.text_index import TextIndex
 from carelane.plans import views
 from carelane.sources import literals, tables
 from carelane.sources.person import signed_in_rows
 from carelane.sources.schema import schema_of
 from carelane.streaming import messages as S
+from carelane.streaming import sinks
 from carelane.streaming.folders import work_folder
 
 QUERIES: dict = {}
@@ -114,6 +117,14 @@ def embed_many(spark, d):
     return rows.select("detail_id", F.size("doctors").cast("long").alias("n"), V.element(F.col("doctors"), 0)["id"].alias("first_id"))
 
 
+@query("""select n_nationkey as detail_id, coalesce(string_agg(s_suppkey, ',' order by s_suppkey), '') as first_ids from nation
+ left join (select *, row_number() over (partition by s_nationkey order by s_suppkey) k from supplier) on s_nationkey = n_nationkey and k <= 3 group by n_nationkey""")
+def embed_first(spark, d):
+    """Of many rows only the first three are embedded."""
+    rows = R.embed_many(tables.details(spark, d), tables.doctors(spark, d).withColumnRenamed("detail_id", "owner"), "detail_id", "owner", "doctors", ["id"], 3)
+    return rows.select("detail_id", F.array_join(F.transform("doctors", lambda x: x["id"].cast("string")), ",").alias("first_ids"))
+
+
 @query(f"with {_APPT} select a.l_orderkey, a.l_linenumber, a.l_partkey, c.c_name as patient_name from appt a left join customer c on a.user_id = c.c_custkey where a.doctor_id = 7")
 def embed_one(spark, d):
     mine = tables.appointments(spark, d).where(F.col("doctor_id") == 7)
@@ -148,7 +159,7 @@ def role_flag(spark, d):
 
 @query("select c_custkey as id from customer c where not exists (select 1 from supplier s where s.s_suppkey = c.c_custkey)")
 def anti_insert(spark, d):
-    return writes.insert_absent(tables.doctors(spark, d).select("id"), tables.patients(spark, d).select("id"), "id")
+    return R.insert_absent(tables.doctors(spark, d).select("id"), tables.patients(spark, d).select("id"), "id")
 
 
 # Groups and windows
@@ -334,8 +345,31 @@ def falsy_number(spark, d):
 @query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_orderdate end as at from orders")
 def parsed_time(spark, d):
     """Texts that are times, and texts that are none."""
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.concat("o_orderpriority", F.lit(" no time")))
-    return tables.star(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.parsed(text).cast("timestamp_ntz").alias("at"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("string")).otherwise(F.concat("o_orderpriority", F.lit(" no time")))
+    return tables.star(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.wall(T.parsed(text)).alias("at"))
+
+
+@query("""select o_orderkey as id, case o_orderkey % 4 when 0 then date_trunc('day', o_orderdate) + interval 9 hour when 1 then o_orderdate
+ when 2 then o_orderdate + interval 14 hour end as at from orders""")
+def parsed_in_zone(spark, d):
+    """A date alone is midnight in UTC, a reading is one of the person's zone, one with an offset has its own; shown in Tokyo."""
+    at = F.col("o_orderdate")
+    text = F.when(F.col("o_orderkey") % 4 == 0, at.cast("date").cast("string")).when(F.col("o_orderkey") % 4 == 1, at.cast("string")).when(F.col("o_orderkey") % 4 == 2, F.concat(at.cast("string"), F.lit("-05:00"))).otherwise(F.lit("soon"))
+    return tables.star(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.wall(T.parsed(text, "Asia/Tokyo"), "Asia/Tokyo").alias("at"))
+
+
+@query("""select user_id as id, count(*) filter (where cast(ts + interval 9 hour as date) = date '2024-01-12') as today,
+ count(*) filter (where year(ts + interval 9 hour) = 2024 and month(ts + interval 9 hour) = 1) as this_month,
+ min(strftime(ts + interval 9 hour, '%I:%M %p')) as least_clock from events group by user_id""")
+def zoned_counts(spark, d):
+    """Days, months and clocks of a zone, from stored readings of UTC."""
+    rows, zone = tables.star(spark, d, "events"), "Asia/Tokyo"
+    ts = F.col("ts")
+    return rows.groupBy(F.col("user_id").alias("id")).agg(
+        F.count_if(P.on_day(ts, "2024-01-12", zone)).alias("today"),
+        F.count_if(T.same_month(ts, F.lit("2024-01-05").cast("date"), zone)).alias("this_month"),
+        F.min(T.clock(T.wall(ts, zone, "timestamp_ntz"))).alias("least_clock"),
+    )
 
 
 @query("select o_orderkey as id, case o_orderstatus when 'F' then 'green' when 'P' then 'orange' else 'red' end as colour from orders")
@@ -383,6 +417,13 @@ def at_most_one(spark, d):
     return spark.createDataFrame([r for r in found if r is not None], rows.schema)
 
 
+@query("select c_custkey as id, c_name as name from customer where c_custkey in (42, 7)")
+def one_in_plan(spark, d):
+    """Exactly one and at most one as parts of a plan: nothing runs before the whole does."""
+    rows = tables.patients(spark, d).select("id", "name")
+    return exactly_one_row(rows.where("id = 42")).unionByName(at_most_one_row(rows.where("id = 7"))).unionByName(at_most_one_row(rows.where("id = -1")))
+
+
 @query("select 'customers' as list, (select count(*) from customer) = 0 as empty union all select 'nobody', (select count(*) from customer where c_custkey < 0) = 0")
 def empty_lists(spark, d):
     people = tables.patients(spark, d)
@@ -427,24 +468,74 @@ def catalog_views(spark, d):
     return spark.sql("select role, count(*) as n, min(name) as first_name from (select * from doctors union all select * from patients) group by role")
 
 
-@query(f"with {_PEOPLE} select email, count(*) as n from (select email from people union all select 'new' || x || '@example.com' from range(3) t(x)) group by email")
+@query(f"with {_PEOPLE} select email, count(*) as n, count(*) as n_ids from (select email from people union all select 'new' || x || '@example.com' from range(3) t(x)) group by email")
 def inserted_people(spark, d):
-    """Existing people and three new ones are inserted, twice: each email stays one row."""
+    """Existing people and three new ones are inserted, twice: each email stays one row, each with an id of its own."""
     folder = _declared_people(spark, d)
-    old = tables.declared(spark, folder, "users").where("role = 'doctor'").select("name", "email", "role")
+    users = writes.committed(spark, f"{folder}/new", "users")
+    users.append(tables.declared(spark, folder, "users"))
+    old = users.read().where("role = 'doctor'").select("name", "email", "role")
     new = spark.range(3).select(F.concat(F.lit("New "), "id").alias("name"), F.concat(F.lit("new"), "id", F.lit("@example.com")).alias("email"), F.lit("user").alias("role"))
     for _ in range(2):
-        writes.insert_people(spark, f"{folder}/users", old.unionByName(new).unionByName(new))
-    return tables.declared(spark, folder, "users").groupBy("email").agg(F.count("*").alias("n"))
+        writes.insert_people(users, old.unionByName(new).unionByName(new))
+    ids = users.read().groupBy("id").agg(F.count("*").alias("times"), F.max("email").alias("email"))
+    return ids.where("times = 1 and id is not null").groupBy("email").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
+
 
+def _mail(spark, d):
+    """Events as messages without an id, some of them blank."""
+    text = F.when(F.col("id") % 7 == 0, " \t\u00a0\ufeff").otherwise(F.col("message"))
+    return tables.messages(spark, d).select("id", "sender_id", "receiver_id", text.alias("message"), F.col("ts").cast("timestamp").alias("timestamp"))
 
-@query("select * from (values (1, 17, 139, 'Hello', false), (2, 139, 17, 'Hi  there', false), (4, 17, 139, '\u200bzero width', false)) t(id, sender_id, receiver_id, message, is_read)".replace("\\u200b", "\u200b"))
+
+@query(f"with {_MSG} select sender_id, receiver_id, message, false as is_read, count(*) as n from msg where id % 7 <> 0 and sender_id < 50 group by 1, 2, 3")
 def sent_messages(spark, d):
-    """Messages that are appended one by one, blank ones not; then read again from the table."""
-    path = f"{work_folder(spark)}/messages"
-    for k, (a, b, text) in enumerate([(17, 139, "Hello"), (139, 17, "Hi  there"), (17, 139, " \t\u00a0\ufeff"), (17, 139, "\u200bzero width")], 1):
-        writes.append_message(spark, path, k, a, b, text, datetime(2024, 1, 23, 10, 30))
-    return spark.read.schema(schema_of("messages")).parquet(path).select("id", "sender_id", "receiver_id", "message", "is_read")
+    """Messages that are appended in several sendings, blank ones not; then read again from the table."""
+    sent = writes.committed(spark, work_folder(spark), "messages")
+    for part in range(2):
+        writes.append_messages(sent, _mail(spark, d).where((F.col("sender_id") < 50) & (F.col("id") % 2 == part)).drop("id"))
+    return sent.read().groupBy("sender_id", "receiver_id", "message", "is_read").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_MSG}, kept as (select * from msg where id % 7 <> 0) select sender_id, count(*) as n, count(*) as n_ids, 1 as low, (select count(*) from kept) as high from kept group by sender_id")
+def stored_ids(spark, d):
+    """Ids that the store makes in three appends: none missing, none twice, without gaps."""
+    sent = writes.committed(spark, work_folder(spark), "messages")
+    for part in range(3):
+        writes.append_messages(sent, _mail(spark, d).where(F.col("id") % 3 == part).drop("id"))
+    rows = sent.read()
+    span = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return rows.groupBy("sender_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids")).crossJoin(F.broadcast(span))
+
+
+@query("select p_partkey as id, p_name as name from part where contains(lower(p_name), lower('RED')) or contains(lower(coalesce(nullif(p_brand, 'Brand#2'), '')), lower('RED')) or contains(lower(p_type), lower('RED'))")
+def search_by_index(spark, d):
+    """The search over three columns, by trigrams; the table came in two parts."""
+    index = TextIndex(spark, work_folder(spark), "id", ["name", "brand", "type"])
+    part = tables.star(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.nullif(F.col("p_brand"), F.lit("Brand#2")).alias("brand"), F.col("p_type").alias("type"))
+    for half in range(2):
+        index.add(part.where(F.col("id") % 2 == half))
+    return index.search("RED").select("id", "name")
+
+
+@query(f"with {_PEOPLE} select id, name, email from people where email in ('p42@example.com', 'd7@example.com') or id = 1000003")
+def indexed_lookup(spark, d):
+    """People by email and by id from a table that is laid out for lookups."""
+    path = f"{work_folder(spark)}/users"
+    lookup_layout(tables.declared(spark, _declared_people(spark, d), "users"), path, ["id"], ("email",), files=2)
+    users = spark.read.schema(schema_of("users")).parquet(path).select("id", "name", "email")
+    found = [users.where(F.col("email") == e) for e in ("p42@example.com", "d7@example.com")]
+    return found[0].unionByName(found[1]).unionByName(users.where(F.col("id") == 1000003))
+
+
+@query(f"with {_APPT} select c_custkey as id, c_name as name, count(*) as visits, count(distinct doctor_id) as doctors from customer join appt on user_id = c_custkey group by 1, 2")
+def bucketed_join(spark, d):
+    """People and appointments as tables of a database, bucketed by the person: joined and counted where they lie."""
+    folder = work_folder(spark)
+    db = tables.database(spark, f"carelane_{folder.rsplit('-', 1)[-1]}", folder)
+    tables.save_bucketed(tables.patients(spark, d).select("id", "name"), db, "patients", ["id"], 4)
+    tables.save_bucketed(tables.appointments(spark, d).select("user_id", "doctor_id"), db, "appointments", ["user_id"], 4)
+    return spark.sql(f"select p.id, p.name, count(*) as visits, count(distinct doctor_id) as doctors from {db}.patients p join {db}.appointments a on a.user_id = p.id group by p.id, p.name")
 
 
 @query("select c_custkey + 5 as id, c_name as name, c_custkey || '@example.com' as email, case when c_custkey % 2 = 0 then 'doctor' else 'user' end as role from customer where c_custkey % 5 not in (0, 1, 2)")
@@ -482,23 +573,43 @@ def _values(name: str) -> str:
     return f"select {casts} from (values " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") t({names})"
 
 
+#: For each literal table: the column that stored rows are counted by, those rows (SQL: k), and the same in Spark.
+_STORED = {
+    "doctors": ("id", "select l_suppkey k from lineitem", lambda spark, d: tables.star(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"))),
+    "patients": ("id", "select o_custkey k from orders", lambda spark, d: tables.star(spark, d, "orders").select(F.col("o_custkey").alias("k"))),
+    "users": ("id", "select user_id k from events", lambda spark, d: tables.star(spark, d, "events").select(F.col("user_id").alias("k"))),
+    "appointments": ("id", "select l_orderkey k from lineitem", lambda spark, d: tables.star(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))),
+    "messages": ("id", "select event_id % 9 k from events", lambda spark, d: tables.star(spark, d, "events").select((F.col("event_id") % 9).alias("k"))),
+    "seed_users": ("role", "select 'doctor' k from supplier union all select 'user' from customer", lambda spark, d: tables.star(spark, d, "supplier").select(F.lit("doctor").alias("k")).unionAll(tables.star(spark, d, "customer").select(F.lit("user").alias("k")))),
+    "time_slots": ("slot", "select strftime(ts, '%H:') || case when minute(ts) < 30 then '00' else '30' end k from events", lambda spark, d: tables.star(spark, d, "events").select(T.half_hour(F.col("ts")).alias("k"))),
+    "appointment_types": ("position", "select l_linenumber % 5 k from lineitem", lambda spark, d: tables.star(spark, d, "lineitem").select((F.col("l_linenumber") % 5).alias("k"))),
+}
+
+
 def _literal_query(name: str):
+    """A literal table with how many stored rows each of its rows stands for."""
+    key, sql, stored = _STORED[name]
+
     def rows(spark, d):
-        return literals.literal(spark, name)
+        counts = stored(spark, d).groupBy(F.col("k").alias("__k")).agg(F.count("*").alias("n"))
+        own = literals.literal(spark, name)
+        return own.join(counts, F.col(key) == F.col("__k"), "left").select(*own.columns, F.coalesce("n", F.lit(0)).cast("long").alias("stored"))
 
     rows.__name__ = name if name == "time_slots" else f"literal_{name}"
-    query(_values(name))(rows)
+    query(f'select l.*, coalesce(n, 0)::bigint as stored from ({_values(name)}) l left join (select k, count(*) n from ({sql}) group by k) s on s.k = l."{key}"')(rows)
 
 
 for _name in literals.SHAPES:
     _literal_query(_name)
 
 
-@query(f"select id, name from ({_values('patients')}) where contains(lower(name), 'smith') or contains(lower(email), 'smith') or contains(lower(email), 'garcia@')")
+@query(f"""select l.id, l.name, c_name as stored_name from ({_values('patients')}) l left join customer on c_custkey = l.id
+ where contains(lower(name), 'smith') or contains(lower(email), 'smith') or contains(lower(email), 'garcia@')""")
 def fixture_search(spark, d):
-    """The search by name or e-mail on the literal patients, with two terms."""
+    """The search by name or e-mail on the literal patients, with two terms, beside the stored people of their ids."""
     rows = literals.literal(spark, "patients")
-    return rows.where(P.search("Smith", F.col("name"), F.col("email")) | P.search("GARCIA@", F.col("name"), F.col("email"))).select("id", "name")
+    found = rows.where(P.search("Smith", F.col("name"), F.col("email")) | P.search("GARCIA@", F.col("name"), F.col("email"))).select("id", "name")
+    return R.embed_one(found, tables.patients(spark, d).select(F.col("id").alias("own"), F.col("name").alias("stored_name")), "id", "own", "p", ["stored_name"]).select("id", "name", "p.stored_name")
 
 
 # Screens
@@ -619,3 +730,46 @@ def stream_resubscribed(spark: SparkSession, d: str) -> DataFrame:
     one.stop()
     found = [spark.read.schema(_SHAPE).parquet(one.path(*pair)).select("id", F.lit(name).alias("conversation")) for pair, name in (((17, 139), "first"), ((21, 40), "second"))]
     return found[0].unionByName(found[1])
+
+
+@query(f"with {_MSG}, {_LAST} select a, b, id, message from lm where rn = 1")
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The latest message of each pair, kept up to date by a stream: three drops, in the last one the oldest messages."""
+    base = work_folder(spark)
+    table = CommittedTable(spark, f"{base}/latest", sinks.LATEST, id_column=None)
+    rows = _as_files(spark, d)
+    early = F.col("timestamp") < F.lit("2024-01-08 00:00:00 UTC").cast("timestamp")
+    for part in (~early & (F.col("id") % 2 == 0), ~early & (F.col("id") % 2 == 1), early):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        live = S.all_messages(spark, f"{base}/in", None, _SHAPE)
+        sinks.keep_latest(live, table, "latest", f"{base}/state", compact_every=2).awaitTermination()
+    return sinks.newest(table.read()).select("a", "b", "id", "message")
+
+
+@query(f"""with {_MSG}, pr as (select distinct 's' || sender_id % 3 as subscriber, receiver_id r, least(sender_id, receiver_id) a, greatest(sender_id, receiver_id) b from msg)
+ select distinct subscriber, id from msg join pr on a = least(sender_id, receiver_id) and b = greatest(sender_id, receiver_id) where id % 2 = 1 or r % 2 = 0""")
+def stream_routed(spark: SparkSession, d: str) -> DataFrame:
+    """One stream for all open conversations. The first drop finds those with even receivers open, the second all of them."""
+    base = work_folder(spark)
+    table = CommittedTable(spark, f"{base}/routed", sinks.ROUTED, id_column=None)
+    rows = _as_files(spark, d)
+    pairs = rows.select(F.concat(F.lit("s"), F.col("sender_id") % 3).alias("subscriber"), F.col("receiver_id").alias("a"), F.col("sender_id").alias("b")).distinct()
+    for part in (0, 1):
+        rows.where(F.col("id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        open_now = pairs if part else pairs.where(F.col("a") % 2 == 0)
+        handle = sinks.routed(lambda open_now=open_now: open_now, table, "chat")
+        S.deliver(S.all_messages(spark, f"{base}/in", None, _SHAPE), handle, f"{base}/state").awaitTermination()
+    return table.read().select("subscriber", "id").distinct()
+
+
+@query(f"with {_MSG} select id, count(*) as n from msg where sender_id < 50 group by id")
+def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """Batches that come again, as after a failure that loses the stream's own state, add nothing."""
+    base = work_folder(spark)
+    table = CommittedTable(spark, f"{base}/out", _SHAPE.replace(" long", " bigint"))
+    rows = _as_files(spark, d).where(F.col("sender_id") < 50)
+    for part in (0, 1):
+        rows.where(F.col("id") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        S.deliver(S.all_messages(spark, f"{base}/in", None, _SHAPE), sinks.once(table, "mail", 2), f"{base}/state").awaitTermination()
+    S.deliver(S.all_messages(spark, f"{base}/in", None, _SHAPE), sinks.once(table, "mail"), f"{base}/other").awaitTermination()
+    return table.read().groupBy("id").agg(F.count("*").alias("n"))

@@ -30,6 +30,22 @@ def register(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(DD
             people(spark.table("users"), role).createOrReplaceTempView(view)
 
 
+def database(spark: SparkSession, name: str, folder: str) -> str:
+    """A catalog database whose tables lie under a folder; its name."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{folder}'")
+    return name
+
+
+def save_bucketed(rows: DataFrame, database: str, name: str, keys: list[str], buckets: int) -> None:
+    """A table of a database, bucketed and sorted by keys: joins and groupings by all of them need no exchange.
+
+    Tables that are to be joined need equally many buckets. Messages are bucketed by the unordered pair, as two
+    columns (``relations.pair_key``).
+    """
+    # Dealt by the same keys first, so that there is a file a bucket and not one for each task.
+    rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(f"`{database}`.`{name}`")
+
+
 def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

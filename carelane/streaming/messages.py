@@ -26,6 +26,19 @@ def live_messages(spark: SparkSession, folder: str, a: int, b: int, lateness: st
     return mine.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["id"])
 
 
+def all_messages(spark: SparkSession, folder: str, lateness: str | None = "30 days", schema=None) -> DataFrame:
+    """All messages from a growing Parquet folder, each id once.
+
+    The state is the ids of the last ``lateness``: repeats that come later than that are taken for new ones, and
+    messages that are older than that are lost; None keeps all ids for good.
+    """
+    rows = spark.readStream.schema(schema or schema_of("messages")).parquet(folder)
+    rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    if lateness is None:
+        return rows.dropDuplicates(["id"])
+    return rows.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(["id"])
+
+
 def with_names(stream: DataFrame, users: DataFrame) -> DataFrame:
     """Adds sender_name and receiver_name from a static table, null for unknown people."""
     for side in ("sender", "receiver"):

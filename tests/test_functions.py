@@ -88,3 +88,58 @@ def test_white_space_is_the_same_on_the_driver(spark):
 def test_contains_matches_python(spark, n, names, term):
     got = values(spark, [(x,) for x in names], "x string", X.contains_folded(F.col("x"), term))
     assert got == [term.lower() in x.lower() for x in names]
+
+
+ZONES = ["UTC", "America/New_York", "Asia/Tokyo"]
+
+
+@pytest.fixture(params=ZONES)
+def session_zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_texts_are_instants_whatever_the_session(spark, session_zone):
+    """A date alone is UTC, a reading is the person's, an offset is its own."""
+    micros = lambda text, *zone: values(spark, [(text,)], "x string", F.unix_seconds(T.parsed(F.col("x"), *zone)))[0]
+    assert micros("2024-01-25") == micros("2024-01-25", "America/New_York") == micros(" 2024-01-25 ", "Asia/Tokyo") == 1706140800
+    assert micros("2024-01-25T10:00:00", "America/New_York") == 1706194800
+    assert micros("2024-01-25 10:00", "Asia/Tokyo") == 1706144400
+    assert micros("2024-01-25T10:00:00.5") == 1706176800
+    assert micros("2024-01-25T10:00:00Z", "Asia/Tokyo") == micros("2024-01-25T05:00:00-05:00", "Asia/Tokyo") == 1706176800
+    for none in ("soon", "", "2024-13-01", "2024-01-25T99:00:00", None):
+        assert micros(none) is None
+
+
+def test_days_months_and_clocks_of_a_zone(spark, session_zone):
+    from carelane.operators.predicates import on_day
+
+    # Nine in the evening of the 31st in New York is the first of the next month in UTC and in Tokyo.
+    rows = spark.sql("select timestamp'2024-01-31T21:00:00-05:00' as t, timestamp_ntz'2024-02-01 02:00:00' as u")
+    get = lambda c: rows.select(c).first()[0]
+    day = F.lit("2024-01-15").cast("date")
+    for zone, date_, clock, january in (("UTC", "2024-02-01", "02:00 AM", False), ("America/New_York", "2024-01-31", "09:00 PM", True), ("Asia/Tokyo", "2024-02-01", "11:00 AM", False)):
+        for column, kind in (("t", "timestamp"), ("u", "timestamp_ntz")):
+            seen = T.wall(F.col(column), zone, kind)
+            assert (get(T.date_part(seen)), get(T.clock(seen))) == (date_, clock)
+            assert get(on_day(F.col(column), date_, zone, kind)) and not get(on_day(F.col(column), "2024-01-30", zone, kind))
+            assert get(T.same_month(F.col(column), day, zone, kind)) == january
+    assert get(T.date_time(T.wall(F.col("t"), "America/New_York"))) == "1/31/2024, 9:00:00 PM"
+    assert get(T.half_hour(F.col("u"))) == "02:00"
+
+
+def test_a_reading_that_a_session_skips_stays(spark, session_zone):
+    """Half past two does not exist in New York on this day."""
+    rows = spark.sql("select timestamp_ntz'2024-03-10 02:30:00' as u")
+    assert rows.select(T.clock(F.col("u"))).first()[0] == "02:30 AM"
+
+
+def test_zone_filters_are_pushed_down(spark, tmp_path):
+    spark.sql("select timestamp'2024-01-31T21:00:00-05:00' as t, timestamp_ntz'2024-02-01 02:00:00' as u").write.parquet(f"{tmp_path}/t")
+    from carelane.operators.predicates import on_day
+
+    for column, kind in (("t", "timestamp"), ("u", "timestamp_ntz")):
+        found = spark.read.parquet(f"{tmp_path}/t").where(on_day(F.col(column), "2024-01-31", "America/New_York", kind))
+        assert f"GreaterThanOrEqual({column}" in found._jdf.queryExecution().toString() and found.count() == 1

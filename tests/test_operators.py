@@ -76,6 +76,24 @@ def test_embeds(spark):
     assert R.first_match(visits, dup, "user_id", "id", [F.col("name")], ["name"]).count() == 3
 
 
+def test_only_the_first_are_embedded(spark):
+    parents = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    hot = spark.range(1_000_000).select(F.lit(1).alias("owner"), (F.lit(1_000_000) - F.col("id")).alias("n")).unionByName(spark.createDataFrame([(2, 5), (None, 1)], "owner long, n long"))
+    rows = R.embed_many(parents, hot, "id", "owner", "children", ["n"], 3)
+    assert "WindowGroupLimit" in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: [c["n"] for c in r["children"]] for r in rows.collect()} == {1: [1, 2, 3], 2: [5], 3: []}
+
+
+@pytest.mark.parametrize(("guard", "n", "fails"), [(C.exactly_one_row, 0, "none"), (C.exactly_one_row, 1, None), (C.exactly_one_row, 2, "more"), (C.at_most_one_row, 0, None), (C.at_most_one_row, 1, None), (C.at_most_one_row, 1000, "more")])
+def test_guards_fail_when_they_run(spark, guard, n, fails):
+    guarded = guard(spark.range(n).select("id", F.lit("x").alias("a.b"))).where("id < 5")
+    if fails is None:
+        assert [tuple(r) for r in guarded.collect()] == [(0, "x")] * n
+        return
+    with pytest.raises(Exception, match=f"expected .*found {fails}"):
+        guarded.collect()
+
+
 def test_first_by_skips_null_keys_and_ties(spark):
     rows = spark.createDataFrame([(1, 5, "a"), (2, 5, "b"), (3, None, "c")], "id long, k long, x string")
     assert ids(R.first_by(rows, ["k"], [F.col("id")])) == [1]
@@ -110,26 +128,29 @@ def test_top_and_head(spark):
 
 
 def test_append_message(spark, tmp_path):
-    path = f"{tmp_path}/messages"
+    sent = writes.committed(spark, str(tmp_path), "messages")
     now = datetime(2024, 1, 23, 10, 30)
-    assert writes.append_message(spark, path, 1, 1, 2, "hello", now)["message"] == "hello"
-    assert writes.append_message(spark, path, 2, 2, 1, " \n", now) is None
-    writes.append_message(spark, path, 3, 2, 1, "again", now)
-    assert writes.append_message(spark, path, 4, 2, 1, "\ufeff\u00a0", now) is None
-    assert writes.append_message(spark, path, 5, 2, 1, "\x1c", now)["id"] == 5
-    assert ids(spark.read.schema(schema_of("messages")).parquet(path)) == [1, 3, 5]
+    one = writes.append_message(sent, 1, 2, "hello", now)
+    assert (one["message"], one["id"], one["is_read"]) == ("hello", 1, False)
+    assert writes.append_message(sent, 2, 1, " \n", now) is None
+    writes.append_message(sent, 2, 1, "again", now)
+    assert writes.append_message(sent, 2, 1, "\ufeff\u00a0", now) is None
+    assert writes.append_message(sent, 2, 1, "\x1c", now)["id"] == 3
+    assert ids(sent.read()) == [1, 2, 3]
+    rows = spark.createDataFrame([(1, 2, x, now) for x in ("a", "", "\u00a0\t", None, "b")], "sender_id long, receiver_id long, message string, timestamp timestamp")
+    assert writes.append_messages(sent, rows) == 2
+    assert ids(sent.read()) == [1, 2, 3, 4, 5]
 
 
 def test_insert_if_absent(spark, tmp_path):
-    path = f"{tmp_path}/users"
-    spark.createDataFrame([(1, "A", "john.smith@gmail.com", None, "user", None, None)], schema_of("users")).write.parquet(path)
-    assert writes.insert_people(spark, path, literal(spark, "seed_users")) == 3
-    assert writes.insert_people(spark, path, literal(spark, "seed_users")) == 0
-    assert spark.read.parquet(path).count() == 4
-    # Of new rows with one email the first by all columns stays; rows without an email are none.
-    more = spark.createDataFrame([("b", "x@example.com", "user"), ("a", "x@example.com", "user"), ("c", None, "user")], "name string, email string, role string")
-    assert (writes.insert_people(spark, path, more), writes.insert_people(spark, path, more)) == (1, 0)
-    assert [r["name"] for r in spark.read.parquet(path).where("email = 'x@example.com'").collect()] == ["a"]
+    users = writes.committed(spark, str(tmp_path), "users")
+    users.append(literal(spark, "seed_users").where("role = 'admin'").withColumn("id", F.lit(41)))
+    assert writes.insert_people(users, literal(spark, "seed_users")) == 3
+    assert writes.insert_people(users, literal(spark, "seed_users")) == 0
+    more = spark.createDataFrame([("A", "a@x", "user"), ("B", "a@x", "user"), ("C", None, "user")], "name string, email string, role string")
+    assert (writes.insert_people(users, more), writes.insert_people(users, more)) == (1, 0)
+    assert sorted(r["id"] for r in users.read().collect()) == [41, 42, 43, 44, 45]
+    assert users.read().where("email = 'a@x'").first()["name"] == "A"
 
 
 def test_literals_and_schemas(spark):

@@ -45,3 +45,13 @@ def test_parsed_number_reads_whole_props(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, props string").crossJoin(events).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["id"]: r["number"] for r in QUERIES["parsed_number"](spark, str(tmp_path)).collect()}
     assert got == {1: 42, 2: 12345, 3: 7, 4: None, 5: None}
+
+
+@pytest.mark.parametrize("name", ["today_count", "month_count", "pending_reviews", "time_label", "date_labels", "parsed_time", "parsed_in_zone", "zoned_counts", "formatted_appointments", "contact_list", "doctor_dashboard", "time_slots"])
+def test_query_in_another_session_zone(spark, duck, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        test_query(spark, duck, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

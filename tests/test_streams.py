@@ -1,0 +1,83 @@
+"""Latest messages as state, routing to subscribers, batches that come again."""
+
+import random
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from carelane.operators.commits import CommittedTable
+from carelane.operators.relations import last_messages
+from carelane.streaming import messages as S
+from carelane.streaming import sinks
+
+SHAPE = "id long, sender_id long, receiver_id long, message string, timestamp timestamp"
+T = datetime(2024, 1, 10)
+
+
+def put(spark, path, rows):
+    spark.createDataFrame(rows, SHAPE).write.mode("append").parquet(path)
+
+
+def test_latest_is_last_message_after_each_drop(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(6), rng.choice([*range(6), None]), f"m{i}", None if i % 31 == 0 else T + timedelta(minutes=rng.randrange(500))) for i in range(400)]
+    table = CommittedTable(spark, f"{tmp_path}/latest", sinks.LATEST, id_column=None)
+    for lo, hi in ((200, 300), (0, 200), (290, 400)):  # the second drop is late, the third repeats some of the first
+        put(spark, f"{tmp_path}/in", rows[lo:hi])
+        sinks.keep_latest(S.all_messages(spark, f"{tmp_path}/in", None, SHAPE), table, "latest", f"{tmp_path}/state", compact_every=2).awaitTermination()
+        so_far = spark.read.schema(SHAPE).parquet(f"{tmp_path}/in").withColumnRenamed("timestamp", "ts").where("sender_id is not null and receiver_id is not null")
+        want = {(r["a"], r["b"]): (r["id"], r["message"], r["ts"]) for r in last_messages(so_far).collect()}
+        assert {(r["a"], r["b"]): (r["id"], r["message"], r["ts"]) for r in sinks.newest(table.read()).collect()} == want
+    assert len(table.version().folders) <= 2
+
+
+def test_a_thousand_conversations_by_one_query(spark, tmp_path):
+    open_pairs = [(f"s{k % 10}", k, 5000 + k) for k in range(1000)]
+    following = {"now": spark.createDataFrame(open_pairs, "subscriber string, a long, b long")}
+    table = CommittedTable(spark, f"{tmp_path}/routed", sinks.ROUTED, id_column=None)
+    put(spark, f"{tmp_path}/in", [(8000, 1, 2, "of nobody", T)])
+    live = S.deliver(S.all_messages(spark, f"{tmp_path}/in", None, SHAPE), sinks.routed(lambda: following["now"], table, "chat"), f"{tmp_path}/state", "50 milliseconds")
+    try:
+        put(spark, f"{tmp_path}/in", [(k, 5000 + k, k, "x", T) for k in range(0, 2000)])
+        live.processAllAvailable()
+        got = {(r["subscriber"], r["id"]) for r in table.read().collect()}
+        assert got == {(f"s{k % 10}", k) for k in range(1000)}
+        following["now"] = spark.createDataFrame([("late", 5001, 1), ("late", 1, 5001), ("s1", 1, 5001)], "subscriber string, a long, b long")
+        put(spark, f"{tmp_path}/in", [(9000, 1, 5001, "x", T), (9001, 2, 5002, "x", T), (1, 5001, 1, "x", T)])
+        live.processAllAvailable()
+        assert {(r["subscriber"], r["id"]) for r in table.read().where("id >= 9000").collect()} == {("late", 9000), ("s1", 9000)}
+        assert table.read().count() == 1002
+    finally:
+        live.stop()
+
+
+def test_batches_after_a_kill_add_nothing(spark, tmp_path):
+    """The table had taken the batch, the stream had not noted it: it comes again with the same number."""
+    table = CommittedTable(spark, f"{tmp_path}/out", SHAPE.replace(" long", " bigint"))
+    stream = lambda: S.all_messages(spark, f"{tmp_path}/in", None, SHAPE)
+
+    def dies(batch, number):
+        sinks.once(table, "mail")(batch, number)
+        raise RuntimeError("killed")
+
+    put(spark, f"{tmp_path}/in", [(k, 1, 2, "x", T) for k in range(50)])
+    try:
+        S.deliver(stream(), dies, f"{tmp_path}/state").awaitTermination()
+        raise AssertionError("it should have failed")
+    except Exception as e:  # noqa: BLE001
+        assert "killed" in str(e)
+    assert table.read().count() == 50
+    put(spark, f"{tmp_path}/in", [(k, 1, 2, "x", T) for k in range(40, 70)])
+    S.deliver(stream(), sinks.once(table, "mail", 1), f"{tmp_path}/state").awaitTermination()
+    assert sorted(r["id"] for r in table.read().collect()) == list(range(70))
+    assert len(table.version().folders) == 1
+
+
+def test_state_of_latest_is_a_row_a_pair(spark, tmp_path):
+    put(spark, f"{tmp_path}/in", [(k, k % 2, 2, "x", T) for k in range(1000)])
+    table = CommittedTable(spark, f"{tmp_path}/t", sinks.LATEST, id_column=None)
+    rows = spark.readStream.schema(SHAPE).parquet(f"{tmp_path}/in")
+    query = sinks.keep_latest(rows, table, "l", f"{tmp_path}/state")
+    query.awaitTermination()
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) == 2
+    assert table.read().agg(F.count("*")).first()[0] == 2
