@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, as a URI.
 
     It lies under ``spark.checkpoint.dir``. Only in local mode (tests) may that be unset: a temporary folder
-    of this machine is taken; on a cluster that is an error. The folder is removed when the application ends.
+    of this machine is taken; on a cluster that is an error. The folder is removed when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -39,18 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
         base = _own_dirs.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="carelane-")
         _own_dirs[app] = base
     path = f"{base.rstrip('/')}/carelane-{os.getpid()}/{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made[path] = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a work folder at exit; by then the session may be gone, which is no error."""
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001
-        pass
+#: Folders to delete, with the file system that holds each: it outlives the Spark context.
+_made: dict[str, tuple] = {}
+
+
+def _remove(path: str) -> None:
+    if made := _made.pop(path, None):
+        fs, at = made
+        fs.delete(at, True)
+
+
+@atexit.register
+def remove_all() -> None:
+    """Delete all work folders of this program; it does so when it ends, also after ``spark.stop()``."""
+    for path in list(_made):
+        _remove(path)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -65,7 +73,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def release(stored: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` made, once nothing will read it again."""
     if path := stored.__dict__.get("stored_at"):
-        _remove(stored.sparkSession, path)
+        _remove(path)
 
 
 #: Bytes of stored input for one task of a step that sorts whole rows.

@@ -10,8 +10,8 @@ documents are the classes of the near-duplicate join (5-word shingles, similarit
 Hot sources and large groups of copies spread over all shards; conflicts only ever hold inside a bin.
 
 Defined results: lengths of null texts are 0 and such documents still get a place; a null source or
-cluster conflicts with nothing, and a null text has no cluster; texts without words are clusters of byte-equal
-texts; repeated rows are packed each; an empty table gives no rows; equal lengths go in the order of (row key,
+cluster conflicts with nothing, and a null text has no cluster; a text without words is a cluster of its own;
+repeated rows are packed each; an empty table gives no rows; equal lengths go in the order of (row key,
 source, cluster); columns of other names are not read. ``pack`` keys rows by their place in a scan, so its
 input is to be a stored table, as ``pack_documents`` makes it.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, table
+from .common import ids_differ, materialise, release, table
 from .jaccard_join import join
 
 #: Tokens (words) of a sequence, and documents of a shard.
@@ -116,16 +116,21 @@ def pack(docs: DataFrame, length: Column, source: Column, cluster: Column, keep:
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
     """Documents (doc_id, source, text) by their words; near-duplicate texts form a cluster, named by the least doc_id in it.
 
-    Rows without doc_id take the hash of their text for one.
+    Rows are named by their doc_id, or, where that is missing or repeated, by their place in a written copy. Rows
+    without doc_id stand in for one with 2^62 and their place.
     """
-    text = F.xxhash64("text")
-    ids = F.coalesce(F.col("doc_id").cast("long"), text.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
-    classes = join(docs.select(ids.alias("doc_id"), "text"), WIDTH, PERCENT, text)
-    # Tables of their own: a frequent text can be split in the join, and the rows' places stay as they are.
-    named = materialise(classes.groupBy(F.col("mark").alias("__text")).agg(F.min("component_id").alias("cluster"), F.max("n_words").alias("length")))
-    rows = docs.select("doc_id", "source", F.when(F.col("text").isNotNull(), text).alias("__text"))
-    light = materialise(rows.join(named, "__text", "left").select("doc_id", "source", "length", "cluster"))
-    release(named)
+    copied = not ids_differ(docs)
+    rows = docs.select("doc_id", "source", "text", (F.monotonically_increasing_id() if copied else F.col("doc_id").cast("long")).alias("__row"))
+    if copied:
+        rows = materialise(rows)
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.col("__row").bitwiseOR(F.lit(1 << 62)))
+    classes = join(rows.select(ids.alias("doc_id"), "text", "__row"), WIDTH, PERCENT, F.col("__row"))
+    named = classes.select(F.col("mark").alias("__row"), F.col("component_id").alias("cluster"), F.col("n_words").alias("length"))
+    given = rows.select("doc_id", "source", F.col("text").isNotNull().alias("__given"), "__row")
+    # Written, so that the rows' places stay as they are.
+    light = materialise(given.join(named, "__row").select("doc_id", "source", "length", F.when(F.col("__given"), F.col("cluster")).alias("cluster")))
+    if copied:
+        release(rows)
     return pack(light, F.col("length"), F.col("source"), F.col("cluster"), ["doc_id"], **how)
 
 

@@ -9,7 +9,7 @@ passages that stand in the middle of a line, so another kind of unit covers them
 Equal passages select equal windows wherever they stand; one of ``PASSAGE_WORDS + STRIDE - 1`` words or more
 always shares a selected window. A line, a paragraph and a text of the same words are the same unit.
 
-Only (digest, document) pairs are shuffled; a digest's documents are never gathered: its first document
+A unit's digest has 96 bits, 64 and a check of 32; both have to be equal. Only (digest, document) rows are shuffled; a digest's documents are never gathered: its first document
 is a partial aggregate, joined back on the digest.
 
 Defined results: null and empty texts have no units and come back as they are; rows without doc_id rank
@@ -38,14 +38,15 @@ KINDS = ("line", "paragraph", "text", "passage")
 #: Line feeds in a row that part units of a kind; None: a text is one unit.
 _GAP = {"line": 1, "paragraph": 2, "text": None}
 _NONE = np.uint64(2**64 - 1)
-_SEED = np.uint64(0xA24BAED4963EE407)
+_SEED, _CHECK = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_NO_UNITS = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
-def passage_units(words: Words, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, first word, last word + 1) of the selected windows, in order of place."""
+def passage_units(words: Words, size: int, stride: int) -> tuple[np.ndarray, ...]:
+    """(digest, check, first word, last word + 1) of the selected windows, in order of place."""
     grams = words.grams(size)
     if not len(grams):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return _NO_UNITS
     place = np.arange(len(grams))
     end = words.at[np.searchsorted(words.at, place, side="right")]
     padded = np.full(len(grams) + 2 * (stride - 1), _NONE)
@@ -53,14 +54,27 @@ def passage_units(words: Words, size: int, stride: int) -> tuple[np.ndarray, np.
     pick = np.lib.stride_tricks.sliding_window_view(padded, stride).argmin(axis=1) + np.arange(len(grams) + stride - 1)
     pick = np.unique(pick)
     pick = pick[padded[pick] != _NONE]
-    return padded[pick], pick - (stride - 1), pick - (stride - 1) + size
+    first = pick - (stride - 1)
+    return padded[pick], window_checks(words, first, size), first, first + size
 
 
-def line_units(words: Words, least: int, gap: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_checks(words: Words, first: np.ndarray, size: int) -> np.ndarray:
+    """The checks of the windows from these words on."""
+    x = np.zeros(len(first), np.uint64)
+    for j in range(size):
+        x = x * np.uint64(0xC6A4A7935BD1E995) + mix(words.hashes[first + j] ^ _CHECK)
+    return _low(mix(x))
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def line_units(words: Words, least: int, gap: int | None) -> tuple[np.ndarray, ...]:
     """Units between ``gap`` or more line feeds in a row (1: lines, 2: paragraphs, None: texts), of ``least`` words or more."""
     n = len(words.hashes)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return _NO_UNITS
     first = words.at[:-1][words.at[:-1] < n]
     if gap is not None:
         feeds = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
@@ -72,18 +86,19 @@ def line_units(words: Words, least: int, gap: int | None) -> tuple[np.ndarray, n
     place = np.arange(n) - np.repeat(first, last - first)
     weighted = mix(words.hashes + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     total = np.add.reduceat(weighted, first)
+    check = np.add.reduceat(mix(weighted ^ _CHECK), first)
     long = last - first >= least
-    return mix(total ^ _SEED)[long], first[long], last[long]
+    return mix(total ^ _SEED)[long], _low(mix(check))[long], first[long], last[long]
 
 
 def units(words: Words, kinds=KINDS, passage_words=PASSAGE_WORDS, stride=STRIDE, line_words=LINE_WORDS):
-    """All units of a slice: digests (signed), first words, last words + 1."""
+    """All units of a slice: digests, checks, first words, last words + 1."""
     made = [line_units(words, 1 if kind == "text" else line_words, _GAP[kind]) for kind in kinds if kind != "passage"]
     if len(made) > 1:
-        digest, first, last = (np.concatenate(x) for x in zip(*made, strict=True))
+        digest, check, first, last = (np.concatenate(x) for x in zip(*made, strict=True))
         # A paragraph of one line, or a text of one paragraph, is one unit.
         once = np.unique(first * (len(words.hashes) + 1) + last, return_index=True)[1]
-        made = [(digest[once], first[once], last[once])]
+        made = [(digest[once], check[once], first[once], last[once])]
     if "passage" in kinds:
         made.append(passage_units(words, passage_words, stride))
     return tuple(np.concatenate(x) for x in zip(*made, strict=True))
@@ -104,32 +119,32 @@ def ranked(docs: DataFrame) -> DataFrame:
 
 
 def unit_table(rows: DataFrame, **how) -> DataFrame:
-    """Distinct (digest, rank) of every text of ranked rows."""
+    """Distinct (digest, check, rank) of every text of ranked rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets)
-                digest, first, _ = units(words, **how)
+                digest, check, first, _ = units(words, **how)
                 if not len(digest):
                     continue
                 doc = np.searchsorted(words.at, first, side="right") - 1
-                order = np.lexsort((digest, doc))
-                digest, doc = digest[order], doc[order]
+                order = np.lexsort((check, digest, doc))
+                digest, check, doc = digest[order], check[order], doc[order]
                 new = np.ones(len(doc), bool)
-                new[1:] = (digest[1:] != digest[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(digest[new].view(np.int64)), pa.array(ranks[lo + doc[new]])], names=["digest", "rank"])
+                new[1:] = (digest[1:] != digest[:-1]) | (check[1:] != check[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[new].view(np.int64)), pa.array(check[new].view(np.int32)), pa.array(ranks[lo + doc[new]])], names=["digest", "check", "rank"])
 
-    return rows.select("__rank", "text").mapInArrow(run, "digest long, rank long")
+    return rows.select("__rank", "text").mapInArrow(run, "digest long, check int, rank long")
 
 
 def later_units(rows: DataFrame, **how) -> DataFrame:
     """rank, digests (array), as a table: the units of each ranked row that an earlier one has; at most its own units."""
     found = materialise(unit_table(rows, **how))
     # A table of its own: a join of two plain shuffles can split the documents of a frequent digest.
-    firsts = materialise(found.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "first"))
-    later = materialise(found.join(firsts, "digest").where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_list("digest").alias("digests")))
+    firsts = materialise(found.groupBy("digest", "check").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").select("digest", "check", "first"))
+    later = materialise(found.join(firsts, ["digest", "check"]).where(F.col("rank") > F.col("first")).groupBy("rank").agg(F.collect_list("digest").alias("digests")))
     release(found)
     release(firsts)
     return later
@@ -169,7 +184,7 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
             texts, reports = [], []
             for lo, hi, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets)
-                digest, first, last = units(words, **how)
+                digest, _, first, last = units(words, **how)
                 digest = digest.view(np.int64)
                 order = np.argsort(first, kind="stable")
                 digest, first, last = digest[order], first[order], last[order]

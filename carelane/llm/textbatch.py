@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,22 +13,12 @@ SLICE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_FOLD = np.arange(1, 257, dtype=np.uint64)  # a byte's value plus one, so that zero bytes count
-_FOLD[ord("A") + 0 : ord("Z") + 1] += np.uint64(32)
-_PLAIN = np.arange(1, 257, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            t = np.full(size, np.uint64(base))
-            t[0] = 1
-            _powers[k] = np.multiply.accumulate(t)
-    return _powers[0][:n], _powers[1][:n]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+#: Longer words (in bytes) are hashed by a library function, one by one.
+_LONG = 64
+#: The first k bytes of a little-endian 64-bit number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +28,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: their length, then eight bytes at a time, mixed after each."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # from every byte on
+    left, at = np.flatnonzero(size <= _LONG), 0
+    while len(left):
+        rest = size[left] - at
+        out[left] = mix((out[left] ^ (eight[starts[left] + at] & _FIRST[np.minimum(rest, 8)])) + np.uint64(0xD6E8FEB86659FD93))
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of a slice of texts: hashes, byte starts and ends in ``data``, and ``at``: first word of each text."""
 
@@ -56,10 +63,7 @@ class Words:
             after[-1] = True
             after[:-1] = ~word[1:]
         self.ends = np.flatnonzero(word & (after | edge[1:])) + 1
-        power, inverse = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_FOLD if fold else _PLAIN)[data] * power[:n], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        self.hashes = word_hashes(_FOLD[data] if fold else data, self.starts, self.ends)
         self.at = np.searchsorted(self.starts, offsets)
 
     def grams(self, k: int) -> np.ndarray:
