@@ -1,14 +1,22 @@
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from carelane.llm import packing, source_mixing, toxicity
 from carelane.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import DOCS
+from tests.llm.test_jaccard import brute as all_pairs
+from tests.llm.test_mixing_packing import brute_mix
+from tests.llm.test_substring import brute as all_units
 
 
 def test_names():
-    assert [k.split("_")[0] for k in QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"]
+    assert [k.split("_")[0] for k in QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"]
     assert not set(ORACLE_SQL) - set(QUERIES)
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "source_mixing", "best_fit_packing"]
 
@@ -59,6 +67,87 @@ def test_stages_take_effect(spark, tmp_path):
     assert run.count() == len(seen["best_fit_packing"])
 
 
+def rejected_by_brute_force(model, texts):
+    """Places of the texts that the model's margins and their share reject; the weights are the model's, the rest is plain."""
+
+    def margin(text):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        found = {zlib.crc32(x.encode()) % (1 << toxicity.BITS) for w in words for x in ("w" + w, "4" + w[:4], "5" + w[:5])}
+        return model.bias + sum(float(model.weights[f]) for f in found)
+
+    margins, bins = [margin(t) for t in texts], {}
+    for z in margins:
+        bins.setdefault(math.floor(max(-40.0, min(40.0, z)) * toxicity.BINS_A_UNIT), []).append(z)
+    ordered = [bins[b] for b in sorted(bins, reverse=True)]
+    above = [sum(map(len, ordered[:k])) for k in range(len(ordered) + 1)]
+    at = min(range(len(above)), key=lambda k: (abs(above[k] - model.prior * len(margins)), k))
+    assert 0 < at < len(ordered)
+    return {i for i, z in enumerate(margins) if z > max(ordered[at])}
+
+
+def test_stages_in_turn_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before it kept. Texts are shorter than a passage window, so units are lines,
+    paragraphs and texts."""
+    rng = random.Random(12)
+    lines = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 8))) for _ in range(500)]
+    texts = ["\n".join(rng.choice(lines) if rng.random() < 0.3 else " ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(0, 5))) for _ in range(260)]
+    rows = [(i, t + (" zorgscum vexfool" if i % 6 == 0 else ""), f"s{i % 3 if i % 2 else 0}") for i, t in enumerate(texts)]
+    rows += [(1000 + k, rows[k][1] if k % 2 else rows[k][1] + " v1", "s2") for k in range(0, 120, 3)] + [(2000, None, "s1"), (2001, "", None)]
+    write(spark, tmp_path, rows, [(i, 1, int(i % 6 == 0)) for i in range(200)])
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def kept(name):
+        stages[name](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    by_id = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    out = rejected_by_brute_force(model, [t for _, t, _ in rows])
+    docs = kept("toxicity")
+    assert by_id(docs) == {r[0]: r[1] for k, r in enumerate(rows) if k not in out} and out
+
+    now = by_id(docs)
+    classes = all_pairs(sorted(now.items()), 5, 80)
+    first = {}
+    for d, n, least, _ in classes:
+        first[d if n == 0 else least] = min(first.get(d if n == 0 else least, d), d)
+    docs = kept("ngram_jaccard_join")
+    assert by_id(docs) == {d: now[d] for d in first.values()} and len(first) < len(now) - 10
+
+    want = all_units(sorted(by_id(docs).items()))
+    words = {d: len((t or "").split()) for d, t in by_id(docs).items()}
+    docs = kept("substring_dedup")
+    assert by_id(docs) == {d: text for d, (text, _, gone) in want.items() if not gone or gone < words[d]}
+    assert any(gone for _, _, gone in want.values())
+
+    tokens = Counter()
+    for r in docs.collect():
+        tokens[r["source"]] += len((r["text"] or "").split())
+    sums = spark.createDataFrame([(str(x), n) for x, n in tokens.items()], "source string, tokens long")
+    exponent = source_mixing.solve_exponent(sums, source_mixing.MAX_REPEAT, None)
+    given = [n for n in tokens.values() if n]
+    budget = sum(n**exponent for n in given) / max(given) ** (exponent - 1)
+    times = Counter(d for d, _ in brute_mix(docs, exponent, budget, source_mixing.BLOCK_TOKENS).elements())
+    docs = kept("source_mixing")
+    assert Counter(r["doc_id"] for r in docs.collect()) == times and max(times.values()) == 2
+
+    named = sorted({(r["doc_id"], r["text"]) for r in docs.collect()})
+    cluster = {d: None if text is None else least for (d, text), (_, _, least, _) in zip(named, all_pairs(named, 5, 80), strict=True)}
+    docs = kept("best_fit_packing")
+    packed, bins = Counter(), {}
+    for r in docs.collect():
+        packed[r["doc_id"]] += r["length"]
+        assert r["cluster"] == cluster[r["doc_id"]]
+        bins.setdefault(r["bin"], []).append(r)
+    assert {d: packed[d] for d in times} == {d: times[d] * len((t or "").split()) for d, t in named}
+    for own in bins.values():
+        assert sum(r["length"] for r in own) <= packing.CAPACITY
+        for kind in ("source", "cluster"):
+            there = [r[kind] for r in own if r[kind] is not None]
+            assert len(there) == len(set(there))
+
+
 def test_odd_rows_pass_all_stages(spark, odd, tmp_path):
     plain = odd.where("doc_id is null or doc_id <> 10")
     long = spark.createDataFrame([(20, " ".join(f"n{k}" for k in range(40_000)), "en", None, 1)], DOCS)
