@@ -18,7 +18,7 @@ from carelane.operators.commits import CommittedTable, lookup_layout
 from carelane.operators.text_index import TextIndex
 from carelane.plans import views
 from carelane.sources import literals, tables
-from carelane.sources.person import signed_in_rows
+from carelane.sources.person import session_rows, signed_in_rows
 from carelane.sources.schema import schema_of
 from carelane.streaming import messages as S
 from carelane.streaming import sinks
@@ -437,6 +437,11 @@ _PEOPLE = """people as (select s_suppkey id, s_name as name, 'd' || s_suppkey ||
  union all select c_custkey + 1000000, c_name, 'p' || c_custkey || '@example.com', 'user' from customer)"""
 
 
+def _database_name(folder: str) -> str:
+    """A name of its own for a work folder's database."""
+    return f"carelane_{folder.rsplit('-', 1)[-1]}"
+
+
 def _declared_people(spark, d):
     """Suppliers and customers as the declared table of users, under a folder of its own."""
     folder = work_folder(spark)
@@ -463,11 +468,35 @@ def role_patients(spark, d):
 
 @query(f"with {_PEOPLE} select role, count(*) as n, min(name) as first_name from people group by role")
 def catalog_views(spark, d):
+    """SQL over a catalog database: declared tables, and views of roles."""
+    folder = _declared_people(spark, d)
+    db = tables.publish(spark, _database_name(folder), f"{folder}/db", {"users": tables.declared(spark, folder, "users")}, 4)
+    return spark.sql(f"select role, count(*) as n, min(name) as first_name from (select * from {db}.doctors union all select * from {db}.patients) group by role")
+
+
+@query(f"with {_PEOPLE} select role, count(*) as n, min(name) as first_name from people group by role")
+def session_views(spark, d):
     """SQL over registered views of declared tables and of roles."""
     tables.register(spark, _declared_people(spark, d), ("users",))
     return spark.sql("select role, count(*) as n, min(name) as first_name from (select * from doctors union all select * from patients) group by role")
 
 
+@query(f"with {_MSG} select least(sender_id, receiver_id) as a, greatest(sender_id, receiver_id) as b, count(*) as n, max(id) as last_id from msg group by 1, 2")
+def catalog_pairs(spark, d):
+    """Messages of a catalog database, counted by the unordered pair that they are bucketed by."""
+    folder = work_folder(spark)
+    mail = writes.as_declared(_mail(spark, d), "messages")
+    db = tables.publish(spark, _database_name(folder), folder, {"messages": mail}, 4)
+    return spark.sql(f"select a, b, count(*) as n, max(id) as last_id from {db}.messages group by a, b")
+
+
+@query(f"with {_PEOPLE} select id, name, email, role from people")
+def stored_sessions(spark, d):
+    """People sign in: what their sessions store is read back as the same people."""
+    users = tables.declared(spark, _declared_people(spark, d), "users")
+    return signed_in_rows(session_rows(users)).select(F.col("id").cast("long").alias("id"), "name", "email", "role")
+
+
 @query(f"with {_PEOPLE} select email, count(*) as n, count(*) as n_ids from (select email from people union all select 'new' || x || '@example.com' from range(3) t(x)) group by email")
 def inserted_people(spark, d):
     """Existing people and three new ones are inserted, twice: each email stays one row, each with an id of its own."""
@@ -532,7 +561,7 @@ def indexed_lookup(spark, d):
 def bucketed_join(spark, d):
     """People and appointments as tables of a database, bucketed by the person: joined and counted where they lie."""
     folder = work_folder(spark)
-    db = tables.database(spark, f"carelane_{folder.rsplit('-', 1)[-1]}", folder)
+    db = tables.database(spark, _database_name(folder), folder)
     tables.save_bucketed(tables.patients(spark, d).select("id", "name"), db, "patients", ["id"], 4)
     tables.save_bucketed(tables.appointments(spark, d).select("user_id", "doctor_id"), db, "appointments", ["user_id"], 4)
     return spark.sql(f"select p.id, p.name, count(*) as visits, count(distinct doctor_id) as doctors from {db}.patients p join {db}.appointments a on a.user_id = p.id group by p.id, p.name")

@@ -51,3 +51,9 @@ def session_values(person: Person | None) -> dict[str, str]:
     if person is None:
         return {}
     return dict(zip(KEYS, ("true", person.role, str(person.id), person.name, person.email), strict=True))
+
+
+def session_rows(people: DataFrame) -> DataFrame:
+    """What sessions store for people (id, name, email, role): a string column for each of the keys."""
+    values = (F.lit("true"), F.col("role"), F.col("id").cast("string"), F.col("name"), F.col("email"))
+    return people.select(*[v.alias(k) for k, v in zip(KEYS, values, strict=True)])

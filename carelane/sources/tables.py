@@ -46,6 +46,25 @@ def save_bucketed(rows: DataFrame, database: str, name: str, keys: list[str], bu
     rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(f"`{database}`.`{name}`")
 
 
+#: The keys that the tables of a database are bucketed by: people and what is theirs by the person, messages by the pair.
+LAYOUT = {"users": ["id"], "appointments": ["user_id"], "messages": ["a", "b"], "doctor_details": ["user_id"], "admin_logs": ["admin_id"], "doctor_logs": ["doctor_id"]}
+
+
+def publish(spark: SparkSession, name: str, folder: str, snapshots: dict[str, DataFrame], buckets: int) -> str:
+    """Declared tables, as they are now, as bucketed tables of a catalog database, with the role views ``doctors`` and
+    ``patients`` where there are users; the database's name. A table that is there already is replaced."""
+    database(spark, name, folder)
+    for table, rows in snapshots.items():
+        if table == "messages":
+            rows = rows.select("*", F.least("sender_id", "receiver_id").alias("a"), F.greatest("sender_id", "receiver_id").alias("b"))
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`.`{table}`")
+        save_bucketed(rows, name, table, LAYOUT[table], buckets)
+    if "users" in snapshots:
+        for view, role in (("doctors", "doctor"), ("patients", "user")):
+            spark.sql(f"CREATE OR REPLACE VIEW `{name}`.`{view}` AS SELECT * FROM `{name}`.users WHERE role = '{role}'")
+    return name
+
+
 def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

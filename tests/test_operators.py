@@ -10,7 +10,7 @@ from carelane.operators import relations as R
 from carelane.operators import writes
 from carelane.sources import tables
 from carelane.sources.literals import SPECIALTY_FILTERS, literal
-from carelane.sources.person import KEYS, Person, session_values, signed_in, signed_in_rows
+from carelane.sources.person import KEYS, Person, session_rows, session_values, signed_in, signed_in_rows
 from carelane.sources.schema import DDL, schema_of
 from carelane.streaming.folders import work_folder
 
@@ -222,3 +222,24 @@ def test_session_rows_are_as_single_sessions(spark):
     want = [p for p in map(signed_in, some) if p]
     assert sorted(map(tuple, signed_in_rows(rows).collect())) == sorted((p.id, p.name, p.email, p.role) for p in want)
     assert len(want) == 2
+
+
+def test_stored_sessions_are_as_single_ones(spark):
+    people = [(3, "Ann", "a@x", "user"), (5, "Bob", "b@x", "doctor"), (7, "", "c@x", "admin")]
+    stored = session_rows(spark.createDataFrame(people, "id long, name string, email string, role string"))
+    assert [r.asDict() for r in stored.collect()] == [session_values(Person(*p)) for p in people]
+    assert [tuple(r) for r in signed_in_rows(stored).collect()] == people[:2]
+
+
+def test_published_tables(spark, tmp_path):
+    users = spark.createDataFrame([(1, "D", "d@x", None, "doctor"), (2, "P", "p@x", None, "user")], "id long, name string, email string, password string, role string")
+    mail = spark.createDataFrame([(1, 2, 1, "a"), (2, 1, 2, "b"), (3, 1, 1, "c")], "id long, sender_id long, receiver_id long, message string")
+    for _ in range(2):  # the second time in place of the first
+        db = tables.publish(spark, "carelane_published", f"file://{tmp_path}/db", {"users": writes.as_declared(users, "users"), "messages": writes.as_declared(mail, "messages")}, 3)
+    try:
+        assert [tuple(r) for r in spark.sql(f"select d.name, p.name from {db}.doctors d, {db}.patients p").collect()] == [("D", "P")]
+        pairs = spark.sql(f"select a, b, count(*) n from {db}.messages group by a, b")
+        assert sorted(tuple(r) for r in pairs.collect()) == [(1, 1, 1), (1, 2, 2)]
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("drop database carelane_published cascade")
