@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, materialise, table
+from .common import encode, materialise, shards_of, shuffle_partitions, table
 from .pretokens import WordEndPreTokens, piece_count
 
 #: Bounds of a block: bytes of text and documents.
@@ -137,7 +137,10 @@ def piece_replies(listed: DataFrame, path: str, hold: int = 1_000_000) -> DataFr
         if held:
             yield flush()
 
-    together = listed.select("owner", "k", "pre").repartition("pre").sortWithinPartitions("pre")
+    # Adaptive execution joins small partitions and never adds any: a large input says how many it needs.
+    needed = shards_of(listed)
+    parts = [needed] if needed > shuffle_partitions(listed.sparkSession) else []
+    together = listed.select("owner", "k", "pre").repartition(*parts, "pre").sortWithinPartitions("pre")
     return together.mapInArrow(run, "owner long, k binary, pieces binary")
 
 

@@ -3,14 +3,19 @@
 Confirmed toxic examples (P) and unlabelled text (U) train linear numpy classifiers on hashed word
 features under the non-negative risk estimator ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``
 (logistic loss). Of the labels only toxic ones are examples; the others count in the class prior (the share
-of toxic labels), which corrects the risk and places the decision. Fitting happens on the driver over a sample
-whose rows are bounded by parameters. One pass over all whole texts writes their margins with weights of a
-fixed size; the decision lies where the share of all texts above it is the class prior.
+of toxic labels), which corrects the risk and places the decision.
+
+U is all text outside the held-out fold. One pass counts in how many of these texts each feature occurs, which
+chooses the features that enter; classifiers that are fitted on the driver, to a sample whose rows are bounded by
+parameters, are only where the descent begins: its last steps go down the risk over all texts, as sums over the
+tasks (whole numbers, so that their order changes nothing) of texts reduced to the features that entered.
+One more pass over all whole texts writes their margins with weights of a fixed size; the decision lies where the
+share of all texts above it is the class prior.
 
 Defined results: null and empty texts have no features and get the margin of the bias alone; repeated
 rows get equal scores; of the rows of one doc_id at most one is an example (the one of least text hash); an
 empty table gives no rows; without any positive example every score is ``prior`` (0 when there are no labels).
-Columns of other names pass through untouched.
+Columns of other names pass through untouched; kept columns with the names of results give way to these.
 """
 
 from __future__ import annotations
@@ -25,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, table
+from .common import held_out, materialise, release, table
 
 #: Bounds of the fitting sample (rows), the fixed width of the model, and the optimiser.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 BITS = 18
 EPOCHS, BATCH, RATE, DECAY, SEEDS = 40, 512, 0.02, 5e-4, (1, 2, 3, 4, 5)
+#: Steps down the risk over all texts, and the unit in which sums of them are counted.
+FULL_STEPS, UNIT = 4, 1 << 24
 #: A feature enters when this share of the positive texts has it (two of them at least, and no more than
 #: ``MOST_ASKED`` are asked for), its share in P exceeds that in U by this many deviations, and this part of its
 #: share in U is what the prior lets positive texts have there.
@@ -50,10 +57,10 @@ def word_features(word: str, bits: int) -> tuple[int, ...]:
 
 
 class Featuriser:
-    """Distinct hashed features of whole texts, with a bounded memory of words."""
+    """Distinct hashed features of whole texts, all or those that ``only`` marks, with a bounded memory of words."""
 
-    def __init__(self, bits: int, keep: int = 400_000):
-        self.bits, self.keep, self.known = bits, keep, {}
+    def __init__(self, bits: int, only: np.ndarray | None = None, keep: int = 400_000):
+        self.bits, self.only, self.keep, self.known = bits, only, keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = set(_WORD.findall((text or "").lower()))
@@ -64,8 +71,10 @@ class Featuriser:
         for w in words:
             f = known.get(w)
             if f is None:
-                f = known[w] = word_features(w, self.bits)
-            out.update(f)
+                f = word_features(w, self.bits)
+                f = known[w] = f if self.only is None else tuple(x for x in f if self.only[x])
+            if f:
+                out.update(f)
         return np.fromiter(out, dtype=np.int32, count=len(out))
 
 
@@ -89,40 +98,49 @@ def nnpu_risk(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[float, np
     When the corrected negative part is below zero, the gradient turns against it (its sign flips),
     which is what keeps flexible classifiers from driving that part ever lower.
     """
+    sig = 1.0 / (1.0 + np.exp(-np.clip(unl, -40, 40)))
+    n_u = max(len(unl), 1)
+    risk, g_pos, sign = nnpu_parts(pos, np.logaddexp(0.0, unl).sum() / n_u, prior)
+    return risk, g_pos, sign * sig / n_u
+
+
+def nnpu_parts(pos: np.ndarray, unlabelled: float, prior: float) -> tuple[float, np.ndarray, float]:
+    """As ``nnpu_risk``, from the unlabelled texts' mean loss as negatives; in place of their gradients the sign of these."""
     soft = lambda z: np.logaddexp(0.0, z)
     sig = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
-    n_p, n_u = max(len(pos), 1), max(len(unl), 1)
+    n_p = max(len(pos), 1)
     positive = prior * soft(-pos).sum() / n_p
-    negative = soft(unl).sum() / n_u - prior * soft(pos).sum() / n_p
+    negative = unlabelled - prior * soft(pos).sum() / n_p
     if negative < 0:
-        return positive, prior * sig(pos) / n_p, -sig(unl) / n_u
-    g_pos = -prior * sig(-pos) / n_p - prior * sig(pos) / n_p
-    return positive + negative, g_pos, sig(unl) / n_u
+        return positive, prior * sig(pos) / n_p, -1.0
+    return positive + negative, -prior * sig(-pos) / n_p - prior * sig(pos) / n_p, 1.0
 
 
-def enriched(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, dim: int) -> np.ndarray:
-    """Which features confirmed toxic texts have far more often than unlabelled ones.
+def enriched(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, prior: float) -> np.ndarray:
+    """Which features confirmed toxic texts have far more often than unlabelled ones, by the texts of each that have them.
 
     A feature of toxic texts alone is in U as often as in P times the prior; most of that is asked for.
     """
-    in_p = np.bincount(np.concatenate(pos), minlength=dim)
-    share = (np.bincount(np.concatenate(unl), minlength=dim) + 1) / (len(unl) + 2)
-    z = (in_p - len(pos) * share) / np.sqrt(len(pos) * share * (1 - share) + 1e-12)
-    asked = min(MOST_ASKED, max(2, int(np.ceil(LEAST_TEXTS * len(pos)))))
-    return (in_p >= asked) & (z >= LEAST_Z) & (prior * in_p >= LEAST_SHARE * share * len(pos))
+    share = (in_u + 1) / (n_u + 2)
+    z = (in_p - n_p * share) / np.sqrt(n_p * share * (1 - share) + 1e-12)
+    asked = min(MOST_ASKED, max(2, int(np.ceil(LEAST_TEXTS * n_p))))
+    return (in_p >= asked) & (z >= LEAST_Z) & (prior * in_p >= LEAST_SHARE * share * n_p)
+
+
+def clipped(prior: float) -> float:
+    return float(np.clip(prior, *PRIOR_RANGE))
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int = BITS, seeds=SEEDS) -> Model:
-    """Train one classifier per seed with Adam on nnPU batches and average them."""
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], kept: np.ndarray, prior: float, bits: int = BITS, seeds=SEEDS) -> Model:
+    """Train one classifier per seed with Adam on nnPU batches and average them, over texts as lists of features that are kept."""
     dim = 1 << bits
-    prior = float(np.clip(prior, *PRIOR_RANGE)) if pos else 0.0
+    prior = clipped(prior) if pos else 0.0
     if not pos or not unl:
         bias = -40.0 if prior == 0 else float(np.log(prior / (1 - prior)))
         return Model(np.zeros(dim, dtype=np.float32), bias, bits)
-    kept = enriched(pos, unl, prior, dim)
     # Only the features that enter are numbered, so that a step's work follows their count.
     number, width = np.cumsum(kept) - 1, max(1, int(kept.sum()))
-    pos, unl = [number[f[kept[f]]] for f in pos], [number[f[kept[f]]] for f in unl]
+    pos, unl = [number[f] for f in pos], [number[f] for f in unl]
     total, bias_total = np.zeros(width), 0.0
     steps = max(1, -(-len(unl) // BATCH))
     per_p = max(1, min(len(pos), -(-len(pos) // steps)))
@@ -157,6 +175,90 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, bits: int =
     return Model(weights, bias, bits, prior)
 
 
+def feature_counts(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """In how many texts of a one-column table each feature occurs, and how many texts there are; tasks send their own sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, count, parts, held, n = Featuriser(bits), np.zeros(1 << bits, np.int64), [], 0, 0
+        for batch in batches:
+            for t in batch.column(0):
+                parts.append(make(t.as_py()))
+                held, n = held + len(parts[-1]), n + 1
+                if held >= 2_000_000:
+                    count += np.bincount(np.concatenate(parts), minlength=len(count))
+                    parts, held = [], 0
+        if parts:
+            count += np.bincount(np.concatenate(parts), minlength=len(count))
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"f": pa.array(np.append(at, -1).astype(np.int32)), "n": pa.array(np.append(count[at], n))})
+
+    got = texts.mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** bits + 1 rows
+    out = np.zeros((1 << bits) + 1, np.int64)
+    out[got["f"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def reduced(texts: DataFrame, kept: np.ndarray, bits: int) -> DataFrame:
+    """Texts of a one-column table as sorted lists of the numbers of their features that are kept, each with how often it
+    occurs, as a table; most texts share the empty one."""
+    shared = texts.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = shared.value
+        make, number = Featuriser(bits, only), np.cumsum(only) - 1
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"f": pa.array([np.sort(number[make(t.as_py())]) for t in batch.column(0)], pa.list_(pa.int32()))})
+
+    return materialise(texts.mapInArrow(run, "f array<int>").groupBy("f").agg(F.count("*").alias("n")))
+
+
+def unlabelled_sums(lists: DataFrame, w: np.ndarray, b: float) -> tuple[int, float, float, np.ndarray]:
+    """Over all unlabelled texts: their number, the sum of their losses as negatives, and its gradients by bias and weights."""
+    shared = lists.sparkSession.sparkContext.broadcast((w, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = shared.value
+        total = np.zeros(len(w) + 3, np.int64)  # by weight, then bias, loss, texts
+        for batch in batches:
+            f, n = batch.column(0), batch.column(1).to_numpy()
+            sizes = np.asarray(f.value_lengths())
+            flat = f.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(n)), sizes)
+            z = b + np.bincount(owner, weights=w[flat], minlength=len(n))
+            pull = np.rint(UNIT / (1 + np.exp(-np.clip(z, -40, 40)))).astype(np.int64) * n
+            np.add.at(total, flat, pull[owner])
+            total[len(w) :] += pull.sum(), (np.rint(UNIT * np.logaddexp(0.0, z)).astype(np.int64) * n).sum(), n.sum()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(at.astype(np.int32)), "v": pa.array(total[at])})
+
+    got = lists.mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()  # a row a kept feature
+    out = np.zeros(len(w) + 3)
+    for r in got:
+        out[r["k"]] = float(r["v"])
+    return int(out[-1]), out[-2] / UNIT, out[-3] / UNIT, out[: len(w)] / UNIT
+
+
+def refine(model: Model, pos: list[np.ndarray], lists: DataFrame, kept: np.ndarray, steps: int = FULL_STEPS) -> Model:
+    """Go on down the nnPU risk of the positive examples and all unlabelled texts, by whole gradients."""
+    number, at, prior = np.cumsum(kept) - 1, np.flatnonzero(kept), model.prior
+    pos = [number[f] for f in pos]
+    flat, owner = np.concatenate(pos), np.repeat(np.arange(len(pos)), [len(f) for f in pos])
+    w, b = model.weights[at].astype(np.float64), model.bias
+    m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
+    for t in range(1, steps + 1):
+        n, loss, by_bias, by_weight = unlabelled_sums(lists, w, b)
+        z = b + np.bincount(owner, weights=w[flat], minlength=len(pos))
+        _, g_p, sign = nnpu_parts(z, loss / n, prior)
+        grad, gb = np.bincount(flat, weights=g_p[owner], minlength=len(w)) + sign * by_weight / n, g_p.sum() + sign * by_bias / n
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        rate = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        w, b = w - rate * m / (np.sqrt(v) + 1e-6) - DECAY * w, b - rate * mb / (np.sqrt(vb) + 1e-6)
+    weights = np.zeros_like(model.weights)
+    weights[at] = w
+    return Model(weights, float(b), model.bits, prior)
+
+
 def with_margins(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame, str]:
     """``keep`` columns of every row and the margin of its whole text, written once; and the margin's name."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.bits))
@@ -169,7 +271,7 @@ def with_margins(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, width = shared.value
-        own, make = Model(weights, bias, width), Featuriser(width)
+        own, make = Model(weights, bias, width), Featuriser(width, weights != 0)
         for batch in batches:
             texts = batch.column(1) if at is None else batch.column(0).field(at)
             z = pa.array([own.margin(make(t.as_py())) for t in texts], pa.float64())
@@ -208,9 +310,10 @@ def prior_cut(bins: list[tuple[int, float, float]], prior: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, bits: int = BITS) -> Model:
-    """Fit on bounded samples: toxic-labelled rows outside the held-out fold, and any other text outside it.
+    """Begin on bounded samples, toxic-labelled rows outside the held-out fold and other texts outside it; go on over all of these.
 
-    The samples are the doc_ids of smallest hash, one row of each; texts become feature lists on the executors.
+    The samples are the doc_ids of smallest hash, one row of each; texts become lists of the features that enter
+    on the executors.
     """
     train_labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     share = train_labels.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"] or 0.0
@@ -221,19 +324,33 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     # At most max_positive + max_unlabelled ids: a proven size for the broadcast.
     found = docs.select("doc_id", "text").join(F.broadcast(chosen_p.unionByName(chosen_u)), "doc_id")
     # One row of each id, so that the bounds hold for rows, too; repeats go in the partial aggregate.
-    sample = found.groupBy("kind", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("kind", F.xxhash64("doc_id").alias("h"), "text")
+    sample = materialise(found.groupBy("kind", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("kind", F.xxhash64("doc_id").alias("h"), "text"))
+    in_p, n_p = feature_counts(sample.where("kind = 1").select("text"), bits)
+    if not n_p:
+        release(sample)
+        return fit([], [], np.zeros(1 << bits, bool), share, bits)
+    unlabelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("text")
+    kept = enriched(in_p, n_p, *feature_counts(unlabelled, bits), clipped(share))
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featuriser(bits)
+        make = Featuriser(bits, shared.value)
         for batch in batches:
             x = batch.to_pydict()
             yield pa.RecordBatch.from_pydict({"kind": pa.array(x["kind"], pa.int32()), "h": pa.array(x["h"], pa.int64()), "f": pa.array([np.sort(make(t)) for t in x["text"]], pa.list_(pa.int32()))})
 
     got = sample.mapInArrow(features, "kind int, h long, f array<int>").toArrow().sort_by([("h", "ascending")])
+    release(sample)
     kinds, feats = got["kind"].to_pylist(), got["f"]
     lists = [np.asarray(x.values, dtype=np.int32) for x in feats]
     pos, unl = ([f for f, k in zip(lists, kinds, strict=True) if k == kind] for kind in (1, 0))
-    return fit(pos, unl, share, bits)
+    model = fit(pos, unl, kept, share, bits)
+    if not kept.any() or model.prior is None:
+        return model
+    every = reduced(unlabelled, kept, bits)
+    model = refine(model, pos, every, kept)
+    release(every)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -241,7 +358,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     The decision (0.5) is placed by the margins of all of ``docs``.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("score", "predicted")]
     scored, name = with_margins(docs, model, keep)
     z = F.greatest(F.least(F.col(name) - decision(scored, name, model), F.lit(40.0)), F.lit(-40.0))
     out = scored.withColumn(name, 1.0 / (1.0 + F.exp(-z)))

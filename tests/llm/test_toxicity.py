@@ -148,3 +148,48 @@ def test_cut_parts_the_share_and_splits_no_bin():
     assert T.prior_cut(bins, 0.03) == (5.0 + 4.1) / 2
     assert T.prior_cut([(10, 1.0, 1.0)], 0.2) > 1.0
     assert T.prior_cut([], 0.2) == 0.0
+
+
+def test_the_descent_covers_all_unlabelled_texts(spark, docs_of):
+    """Sums over the tasks are those of all texts outside the held-out fold, whatever the sample and the partitions."""
+    rows, labels = corpus(300)
+    rows += [(1000 + k, "zorgfool same text") for k in range(50)] + [(2000, None), (2001, ""), (None, "vexscum no id")]
+    docs = docs_of(rows)
+    train = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5]
+    unlabelled = docs.where(F.col("doc_id").isNotNull() & ~T.held_out(F.col("doc_id"))).select("text")
+    counts, n = T.feature_counts(unlabelled.repartition(7), T.BITS)
+    make = T.Featuriser(T.BITS)
+    want = Counter(int(f) for t in train for f in make(t))
+    assert n == len(train) and {int(f): int(counts[f]) for f in np.flatnonzero(counts)} == want
+    kept = np.zeros(1 << T.BITS, bool)
+    kept[[f for f, _ in want.most_common(40)]] = True
+    rng = np.random.default_rng(1)
+    w, b, number = rng.normal(size=40), -0.3, np.cumsum(kept) - 1
+    got = [T.unlabelled_sums(T.reduced(unlabelled.repartition(p), kept, T.BITS), w, b) for p in (1, 5)]
+    assert got[0][:3] == got[1][:3] and np.array_equal(got[0][3], got[1][3])
+    lists = [number[[f for f in make(t) if kept[f]]] for t in train]
+    z = np.array([b + w[f].sum() for f in lists])
+    pull = 1 / (1 + np.exp(-z))
+    assert got[0][0] == len(train) and abs(got[0][1] - np.logaddexp(0, z).sum()) < 1e-4 and abs(got[0][2] - pull.sum()) < 1e-4
+    assert np.allclose(got[0][3], [sum(p for p, f in zip(pull, lists, strict=True) if k in f) for k in range(40)], atol=1e-4)
+
+
+def test_whole_gradients_lower_the_risk(spark, docs_of):
+    rows, labels = corpus(400)
+    docs = docs_of(rows)
+    model = T.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_unlabelled=20)
+    kept, make = model.weights != 0, T.Featuriser(T.BITS)
+    toxic = [np.array([f for f in make(t) if kept[f]]) for (i, t), (_, _, y) in zip(rows, labels, strict=True) if y and zlib.crc32(str(i).encode()) % 5]
+    every = T.reduced(docs.where(~T.held_out(F.col("doc_id"))).select("text"), kept, T.BITS)
+
+    def risk(m):
+        n, loss, _, _ = T.unlabelled_sums(every, m.weights[kept].astype(np.float64), m.bias)
+        return T.nnpu_parts(np.array([m.margin(f) for f in toxic]), loss / n, m.prior)[0]
+
+    start = T.Model(np.zeros_like(model.weights), -1.0, T.BITS, model.prior)
+    assert risk(T.refine(start, toxic, every, kept, 3)) < risk(start)
+
+
+def test_results_take_the_place_of_kept_columns(spark, docs_of):
+    got = T.score(docs_of([(1, "a")]).withColumn("score", F.lit("x")), T.Model(np.zeros(1 << 4, np.float32), 0.0, 4), ["doc_id", "score"])
+    assert got.columns == ["doc_id", "score", "predicted"] and got.first()["score"] == 0.5
