@@ -44,10 +44,14 @@ class Version:
 
 
 class CommittedTable:
-    """A table under ``path`` with a schema in DDL; rows without an id get one where there is an id column."""
+    """A table under ``path`` with a schema in DDL; rows without an id get one where there is an id column.
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str, id_column: str | None = "id", tries: int = 50):
-        self.spark, self.path, self.schema, self.tries = spark, path.rstrip("/"), StructType.fromDDL(ddl), tries
+    ``layout`` (arguments of ``lookup_layout``: order, bloom, files, ...) says how rows lie in the files of each append
+    and, if it is not told otherwise, after compaction.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ddl: str, id_column: str | None = "id", tries: int = 50, layout: dict | None = None):
+        self.spark, self.path, self.schema, self.tries, self.layout = spark, path.rstrip("/"), StructType.fromDDL(ddl), tries, layout or {}
         self.id_column = id_column if id_column in self.schema.names else None
 
     # Files
@@ -116,6 +120,12 @@ class CommittedTable:
     def _shaped(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields])
 
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        if self.layout:
+            lookup_layout(rows, f"{self.path}/{folder}", **self.layout)
+        else:
+            rows.write.parquet(f"{self.path}/{folder}")
+
     def _staged(self, rows: DataFrame, high: int) -> tuple[str, int, int]:
         """Folder, number of rows and greatest id of rows that are written but in no version yet.
 
@@ -126,7 +136,7 @@ class CommittedTable:
         folder, draft = f"data-{uuid.uuid4().hex}", f"_draft-{uuid.uuid4().hex}"
         shaped = self._shaped(rows)
         if self.id_column is None:
-            shaped.write.parquet(f"{self.path}/{folder}")
+            self._write(shaped, folder)
             return folder, self.spark.read.parquet(f"{self.path}/{folder}").count(), high
         given = F.col(self.id_column)
         shaped.withColumn("__at", F.monotonically_increasing_id()).write.parquet(f"{self.path}/{draft}")
@@ -142,7 +152,7 @@ class CommittedTable:
             before = self.spark.createDataFrame(offsets, "__part long, __before long")
             place = F.col("__at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
             written = written.join(before, "__part").withColumn(self.id_column, F.coalesce(given, F.lit(high + 1) + F.col("__before") + place).cast(self.schema[self.id_column].dataType))
-        written.select(*self.schema.names).write.parquet(f"{self.path}/{folder}")
+        self._write(written.select(*self.schema.names), folder)
         self._delete(draft)
         return folder, total, high + (total if sum(r["own"] for r in counts) < total else 0)
 
@@ -186,15 +196,15 @@ class CommittedTable:
         """
         return self._add(lambda now: insert_absent(self.read(now), new, key))
 
-    def compact(self, files: int = 1, order: list[str] | None = None, bloom: tuple[str, ...] = (), reduce: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        """Rewrite all rows as one folder of ``files`` files, in ranges of ``order`` (else of the id), with Bloom filters of
-        some columns; ``reduce`` may leave out rows that others replace. What others append meanwhile stays."""
+    def compact(self, reduce: Callable[[DataFrame], DataFrame] | None = None, **layout) -> None:
+        """Rewrite all rows as one folder, laid out as the table's appends or as told (else in ranges of the id);
+        ``reduce`` may leave out rows that others replace. What others append meanwhile stays."""
         before = self.version()
         if not before.folders:
             return
-        rows, by = self.read(before), order or ([self.id_column] if self.id_column else [])
-        folder = f"data-{uuid.uuid4().hex}"
-        lookup_layout(reduce(rows) if reduce else rows, f"{self.path}/{folder}", by, bloom, files)
+        rows, folder = self.read(before), f"data-{uuid.uuid4().hex}"
+        how = {"order": [self.id_column] if self.id_column else []} | self.layout | layout
+        lookup_layout(reduce(rows) if reduce else rows, f"{self.path}/{folder}", **how)
         for _ in range(self.tries):
             now = self.version()
             if now.folders[: len(before.folders)] != before.folders:

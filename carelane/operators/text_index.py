@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelane.operators.commits import lookup_layout
+from carelane.operators.commits import CommittedTable
 from carelane.operators.predicates import search
 
 SIZE = 3
@@ -28,32 +28,41 @@ def grams(text: Column) -> Column:
 
 
 class TextIndex:
-    """An index of some columns of a table by its key, under a folder: ``rows`` sorted by key, ``grams`` sorted by gram."""
+    """An index of some columns of a table (schema in DDL) by its key, under a folder: ``rows`` sorted by key, ``grams`` by gram.
 
-    def __init__(self, spark: SparkSession, path: str, key: str, columns: list[str], files: int = 1, group_bytes: int | None = None):
-        self.spark, self.path, self.key, self.columns, self.files, self.group_bytes = spark, path.rstrip("/"), key, columns, files, group_bytes
-        self.parts = 0
+    Both are committed tables. Postings are committed before their rows: until these are there, and if they never
+    come, what the postings name is not found among the rows.
+    """
 
-    def add(self, rows: DataFrame) -> None:
-        """Index further rows; each addition is a part of its own. Rows without a key are left out."""
+    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str, columns: list[str], files: int = 1, group_bytes: int | None = None):
+        self.spark, self.key, self.columns = spark, key, columns
+        how = {"files": files, "group_bytes": group_bytes}
+        self.table = CommittedTable(spark, f"{path}/rows", ddl, None, layout={"order": [key]} | how)
+        kind = self.table.schema[key].dataType.simpleString()
+        self.postings = CommittedTable(spark, f"{path}/grams", f"c int, gram string, key {kind}", None, layout={"order": ["gram", "c", "key"]} | how)
+
+    def add(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Index further rows, those of a batch (stream, number) once; rows without a key are left out; how many."""
         rows = rows.where(F.col(self.key).isNotNull())
-        postings = [rows.select(F.lit(i).alias("c"), F.explode(grams(F.col(c))).alias("gram"), F.col(self.key).alias("key")) for i, c in enumerate(self.columns)]
-        every = postings[0]
-        for more in postings[1:]:
-            every = every.unionByName(more)
-        lookup_layout(rows, f"{self.path}/rows/part={self.parts}", [self.key], (), self.files, group_bytes=self.group_bytes)
-        lookup_layout(every, f"{self.path}/grams/part={self.parts}", ["gram", "c", "key"], (), self.files, group_bytes=self.group_bytes)
-        self.parts += 1
+        every = F.array(*[F.struct(F.lit(i).alias("c"), grams(F.col(c)).alias("grams")) for i, c in enumerate(self.columns)])
+        by_column = rows.select(F.col(self.key).alias("key"), F.inline(every))
+        self.postings.append(by_column.select("key", "c", F.explode("grams").alias("gram")), batch)
+        return self.table.append(rows, batch)
+
+    def compact(self) -> None:
+        """Few files again after many additions; a posting that came twice is kept once."""
+        self.postings.compact(lambda rows: rows.distinct())
+        self.table.compact()
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows").drop("part")
+        return self.table.read()
 
     def candidates(self, term: str) -> DataFrame | None:
         """Keys of rows that have all grams of a term in one column; None for a term without a gram."""
         wanted = self.spark.range(1).select(grams(F.lit(term))).first()[0]  # as many as the term has characters
         if not wanted:
             return None
-        postings = self.spark.read.parquet(f"{self.path}/grams").where(F.col("gram").isin(wanted))
+        postings = self.postings.read().where(F.col("gram").isin(wanted))
         return postings.groupBy("c", "key").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("key").distinct()
 
     def search(self, term: str) -> DataFrame:

@@ -526,7 +526,7 @@ def sent_messages(spark, d):
     return sent.read().groupBy("sender_id", "receiver_id", "message", "is_read").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_MSG}, kept as (select * from msg where id % 7 <> 0) select sender_id, count(*) as n, count(*) as n_ids, 1 as low, (select count(*) from kept) as high from kept group by sender_id")
+@query(f"with {_MSG}, kept as (select * from msg where id % 7 <> 0) select sender_id, count(*) as n, count(*) as n_ids, 1::bigint as low, (select count(*) from kept) as high from kept group by sender_id")
 def stored_ids(spark, d):
     """Ids that the store makes in three appends: none missing, none twice, without gaps."""
     sent = writes.committed(spark, work_folder(spark), "messages")
@@ -540,10 +540,10 @@ def stored_ids(spark, d):
 @query("select p_partkey as id, p_name as name from part where contains(lower(p_name), lower('RED')) or contains(lower(coalesce(nullif(p_brand, 'Brand#2'), '')), lower('RED')) or contains(lower(p_type), lower('RED'))")
 def search_by_index(spark, d):
     """The search over three columns, by trigrams; the table came in two parts."""
-    index = TextIndex(spark, work_folder(spark), "id", ["name", "brand", "type"])
+    index = TextIndex(spark, work_folder(spark), "id bigint, name string, brand string, type string", "id", ["name", "brand", "type"])
     part = tables.star(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.nullif(F.col("p_brand"), F.lit("Brand#2")).alias("brand"), F.col("p_type").alias("type"))
-    for half in range(2):
-        index.add(part.where(F.col("id") % 2 == half))
+    for half in (0, 1, 1):  # the second part comes twice
+        index.add(part.where(F.col("id") % 2 == half), ("parts", half))
     return index.search("RED").select("id", "name")
 
 

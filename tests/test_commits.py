@@ -176,28 +176,58 @@ def test_search_by_index_is_search(spark, tmp_path):
     names = ["".join(rng.choice("abcÄß é") for _ in range(rng.randrange(0, 12))) for _ in range(400)]
     rows = [(i if i % 50 else None, x if i % 9 else None, "".join(rng.choice("abXY") for _ in range(6))) for i, x in enumerate(names)]
     df = spark.createDataFrame(rows, "id long, name string, other string")
-    index = TextIndex(spark, str(tmp_path), "id", ["name", "other"])
+    index = TextIndex(spark, str(tmp_path), "id bigint, name string, other string", "id", ["name", "other"])
     index.add(df.where("id % 2 = 0 or id is null"))
-    index.add(df.where("id % 2 = 1"))
+    # Another object goes on with it; one batch comes twice.
+    index = TextIndex(spark, str(tmp_path), "id bigint, name string, other string", "id", ["name", "other"])
+    for _ in range(2):
+        index.add(df.where("id % 2 = 1"), ("odd", 0))
     keyed = df.where("id is not null")
     for term in ["abc", "ABC", "äß ", "bab", "aaaa", "", "a", "xy", "é", "bcba", "xyxyx", "nowhere to be found", *(n[2:7] for n in names[:8])]:
         want = sorted(r["id"] for r in keyed.where(search(term, F.col("name"), F.col("other"))).collect())
         assert sorted(r["id"] for r in index.search(term).collect()) == want, term
+    index.compact()
+    assert sorted(r["id"] for r in index.search("bab").collect()) == sorted(r["id"] for r in keyed.where(search("bab", F.col("name"), F.col("other"))).collect())
+    assert len(index.table.version().folders) == len(index.postings.version().folders) == 1
+
+
+def test_postings_without_their_rows_name_nothing(spark, tmp_path):
+    """A writer that ends between the two commits, and does it again later."""
+    index = TextIndex(spark, str(tmp_path), PLAIN, "id", ["x"])
+    rows = spark.createDataFrame([(1, "zebra")], PLAIN)
+    append, index.table.append = index.table.append, lambda *_: 0
+    index.add(rows)
+    assert index.search("zebra").collect() == [] and index.candidates("zebra").count() == 1
+    index.table.append = append
+    assert index.add(rows) == 1
+    assert [tuple(r) for r in index.search("ZEB").collect()] == [(1, "zebra")]
+
+
+def test_appends_keep_the_layout(spark, tmp_path):
+    n = 20_000
+    people = spark.range(n).select("id", F.concat(F.lit("p"), F.xxhash64("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4)).alias("x")).repartition(3)
+    t = CommittedTable(spark, f"{tmp_path}/t", PLAIN, layout={"order": ["id"], "bloom": ("x",), "distinct": 2_000, "group_bytes": 300_000})
+    t.append(people.where("id < 15000"))
+    t.append(people.where("id >= 15000"))
+    wanted = people.where("id = 777").first()
+    for condition in (F.col("id") == 777, F.col("x") == wanted["x"]):
+        found = t.read().where(condition)
+        assert [tuple(r) for r in found.collect()] == [tuple(wanted)] and rows_scanned(found) < n / 4
 
 
 def test_the_index_reads_less_than_the_scan(spark, tmp_path):
     rows = spark.range(20_000).select("id", F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 256), 4), F.when(F.col("id") % 5_000 == 7, F.lit("zebra")).otherwise("")).alias("x"))
-    index = TextIndex(spark, str(tmp_path), "id", ["x"], files=4, group_bytes=100_000)
+    index = TextIndex(spark, str(tmp_path), PLAIN, "id", ["x"], files=4, group_bytes=100_000)
     index.add(rows)
     found = index.search("ZEBRA")
     assert sorted(r["id"] for r in found.collect()) == [7, 5_007, 10_007, 15_007]
     assert rows_scanned(found) < 20_000 / 2
-    assert rows_scanned(index.candidates("ZEBRA")) < spark.read.parquet(f"{tmp_path}/grams").count() / 10
+    assert rows_scanned(index.candidates("ZEBRA")) < index.postings.read().count() / 10
 
 
 def test_many_candidates_are_joined(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("carelane.operators.text_index.PUSHED_KEYS", 10)
-    index = TextIndex(spark, str(tmp_path), "id", ["x"])
+    index = TextIndex(spark, str(tmp_path), PLAIN, "id", ["x"])
     index.add(spark.range(300).select("id", F.concat(F.lit("name "), "id").alias("x")))
     assert index.search("NAME 1").count() == 111
 
