@@ -275,3 +275,35 @@ def repaired(rows: DataFrame) -> DataFrame:
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, after damage: what was wrong, the cheapest edits and the hash of what they give."""
     return repair(table(spark, sf_dir, "conversations"))
+
+
+#: The same by the least (cost, audit) of every suffix and automaton state, row by row from the end.
+SQL = r"""
+with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+h as (select *, xor(list_reduce(list_transform(string_split(key, ''), lambda ch: ord(ch)::bigint), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), 4294967295::bigint), 4294967295::bigint) % 20 as hit from k),
+d as (select conv_id, turn, case when hit = 4 then 'user' else role end as role, case hit when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when hit = 3 then 2 else 1 end)) as cp from h where hit <> 0),
+r as (select *, row_number() over (partition by conv_id, role, text order by i) as seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare
+ from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, cp) as i from d)),
+f as (select conv_id, turn, role, text, i, case when bare = '' then 1 when seen > 1 then 2 when right(bare, 1) not in ('.', '!', '?') then 3 else 0 end as fault, case left(role, 1) when 's' then 0 when 'u' then 1 when 'a' then 2 else 3 end as ini from r),
+n as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) as rows_, count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate, count(*) filter (where fault = 3) as truncated, count(*) filter (where before is not null and (before, ini) not in ((0, 1), (1, 2), (2, 1))) as illegal
+ from (select *, lag(ini) over (partition by conv_id order by i) as before from f) group by conv_id),
+g(conv_id, i, v) as (
+ select conv_id, rows_ + 1, [{'c': 0, 'a': ''}, {'c': 10, 'a': 'II'}, {'c': 5, 'a': 'I'}, {'c': 0, 'a': ''}] from n
+ union all
+ select conv_id, i, [list_min([w[1], {'c': 5 + w2.c, 'a': 'I' || w2.a}]), list_min([w[2], {'c': 5 + w2.c, 'a': 'I' || w2.a}]), w2, list_min([w[4], {'c': 5 + w[3].c, 'a': 'I' || w[3].a}])]
+ from (select *, list_min([w[3], {'c': 5 + w[4].c, 'a': 'I' || w[4].a}]) as w2
+  from (select conv_id, i, [list_min([d[1], u, s]), list_min([d[2], u]), list_min([d[3], a]), list_min([d[4], u])] as w
+   from (select f.conv_id, f.i, list_transform(v, lambda x: {'c': x.c + 2, 'a': 'D' || x.a}) as d,
+     {'c': v[3].c + more + case when ini = 1 then 0 else 1 end, 'a': case when ini = 1 then 'K' else 'R' end || v[3].a} as u,
+     {'c': v[4].c + more + case when ini = 2 then 0 else 1 end, 'a': case when ini = 2 then 'K' else 'R' end || v[4].a} as a,
+     {'c': v[2].c + more + case when ini = 0 then 0 else 1000000 end, 'a': 'K' || v[2].a} as s
+    from (select *, case fault when 0 then 0 when 3 then 5 else 1000000 end as more from f) f join g on f.conv_id is not distinct from g.conv_id and f.i = g.i - 1)))),
+best as (select conv_id, v[1].c as cost, v[1].a as audit from g where i = 1),
+l as (select conv_id, p, audit[p] as letter, length(replace(audit[1:p], 'I', '')) as i from (select *, unnest(range(1, len(audit) + 1)) as p from best)),
+o as (select l.conv_id, l.p, l.letter, f.role, f.text, f.ini, row_number() over (partition by l.conv_id order by l.p) as place from l left join f on f.conv_id is not distinct from l.conv_id and f.i = l.i and l.letter <> 'I' where l.letter <> 'D'),
+t as (select *, max(case when place = 1 and letter = 'K' and ini = 0 then 1 else 0 end) over (partition by conv_id) as led from o),
+m as (select conv_id, string_agg(case when letter = 'K' then role when (place - led) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by p) as made from t group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+ coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(made, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join best on best.conv_id is not distinct from c.conv_id left join m on m.conv_id is not distinct from c.conv_id
+"""

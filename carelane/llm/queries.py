@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .centroid_clustering import SQL as _CLUSTER_SQL
 from .centroid_clustering import op11_centroid_clustering
+from .conversation_repair import SQL as _REPAIR_SQL
 from .conversation_repair import op13_conversation_repair
 from .jaccard_join import op6_ngram_jaccard_join
 from .license_scan import SQL as _LICENSE_SQL
@@ -46,4 +47,4 @@ select s.doc_id, len(sh) as n_shingles, (select min(root) from r where r.doc_id
 """
 
 #: The other operators train classifiers, tokenize, hash or pack; SQL cannot state those results.
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD, "op11_centroid_clustering": _CLUSTER_SQL, "op12_license_scan": _LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": _JACCARD, "op11_centroid_clustering": _CLUSTER_SQL, "op12_license_scan": _LICENSE_SQL, "op13_conversation_repair": _REPAIR_SQL}

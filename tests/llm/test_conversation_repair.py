@@ -160,3 +160,16 @@ def test_types_of_ids(spark):
     rows = spark.createDataFrame([("x", 1, "user", "A."), ("x", 2, "assistant", "B."), (None, 1, "user", "C.")], "conv_id string, turn int, role string, text string")
     got = {r["conv_id"]: r for r in C.repair(rows).collect()}
     assert set(got) == {"x", None}
+
+
+def test_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+
+    rows = made_up(9, 200, 8)
+    spark.createDataFrame(rows, SHAPE).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = C.op13_conversation_repair(spark, str(tmp_path)).select("conv_id", *FIELDS).collect()
+    names = ", ".join(["conv_id", *FIELDS])
+    want = con.sql(f"select {names} from ({C.SQL})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 from carelane.llm import media_columns as M
 from carelane.llm import packing as P
 from carelane.llm import quality_rules as Q
-from carelane.llm.queries import QUERIES
+from carelane.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_quality import brute as plain_statistics
 from tests.llm.test_url_filters import parts, rule_of
 
@@ -130,3 +131,18 @@ def test_op10(spark, texts):
     assert most / least <= 2.0 + 1e-6
     places = Counter((r["doc_id"], r["epoch"]) for r in got)
     assert max(places.values()) == 1
+
+
+def shown(rows):
+    return sorted(tuple(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["op11_centroid_clustering", "op12_license_scan", "op13_conversation_repair"])
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = con.sql(ORACLE_SQL[name]).select(*columns).fetchall()
+    assert shown(got.select(*columns).collect()) == shown(want) and want
