@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 
 from carelane.operators.relations import insert_absent
 
+#: Where a table's versions are.
+VERSIONS = "_versions"
 #: Bits of a row's place in its partition (as ``monotonically_increasing_id`` lays them out).
 _PLACE_BITS = 33
 
@@ -41,6 +43,8 @@ class Version:
     high: int = 0
     #: By stream, the last batch that is in the table.
     batches: dict[str, int] = field(default_factory=dict)
+    #: The folder with the rows that this version adds to the one before; none after a compaction.
+    added: str | None = None
 
 
 class CommittedTable:
@@ -93,11 +97,12 @@ class CommittedTable:
 
     def version(self) -> Version:
         """The last version; before the first commit an empty one."""
-        numbers = [int(n.removesuffix(".json")) for n in self._names("_versions") if n[0].isdigit()]
-        return self._read_version(max(numbers)) if numbers else Version()
+        numbers = [int(n.removesuffix(".json")) for n in self._names(VERSIONS) if n[0].isdigit()]
+        return self.version_at(max(numbers)) if numbers else Version()
 
-    def _read_version(self, number: int) -> Version:
-        fs, at = self._at(f"_versions/{number:020d}.json")
+    def version_at(self, number: int) -> Version:
+        """A version that is still kept."""
+        fs, at = self._at(f"{VERSIONS}/{number:020d}.json")
         stream = fs.open(at)
         try:
             text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -106,11 +111,13 @@ class CommittedTable:
         return Version(**json.loads(text))
 
     def _commit(self, version: Version) -> bool:
-        return self._put_once(f"_versions/{version.number:020d}.json", json.dumps(version.__dict__))
+        return self._put_once(f"{VERSIONS}/{version.number:020d}.json", json.dumps(version.__dict__))
 
     def read(self, version: Version | None = None) -> DataFrame:
         """The rows of a version, else of the last one."""
-        folders = (version or self.version()).folders
+        return self.rows_of((version or self.version()).folders)
+
+    def rows_of(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
@@ -167,7 +174,7 @@ class CommittedTable:
             if not n and not batch:
                 self._delete(folder)
                 return 0
-            if self._commit(Version(now.number + 1, [*now.folders, *([folder] if n else [])], high if n else now.high, batches)):
+            if self._commit(Version(now.number + 1, [*now.folders, *([folder] if n else [])], high if n else now.high, batches, folder if n else None)):
                 if stored is not None:
                     stored.append(folder)
                 return n
@@ -215,14 +222,17 @@ class CommittedTable:
         raise ConflictError(f"{self.path}: compacted by another writer, or {self.tries} tries")
 
     def vacuum(self, keep_versions: int = 10, hours: float = 24.0) -> None:
-        """Delete all but the last versions, and folders that none of them lists and that are older than ``hours``."""
+        """Delete all but the last versions, and folders that none of them lists and that are older than ``hours``.
+
+        Readers of an older version, and streams (``streaming.sinks.inserts``), must not lag behind further than that.
+        """
         last = self.version().number
-        numbers = sorted(int(n.removesuffix(".json")) for n in self._names("_versions") if n[0].isdigit())
+        numbers = sorted(int(n.removesuffix(".json")) for n in self._names(VERSIONS) if n[0].isdigit())
         kept = [n for n in numbers if n > last - keep_versions]
-        listed = {f for n in kept for f in self._read_version(n).folders}
+        listed = {f for n in kept for f in self.version_at(n).folders}
         for n in numbers:
             if n not in kept:
-                self._delete(f"_versions/{n:020d}.json")
+                self._delete(f"{VERSIONS}/{n:020d}.json")
         for name, at in self._names("").items():
             if name.startswith(("data-", "_draft-")) and name not in listed and at < time.time() - 3600 * hours:
                 self._delete(name)

@@ -802,3 +802,22 @@ def stream_once(spark: SparkSession, d: str) -> DataFrame:
         S.deliver(S.all_messages(spark, f"{base}/in", None, _SHAPE), sinks.once(table, "mail", 2), f"{base}/state").awaitTermination()
     S.deliver(S.all_messages(spark, f"{base}/in", None, _SHAPE), sinks.once(table, "mail"), f"{base}/other").awaitTermination()
     return table.read().groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_MSG} select id, sender_id, receiver_id, message from msg where (sender_id = 17 and receiver_id = 139) or (sender_id = 139 and receiver_id = 17)")
+def stream_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation from the inserts into the messages table: those before it was opened, then each as it is committed,
+    with a compaction between them."""
+    base = work_folder(spark)
+    mail, seen = writes.committed(spark, base, "messages"), CommittedTable(spark, f"{base}/seen", _SHAPE.replace(" long", " bigint"))
+    rows = tables.messages(spark, d).select("id", "sender_id", "receiver_id", "message", F.col("ts").cast("timestamp").alias("timestamp"))
+    mail.append(rows.where("id % 3 = 0"))
+    live = sinks.inserts(mail, lambda new, k: sinks.once(seen, "chat")(new.where(_of_pair(17, 139)), k), f"{base}/state", "100 milliseconds")
+    live.processAllAvailable()
+    mail.append(rows.where("id % 3 = 1"))
+    mail.compact()
+    live.processAllAvailable()
+    mail.append(rows.where("id % 3 = 2"))
+    live.processAllAvailable()
+    live.stop()
+    return seen.read().select("id", "sender_id", "receiver_id", "message")

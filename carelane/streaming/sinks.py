@@ -1,4 +1,5 @@
-"""Where streams end: a committed table that holds each batch once, and the latest message of each pair."""
+"""Committed tables at the ends of streams: inserts as they are committed, tables that hold each batch once, the latest
+message of each pair."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from carelane.operators.commits import CommittedTable
+from carelane.operators.commits import VERSIONS, CommittedTable
 from carelane.operators.relations import pair_key
 
 #: A table of latest messages: the pair, then its message.
@@ -17,6 +18,25 @@ LATEST = "a bigint, b bigint, id bigint, message string, ts timestamp"
 ROUTED = "subscriber string, id bigint, sender_id bigint, receiver_id bigint, message string, timestamp timestamp"
 
 
+def inserts(table: CommittedTable, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Hand the rows of a table to a function, with a number: first those that are there, then those of each commit as it comes.
+
+    The stream's source are the table's versions, so rows that are not committed, or whose writer lost a race, never
+    show, and a compaction shows nothing new. A batch that comes again has the same number and the same rows.
+    """
+    versions = table.spark.readStream.schema("number long, added string").json(f"{table.path}/{VERSIONS}")
+
+    def on(batch: DataFrame, number: int) -> None:
+        come = batch.orderBy("number").collect()  # a row a commit
+        if number == 0 and come:
+            handle(table.read(table.version_at(come[-1]["number"])), number)
+        elif folders := [r["added"] for r in come if r["added"] is not None]:
+            handle(table.rows_of(folders), number)
+
+    writer = versions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def _add_once(table: CommittedTable, batch: DataFrame, own: tuple[str, int], shape: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """A batch is computed once, whatever the number of tries, and also when the table has it: its stream's state goes on by it."""
     batch = batch.persist()

@@ -81,3 +81,32 @@ def test_state_of_latest_is_a_row_a_pair(spark, tmp_path):
     query.awaitTermination()
     assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) == 2
     assert table.read().agg(F.count("*")).first()[0] == 2
+
+
+def test_inserts_show_what_is_committed(spark, tmp_path):
+    table = CommittedTable(spark, f"{tmp_path}/t", "id bigint, x string")
+    rows = lambda *xs: spark.createDataFrame([(None, x) for x in xs], "id bigint, x string")
+    seen = []
+    keep = lambda new, k: seen.append((k, sorted(r["x"] for r in new.collect())))
+    table.append(rows("a"))
+    table.append(rows("b"))
+    table._staged(rows("never committed"), 2)
+    live = sinks.inserts(table, keep, f"{tmp_path}/state", "50 milliseconds")
+    try:
+        live.processAllAvailable()
+        assert seen == [(0, ["a", "b"])]
+        table.compact()
+        live.processAllAvailable()
+        table.append(rows("c", "d"))
+        table.insert_absent(rows("a", "e"), "x")
+        live.processAllAvailable()
+        assert sorted(x for k, xs in seen[1:] for x in xs) == ["c", "d", "e"]
+    finally:
+        live.stop()
+    before = len(seen)
+    table.append(rows("f"))
+    sinks.inserts(table, keep, f"{tmp_path}/state").awaitTermination()  # goes on where it was
+    assert [xs for _, xs in seen[before:]] == [["f"]]
+    late = []
+    sinks.inserts(table, lambda new, k: late.append(new.count()), f"{tmp_path}/other").awaitTermination()
+    assert late == [6]
