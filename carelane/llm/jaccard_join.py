@@ -374,7 +374,10 @@ def sharing(pairs: DataFrame) -> DataFrame:
     """(tag, node, root) of the graphs in which nodes that share a token are joined; pairs: tag, token, node."""
     # A table of its own: a join of two plain shuffles can split a frequent token.
     least = materialise(pairs.groupBy("tag", "token").agg(F.min("node").alias("b")))
-    roots = materialise(components(pairs.join(least, ["tag", "token"]).select("tag", F.col("node").alias("a"), "b")))
+    edges = pairs.join(least, ["tag", "token"]).select("tag", F.col("node").alias("a"), "b")
+    # Dealt by node, which has no more edges than prefix shingles: tasks contract these to about one each, where by
+    # token a group's nodes would leave every task that has one of its shingles.
+    roots = materialise(components(edges.repartition("tag", "a")))
     release(least)
     return roots
 

@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from carelane.llm import components as C
 from carelane.llm import jaccard_join as J
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -161,3 +163,27 @@ def test_registered_query_against_its_sql(spark):
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     want = con.sql(f"select doc_id, n_shingles, component_id, n_links from ({ORACLE_SQL['op6_ngram_jaccard_join']})").fetchall()
     assert sorted(tuple(r) for r in J.op6_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect()) == sorted(want)
+
+
+def test_contraction_makes_a_row_a_node(spark, monkeypatch):
+    """A large group that shares many shingles, over many partitions: each node leaves few tasks, whatever the joins."""
+    nodes, tokens, made = 300, 40, []
+    pairs = spark.range(nodes).select(F.lit(0).alias("tag"), (F.col("id") * 7).alias("node"), F.explode(F.sequence(F.lit(1), F.lit(tokens)).cast("array<long>")).alias("token"))
+    contracted = C.contracted
+
+    def counted(edges):
+        made.append(Observation())
+        return contracted(edges).observe(made[-1], F.count("*").alias("n"))
+
+    monkeypatch.setattr(C, "contracted", counted)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        roots = J.sharing(pairs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in roots) == [(0, 7 * k, 0) for k in range(1, nodes)]
+    assert [m.get["n"] for m in made] == [nodes - 1]
