@@ -562,8 +562,10 @@ def bucketed_join(spark, d):
     """People and appointments as tables of a database, bucketed by the person: joined and counted where they lie."""
     folder = work_folder(spark)
     db = tables.database(spark, _database_name(folder), folder)
-    tables.save_bucketed(tables.patients(spark, d).select("id", "name"), db, "patients", ["id"], 4)
-    tables.save_bucketed(tables.appointments(spark, d).select("user_id", "doctor_id"), db, "appointments", ["user_id"], 4)
+    patients, appointments = tables.patients(spark, d).select("id", "name"), tables.appointments(spark, d).select("user_id", "doctor_id")
+    buckets = tables.buckets_for(patients, tables.star(spark, d, "lineitem"))  # an appointment is an order line
+    tables.save_bucketed(patients, db, "patients", ["id"], buckets)
+    tables.save_bucketed(appointments, db, "appointments", ["user_id"], buckets)
     return spark.sql(f"select p.id, p.name, count(*) as visits, count(distinct doctor_id) as doctors from {db}.patients p join {db}.appointments a on a.user_id = p.id group by p.id, p.name")
 
 

@@ -36,6 +36,16 @@ def database(spark: SparkSession, name: str, folder: str) -> str:
     return name
 
 
+#: Rows of one bucket: a task sorts, joins and groups them.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(*tables: DataFrame, least: int = 4) -> int:
+    """Buckets for tables that are joined with each other, by the rows of the largest: more rows make more buckets and
+    not larger ones. What is counted may be a stored table that has at least as many rows."""
+    return max(least, -(-max(rows.count() for rows in tables) // BUCKET_ROWS))
+
+
 def save_bucketed(rows: DataFrame, database: str, name: str, keys: list[str], buckets: int) -> None:
     """A table of a database, bucketed and sorted by keys: joins and groupings by all of them need no exchange.
 
@@ -50,10 +60,12 @@ def save_bucketed(rows: DataFrame, database: str, name: str, keys: list[str], bu
 LAYOUT = {"users": ["id"], "appointments": ["user_id"], "messages": ["a", "b"], "doctor_details": ["user_id"], "admin_logs": ["admin_id"], "doctor_logs": ["doctor_id"]}
 
 
-def publish(spark: SparkSession, name: str, folder: str, snapshots: dict[str, DataFrame], buckets: int) -> str:
+def publish(spark: SparkSession, name: str, folder: str, snapshots: dict[str, DataFrame], buckets: int | None = None) -> str:
     """Declared tables, as they are now, as bucketed tables of a catalog database, with the role views ``doctors`` and
-    ``patients`` where there are users; the database's name. A table that is there already is replaced."""
+    ``patients`` where there are users; the database's name. A table that is there already is replaced. Without a
+    number of buckets it follows from the rows of the largest."""
     database(spark, name, folder)
+    buckets = buckets or buckets_for(*snapshots.values())
     for table, rows in snapshots.items():
         if table == "messages":
             rows = rows.select("*", F.least("sender_id", "receiver_id").alias("a"), F.greatest("sender_id", "receiver_id").alias("b"))

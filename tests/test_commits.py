@@ -256,3 +256,17 @@ def test_bucketed_tables_are_joined_where_they_lie(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("drop database carelane_test cascade")
+
+
+def test_buckets_grow_in_number(spark, monkeypatch):
+    """Twice the rows are twice the buckets, and a bucket of the query's holds no more than before."""
+    from carelane.plans.registry import QUERIES
+
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 500)
+    assert [tables.buckets_for(spark.range(n), spark.range(10)) for n in (10, 2_000, 10_000, 20_000)] == [4, 4, 20, 40]
+    saved, save = [], tables.save_bucketed
+    monkeypatch.setattr(tables, "save_bucketed", lambda rows, db, name, keys, buckets: (saved.append((db, name, buckets)), save(rows, db, name, keys, buckets)))
+    small = "/root/testdata/sf0.001"
+    QUERIES["bucketed_join"](spark, small)
+    assert [b for _, _, b in saved] == [-(-tables.star(spark, small, "lineitem").count() // 500)] * 2
+    assert spark.table(f"{saved[1][0]}.{saved[1][1]}").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 4 * 500
