@@ -29,6 +29,8 @@ from carelane.operators.relations import insert_absent
 VERSIONS = "_versions"
 #: Bits of a row's place in its partition (as ``monotonically_increasing_id`` lays them out).
 _PLACE_BITS = 33
+#: Rows of a file where a layout names no number of files: a task sorts the rows of one.
+FILE_ROWS = 1_000_000
 
 
 class ConflictError(RuntimeError):
@@ -238,9 +240,11 @@ class CommittedTable:
                 self._delete(name)
 
 
-def lookup_layout(rows: DataFrame, path: str, order: list[str], bloom: tuple[str, ...] = (), files: int = 1, distinct: int = 1_000_000, group_bytes: int | None = None) -> None:
-    """Write rows for point lookups: in ranges of ``order`` over ``files`` files, sorted inside, so that a value of the first
-    of these columns lies in few row groups, and with Bloom filters (for ``distinct`` values a row group) of other ones."""
+def lookup_layout(rows: DataFrame, path: str, order: list[str], bloom: tuple[str, ...] = (), files: int | None = None, distinct: int = 1_000_000, group_bytes: int | None = None) -> None:
+    """Write rows for point lookups: in ranges of ``order`` over ``files`` files (else one for each ``FILE_ROWS`` rows, which
+    are counted first), sorted inside, so that a value of the first of these columns lies in few row groups, and with Bloom
+    filters (for ``distinct`` values a row group) of other ones."""
+    files = files or max(1, -(-rows.count() // FILE_ROWS))
     laid = rows.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else rows.repartition(files)
     writer = laid.write
     for c in bloom:

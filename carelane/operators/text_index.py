@@ -34,7 +34,7 @@ class TextIndex:
     come, what the postings name is not found among the rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str, columns: list[str], files: int = 1, group_bytes: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, ddl: str, key: str, columns: list[str], files: int | None = None, group_bytes: int | None = None):
         self.spark, self.key, self.columns = spark, key, columns
         how = {"files": files, "group_bytes": group_bytes}
         self.table = CommittedTable(spark, f"{path}/rows", ddl, None, layout={"order": [key]} | how)

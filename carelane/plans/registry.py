@@ -551,7 +551,7 @@ def search_by_index(spark, d):
 def indexed_lookup(spark, d):
     """People by email and by id from a table that is laid out for lookups."""
     path = f"{work_folder(spark)}/users"
-    lookup_layout(tables.declared(spark, _declared_people(spark, d), "users"), path, ["id"], ("email",), files=2)
+    lookup_layout(tables.declared(spark, _declared_people(spark, d), "users"), path, ["id"], ("email",))
     users = spark.read.schema(schema_of("users")).parquet(path).select("id", "name", "email")
     found = [users.where(F.col("email") == e) for e in ("p42@example.com", "d7@example.com")]
     return found[0].unionByName(found[1]).unionByName(users.where(F.col("id") == 1000003))

@@ -270,3 +270,21 @@ def test_buckets_grow_in_number(spark, monkeypatch):
     QUERIES["bucketed_join"](spark, small)
     assert [b for _, _, b in saved] == [-(-tables.star(spark, small, "lineitem").count() // 500)] * 2
     assert spark.table(f"{saved[1][0]}.{saved[1][1]}").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 4 * 500
+
+
+def test_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """No task sorts more of the postings, rows or a compacted table as these grow."""
+    monkeypatch.setattr("carelane.operators.commits.FILE_ROWS", 400)
+
+    def most(table):
+        by_file = [r["count"] for r in table.read().groupBy(F.input_file_name()).count().collect()]
+        return max(by_file), len(by_file)
+
+    index = TextIndex(spark, str(tmp_path), PLAIN, "id", ["x"])
+    index.add(spark.range(1_000).select("id", F.concat(F.lit("name "), F.col("id") + 10_000).alias("x")))
+    for _ in range(2):
+        for table, rows in ((index.table, 1_000), (index.postings, 8_000)):
+            size, files = most(table)
+            assert size < 2 * 400 and files >= rows / 400 / 2
+        assert index.search("NAME 101").count() == 100
+        index.compact()
